@@ -91,3 +91,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
