@@ -105,3 +105,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import linked
 
     return linked(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, scan_pii
+
+    base, order = KINDS[:4], ("kind", "start")
+    return scan_pii(table(spark, sf_dir, "documents")).select(
+        "doc_id", *_counts(base), F.sha2(_spans(base, order), 256).alias("base_sha256"), _spans(KINDS, order).alias("spans")
+    )
