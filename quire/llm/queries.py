@@ -115,3 +115,26 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents")).select(
         "doc_id", *_counts(base), F.sha2(_spans(base, order), 256).alias("base_sha256"), _spans(KINDS, order).alias("spans")
     )
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    coded = encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "repaired", "exact")
+
+
+@query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import UNKNOWN, scan_licences
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan_licences(docs.select("doc_id", "text")).filter((F.col("family") != UNKNOWN) & F.col("confirmed"))
+    per = found.groupBy("doc_id").agg(
+        F.count("*").alias("n_licences"),
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "family"))), lambda x: F.concat_ws(":", x["paragraph"], x["family"])), ",").alias("places"),
+        F.max(F.round("probability", 6)).alias("probability"),
+    )
+    return docs.select("doc_id").join(per, "doc_id", "left").na.fill({"n_licences": 0, "families": "", "places": ""})
