@@ -78,3 +78,37 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, train,
     )
     got = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     return [(r.text or "", int(r.y)) for r in got.select("doc_id", "text", "y").toLocalIterator()]
+
+
+class Screen(dict):
+    """A table of fixed size, one bit for each hash of a set of strings, that says which strings cannot be in the set.
+
+    What it lets pass must still be joined with the set. Built in Spark; the driver sees at most BITS / 64 words of it.
+    """
+
+    BITS = 1 << 23
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Screen:
+        place = df.select(F.pmod(F.crc32(F.encode(column, "utf-8")), F.lit(cls.BITS)).alias("b"))
+        marks = place.groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m"))
+        words = np.zeros(cls.BITS // 64, np.int64)
+        for r in marks.toLocalIterator():
+            words[r["w"]] = r["m"]
+        return cls(words)
+
+    def __reduce__(self):
+        return Screen, (self.words,)
+
+    def __missing__(self, string: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        b = zlib.crc32(string.encode()) % self.BITS
+        known = self[string] = bool(int(self.words[b >> 6]) >> (b & 63) & 1)
+        return known
+
+    def __bool__(self) -> bool:
+        return bool(self.words.any())

@@ -15,13 +15,13 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, settle
+from .common import Screen, scan, settle
 
 KINDS = ("email", "ip", "card", "phone", "context")
 
@@ -136,36 +136,19 @@ def extract_patterns(documents: DataFrame, base: DataFrame, text_col: str, round
     patterns = score.groupBy("pattern").agg((F.sum("held") / (F.count("*") + 1)).alias("score"), F.sum("n").alias("hits")).filter(F.col("score") >= confident)
     patterns = settle(patterns)
     # How often the words of a pattern stand anywhere: texts are screened by a bit table of fixed size, then counted exactly.
-    bits = 1 << 22
-    place = patterns.select(F.pmod(F.crc32(F.encode("pattern", "utf-8")), F.lit(bits)).alias("b"))
-    marks = place.groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m"))
-    words = {r["w"]: r["m"] for r in marks.toLocalIterator()}  # at most bits / 64 rows
-    if not words:
+    screen = Screen.of(patterns, "pattern")
+    if not screen:
         return None
-    table = np.zeros(bits // 64, np.int64)
-    for w, m in words.items():
-        table[w] = m
-    held = documents.sparkSession.sparkContext.broadcast(table)
+    held = documents.sparkSession.sparkContext.broadcast(screen)
 
     def occurrences(it):
-        import zlib
-        from collections import Counter
-
-        screen, known = held.value, {}
+        known = held.value
         for batch in it:
             count = Counter()
             for t in batch.column(0).to_pylist():
                 for line in (t or "").split("\n"):
                     w = _WORD.findall(line.lower())
-                    for pair in map(" ".join, zip(w, w[1:])):
-                        hit = known.get(pair)
-                        if hit is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            b = zlib.crc32(pair.encode()) % bits
-                            hit = known[pair] = bool(int(screen[b >> 6]) >> (b & 63) & 1)
-                        if hit:
-                            count[pair] += 1
+                    count.update(pair for pair in map(" ".join, zip(w, w[1:])) if known[pair])
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["pattern", "total"])
 
     total = documents.select(text_col).mapInArrow(occurrences, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
