@@ -57,6 +57,17 @@ def scan(df: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
     return df.select(*columns).mapInArrow(batches, schema)
 
 
+def append(df: DataFrame, column: str, name: str, kind: str, values) -> DataFrame:
+    """All columns of df and one more, values(the column as a list), without a join. `name` must be new."""
+
+    def batches(it):
+        for batch in it:
+            made = pa.array(values(batch.column(batch.schema.get_field_index(column)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(batches, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` {kind}"]))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an integer column as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

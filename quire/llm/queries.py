@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
+from .models import quality_model, tokenizer_path, toxicity_model
 
 QUERIES, ORACLE = {}, {}
 
@@ -51,30 +54,6 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-#: Most labelled rows that a classifier is fitted on.
-FIT_ROWS = 6000
-
-
-def quality_model(spark: SparkSession, sf_dir: str):
-    from .common import crc_mod, labelled_sample
-    from .quality import train
-
-    return train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 4) != 2, FIT_ROWS))
-
-
-def toxicity_model(spark: SparkSession, sf_dir: str):
-    from .common import crc_mod, labelled_sample
-    from .toxicity import train
-
-    return train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", crc_mod("doc_id", 5) != 0, FIT_ROWS))
-
-
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_mod
@@ -152,3 +131,8 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asks = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return top_k(docs, asks, HITS, QUERY_TERMS, exclude_self=True)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
