@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Levels beyond which a body is taken to be broken.
 DEEPEST = 64
@@ -119,7 +120,7 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, key: str = "document_i
     return blocks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n\n").alias("markdown"))
 
 
-@F.pandas_udf("struct<inserted:long,deleted:long>")
+@F.pandas_udf(T.StructType([T.StructField("inserted", T.LongType()), T.StructField("deleted", T.LongType())]))
 def _word_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(old.fillna(""), new.fillna("")):
