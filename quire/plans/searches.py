@@ -84,7 +84,7 @@ SELECT query_id, section_id, string_agg(CASE WHEN m THEN '[' || w || ']' ELSE w
 @register("snippet", B.with_clauses(_SEC, _POST, _QS, _TERMS, _HITS, _SNIP.split("\nSELECT query_id, section_id, string_agg")[0]) + "SELECT query_id, section_id, string_agg" + _SNIP.split("\nSELECT query_id, section_id, string_agg")[1])
 def _(spark, d):
     sec = sections(spark, d)
-    return O.snippet(hits(spark, d).select("query_id", "section_id"), O.parse_terms(questions(spark, d)), sec)
+    return O.snippet(hits(spark, d).select("query_id", "section_id"), O.parse_terms(questions(spark, d)), sec).filter("snippet <> ''")
 
 
 @register("search_workspace", B.with_clauses(_SEC, _POST) + """, t AS (SELECT 1 AS query_id, 'th' AS term UNION ALL SELECT 1, 'en' UNION ALL SELECT 2, 'zu'), h AS (SELECT query_id, section_id, sum(title_tf * 3 + body_tf) AS s FROM t JOIN post p ON starts_with(p.term, t.term) GROUP BY 1, 2 HAVING count(DISTINCT t.term) = CASE WHEN query_id = 1 THEN 2 ELSE 1 END),
