@@ -22,14 +22,14 @@ def where_cited(mentions: DataFrame, ref: DataFrame) -> DataFrame:
     return ref.select(F.col("id").alias("reference_id")).join(n, "reference_id", "left").na.fill(0, ["documents", "mentions"])
 
 
-def reference_successors(ref: DataFrame, deepest: int = 64) -> DataFrame:
+def reference_successors(ref: DataFrame) -> DataFrame:
     """(id, latest, steps): the end of each reference's chain of successors. ref: (id, supersedes).
 
     The pairs double their reach in every round, so a chain of n takes log2(n) joins. Cycles raise an error.
     """
     nxt = ref.filter("supersedes is not null").groupBy(F.col("supersedes").alias("id")).agg(F.min("id").alias("to"))
     hop = ref.select("id").join(nxt, "id", "left").select("id", F.coalesce("to", "id").alias("latest"), F.col("to").isNotNull().cast("long").alias("steps"))
-    reach = 1
+    reach, most = 1, ref.count()
     while True:
         hop = hop.persist()
         step = hop.select(F.col("id").alias("latest"), F.col("latest").alias("_l"), F.col("steps").alias("_s"))
@@ -37,7 +37,7 @@ def reference_successors(ref: DataFrame, deepest: int = 64) -> DataFrame:
         if hop.join(step, "latest").filter("_s > 0").isEmpty():
             return hop
         reach *= 2
-        if reach > 2**deepest or reach > 1 << 40:
+        if reach > 2 * most:
             raise ValueError("references supersede each other in a circle")
         hop = new
 
