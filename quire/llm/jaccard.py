@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, settle
+from .common import Screen, drop_settled, settle
 
 #: Members of a block; a group of two blocks is what one task compares.
 BLOCK = 512
@@ -86,11 +86,11 @@ class Bands:
         differ = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
         out, sub = (self.keep_out, self.subparts) if differ else (0, 1)
         parts = differ // (out + 1) + 1
-        place = (_mix(s + np.uint64(band)) % np.uint64(parts * sub)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s)[order], dtype=np.uint64)])
-        ends = np.cumsum(np.bincount(place, minlength=parts * sub))
-        each = (sums[ends] - sums[np.concatenate([[0], ends[:-1]])]).reshape(parts, sub)
+        # s is sorted and uniform, so equal ranges of its upper half are the parts, and each part is one slice.
+        place = ((s >> np.uint64(32)) * np.uint64(parts * sub)) >> np.uint64(32)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)])
+        edge = np.searchsorted(place, np.arange(parts * sub + 1, dtype=np.uint64))
+        each = (sums[edge[1:]] - sums[edge[:-1]]).reshape(parts, sub)
         chosen = [_mix(sum((each[:, j] * np.uint64(2 * j + 3) for j in c), np.zeros(parts, np.uint64)) + np.uint64(i + 1)) for i, c in enumerate(combinations(range(sub), sub - out))]
         label = np.arange(parts, dtype=np.uint64)[:, None] + np.uint64(band << 40)
         return _mix(np.stack(chosen, 1) ^ _mix(label)).reshape(-1)
@@ -208,17 +208,21 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
 
+    # Only texts that may be wanted give their sets: a table of fixed size screens ids, the join makes it exact.
+    held = spark.sparkContext.broadcast(Screen.of(member.select(F.col("rep").cast("string").alias("rep")), "rep"))
+
     def sets(it):
+        known = held.value
         for batch in it:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            rest = batch.drop_columns(["text"])
-            yield rest.append_column("elements", pa.array([shingles(t, n).tobytes() for t in texts], pa.binary()))
+            pick = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and known[str(i)]]
+            for at in range(0, len(pick), 500):
+                part = pick[at : at + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([shingles(t, n).tobytes() for _, t in part], pa.binary())], names=["rep", "elements"])
 
-    wanted = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(member, "rep")
-    wanted = wanted.select("root", "node", "copies", "blocks", "block", "text")
-    held = wanted.mapInArrow(sets, "root long, node long, copies long, blocks int, block int, elements binary").dropDuplicates(["node"])
+    found = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(sets, "rep long, elements binary")
+    held_sets = found.join(member, "rep").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = held.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    pairs = held_sets.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
     checked = settle(pairs.select("root", "i", "j", "node", "copies", "block", "elements", "blocks").groupBy("root", "i", "j").applyInPandas(_with_blocks(_verify(percent)), "a long, b long, links long, blocks int"))
     alone = checked.filter("blocks = 1").select(F.col("a").alias("node"), F.col("b").alias("root"))
     many = components(checked.filter("blocks > 1 and a <> b").select("a", "b"))
