@@ -140,3 +140,11 @@ def diff_sizes(pairs: DataFrame) -> DataFrame:
     kept = pairs.filter(same).withColumns({"inserted": F.lit(0).cast("long"), "deleted": F.lit(0).cast("long"), "changed": F.lit(False)})
     moved = pairs.filter(~same).withColumn("_d", _word_diff("old", "new")).withColumns({"inserted": F.col("_d.inserted"), "deleted": F.col("_d.deleted"), "changed": F.lit(True)}).drop("_d")
     return kept.unionByName(moved)
+
+
+def guide(sections: DataFrame, nodes: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:
+    """(key, kind, path): what a quick reference shows: whole sections marked point_of_care, and in the others the nodes of
+    the given kinds. sections: (key, point_of_care)."""
+    whole = sections.filter("point_of_care").select(key, F.lit("section").alias("kind"), F.array().cast("array<int>").alias("path"))
+    inside = nodes.filter(F.col("type").isin(kinds)).join(sections.filter("not point_of_care").select(key), key)
+    return whole.unionByName(inside.select(key, F.lit("item").alias("kind"), "path"))

@@ -176,3 +176,12 @@ def parts_of(rows: DataFrame, by: str, order: str, step: str = "step") -> DataFr
     first = F.min(F.when(F.col(step).isNotNull(), F.col(order))).over(w)
     part = F.when(F.col(step).isNotNull(), F.concat(F.lit("step-"), F.col(step).cast("string"))).when(first.isNull() | (F.col(order) < first), "front").otherwise("back")
     return rows.withColumn("part", part)
+
+
+def instructions_outline(outlined: DataFrame, requests: DataFrame, marked: str = "apparatus") -> DataFrame:
+    """(document_id, id, level): for each document the rows of its template that are author instructions, or below such
+    a row, with their depth below the first of them. requests: (document_id, template), template being a root."""
+    tops = outlined.filter(marked).select(F.col("id").alias("top"), F.col("depth").alias("_d"))
+    below = outlined.select("id", F.col("root").alias("template"), "depth", F.explode("ancestors").alias("top")).join(tops, "top")
+    rows = below.groupBy("template", "id").agg(F.max(F.col("depth") - F.col("_d")).cast("long").alias("level"))
+    return requests.join(rows, "template").select("document_id", "id", "level")

@@ -300,3 +300,14 @@ def diversify(hits: DataFrame, by: str, n: int = 3, query: str = "query_id", ran
     within = F.row_number().over(Window.partitionBy(query, by).orderBy(rank))
     rows = hits.withColumn("_n", within)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.col("_n") > n, rank)).cast("long")).drop("_n")
+
+
+def draft_reading(resolved: DataFrame, numbers: DataFrame, cites: DataFrame) -> DataFrame:
+    """A draft as it would publish: visible sections in order with resolved bodies and the numbers of what they cite.
+
+    resolved: (document_id, section_id, order_index, hidden, body); cites: (document_id, section_id, reference_id);
+    numbers: (document_id, reference_id, number)."""
+    live = resolved.filter("not hidden")
+    n = cites.join(numbers, ["document_id", "reference_id"]).groupBy("document_id", "section_id").agg(F.array_join(F.array_sort(F.collect_set("number")).cast("array<string>"), ",").alias("cited"))
+    w = Window.partitionBy("document_id").orderBy("order_index", "section_id")
+    return live.withColumn("position", F.row_number().over(w).cast("long")).join(n, ["document_id", "section_id"], "left").select("document_id", "section_id", "position", "body", F.coalesce("cited", F.lit("")).alias("cited"))

@@ -9,6 +9,7 @@ from ..operators import lifecycle, tree, versions
 from ..operators import citations as C
 from ..sources import bindings as B
 from . import editions as E
+from .contents import _LEAF
 from .registry import register
 
 _V = B.with_clauses(B.VERSIONS, B.VERSION_SECTIONS, E._DRAFT, E._DOCS)
@@ -66,3 +67,46 @@ def _(spark, d):
     asked = s.filter("document_id % 4 = 1").select(F.concat(F.col("slug"), F.lit("#"), F.col("section_id").cast("string")).alias("id"))
     want = asked.select("id", F.regexp_replace("id", "#[0-9]+$", "").alias("slug"), F.regexp_extract("id", "#([0-9]+)$", 1).cast("long").alias("section_id"))
     return want.join(s.select("slug", "section_id", F.col("body").alias("text")), ["slug", "section_id"]).select("id", "text")
+
+
+@register("get_composed", _V + """, x AS (SELECT p.*, d.slug FROM pub p JOIN docs d USING (document_id) WHERE NOT hidden), a AS (SELECT document_id + 1 AS pair, section_id AS address, order_index FROM x), b AS (SELECT document_id AS pair, section_id AS address, order_index FROM x WHERE body = 'q1'),
+  r AS (SELECT pair, address, order_index AS o, 'a' AS source, NULL AS own FROM a UNION ALL SELECT b.pair, b.address, a.order_index, 'b', b.order_index FROM b LEFT JOIN a USING (pair, address))
+  SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY o NULLS LAST, source, own, address) AS place, address, source FROM r""")
+def _(spark, d):
+    s = _published(spark, d)[1]
+    cut = lambda pair: s.select(pair.alias("pair"), F.col("section_id").alias("address"), "order_index", (F.col("body") == "q1").alias("owned"))
+    return versions.compose(cut(F.col("document_id") + 1), cut(F.col("document_id")))
+
+
+@register("body_as", "SELECT l_orderkey, l_linenumber, l_comment_ AS body FROM (SELECT DISTINCT l_orderkey, l_linenumber, 'm' || l_partkey AS l_comment_ FROM lineitem)")
+def _(spark, d):
+    t = B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("m"), "l_partkey").alias("markdown"), F.lit("h").alias("html"), F.lit("{}").alias("body_json")).distinct()
+    return t.select("l_orderkey", "l_linenumber", body_as("markdown"))
+
+
+@register("instructions_outline", """WITH core AS (SELECT 'n' || n_nationkey AS id, n_regionkey AS r, n_nationkey % 2 = 0 AS m FROM nation), c AS (SELECT 'c' || c_custkey AS id, n_regionkey AS r, n_nationkey % 2 = 0 AS m FROM customer JOIN nation ON n_nationkey = c_nationkey)
+  SELECT s_suppkey AS document_id, id, CAST(l AS BIGINT) AS level FROM supplier JOIN (SELECT id, r, 0 AS l FROM core WHERE m UNION ALL SELECT id, r, 1 FROM c WHERE m) ON r = s_suppkey % 5""")
+def _(spark, d):
+    sec = B.sections(spark, d).filter("id not like 'o%'").withColumn("apparatus", F.expr("id like 'n%' and key % 2 = 0"))
+    asks = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("document_id"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("template"))
+    return tree.instructions_outline(tree.outline(sec), asks)
+
+
+@register("draft_reading", _V + """, s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY order_index, section_id) AS position FROM draft WHERE NOT hidden), c AS (SELECT l_orderkey AS version_id, CAST(l_linenumber AS BIGINT) AS section_id, l_suppkey AS reference_id FROM lineitem),
+  m AS (SELECT d.document_id, c.section_id, c.reference_id FROM c JOIN versions d USING (version_id) WHERE status = 'draft'), n AS (SELECT document_id, reference_id, row_number() OVER (PARTITION BY document_id ORDER BY min(section_id), reference_id) AS number FROM m GROUP BY 1, 2),
+  k AS (SELECT document_id, section_id, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS cited FROM (SELECT DISTINCT m.document_id, m.section_id, n.number FROM m JOIN n USING (document_id, reference_id)) GROUP BY 1, 2)
+  SELECT s.document_id, s.section_id, s.position, s.body, coalesce(k.cited, '') AS cited FROM s LEFT JOIN k USING (document_id, section_id)""")
+def _(spark, d):
+    draft, _p = E.sides(spark, d)
+    v = B.versions(spark, d).filter("status = 'draft'").select("version_id", "document_id")
+    cites = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").cast("long").alias("section_id"), F.col("l_suppkey").alias("reference_id")).join(v, "version_id")
+    return versions.draft_reading(draft, C.citation_numbers(cites.withColumn("pos", F.col("section_id"))), cites)
+
+
+@register("guide", B.with_clauses(B.MENTIONS, _LEAF) + ", k AS (SELECT DISTINCT document_id FROM leaf) SELECT document_id, 'section' AS kind, '' AS path FROM k WHERE document_id % 3 = 0 UNION ALL SELECT document_id, 'item', k || '.0' FROM leaf WHERE reference_id IS NOT NULL AND document_id % 3 <> 0")
+def _(spark, d):
+    from ..operators import nodes
+
+    bodies = B.bodies(spark, d)
+    marked = bodies.select("document_id", (F.col("document_id") % 3 == 0).alias("point_of_care"))
+    return nodes.guide(marked, nodes.explode_body(bodies), ["citation"]).select("document_id", "kind", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
