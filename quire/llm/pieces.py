@@ -172,10 +172,6 @@ class Coder(dict):
         return (want, 1) if want != ids else (ids, 0)
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > self.MOST:
-            early = list(islice(self.items(), self.MOST // 3))
-            self.clear()
-            self.update(early)
         plain = [w for w in words if w[0] == SPACE and w.count(SPACE) == 1 and len(w) > 1] if self.lean else []
         for at in range(0, len(plain), 20_000):
             # Many words as one text for either library; a piece that begins with the metaspace begins a word.
@@ -193,6 +189,10 @@ class Coder(dict):
                 self[w] = np.asarray(ids, np.uint32).tobytes(), differ
 
     def encode(self, texts) -> list[tuple[bytes, int]]:
+        if len(self) > self.MOST:  # the words met first are the most common
+            early = list(islice(self.items(), self.MOST // 3))
+            self.clear()
+            self.update(early)
         split = [self.words(t) for t in texts]
         unseen = set().union(*split) - self.keys()
         if unseen:
