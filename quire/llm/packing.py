@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ _PUNCTUATION = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 class Words(dict):
     """The ids, as bytes, of what stands between white space; tokens never cross white space in this tokenizer."""
 
-    LIMIT = 250_000
+    #: Most words, and runs of letters, that are remembered; when there are more, the first ones stay, which are the most common.
+    WORDS, RUNS = 700_000, 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -54,9 +56,11 @@ class Words(dict):
     def learn(self, words: set[str]) -> None:
         """Encode many words at once: runs of ASCII letters, alone or before punctuation, through the lean
         tokenizer in one text; others one by one."""
-        if len(self) > self.LIMIT or len(self.plain) > 2 * self.LIMIT:
-            self.clear()
-            self.plain.clear()
+        for kept, most in ((self, self.WORDS), (self.plain, self.RUNS)):
+            if len(kept) > most:
+                early = list(islice(kept.items(), most // 3))
+                kept.clear()
+                kept.update(early)
         split = {}
         for w in words:
             if w.isascii() and (w.isalpha() or (m := _PUNCTUATION.fullmatch(w))):
@@ -90,10 +94,7 @@ class Words(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
-        unseen = set()
-        for words in split:
-            unseen.update(words or ())
-        unseen.difference_update(self)
+        unseen = set(chain.from_iterable(words for words in split if words)).difference(self)
         if unseen:
             self.learn(unseen)
         get = self.__getitem__
@@ -173,10 +174,15 @@ def pack(cut: DataFrame, id_col: str = "doc_id", length: int = SEQUENCE, segment
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([id_col, "start", "ids_crc32"] if "ids_crc32" in pdf else [id_col, "start"], kind="stable", ignore_index=True)
+        # Pieces that fill a sequence need no choice.
+        full = (pdf["length"] == length).to_numpy()
         demand = np.stack([pdf["length"].to_numpy(), np.ones(len(pdf), np.int64), pdf["_loss"].to_numpy()], axis=1)
         if (demand > room).any():
             raise ValueError(f"a piece exceeds the limits {room.tolist()}")
-        pdf["sequence_id"] = (pdf["_group"].iloc[0].astype("int64") << 32) + fill(demand, room)
+        placed = np.empty(len(pdf), np.int64)
+        placed[~full] = fill(demand[~full], room)
+        placed[full] = np.arange(full.sum()) + (placed[~full].max() + 1 if not full.all() else 0)
+        pdf["sequence_id"] = (pdf["_group"].iloc[0].astype("int64") << 32) + placed
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf.drop(columns=["_loss", "_group"])
 
