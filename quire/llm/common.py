@@ -117,9 +117,13 @@ class Screen(dict):
     def __missing__(self, string: str) -> bool:
         if len(self) > 300_000:
             self.clear()
-        b = zlib.crc32(string.encode()) % self.BITS
-        known = self[string] = bool(int(self.words[b >> 6]) >> (b & 63) & 1)
+        known = self[string] = self.may_hold(string)
         return known
 
+    def may_hold(self, string: str) -> bool:
+        """As self[string], for strings that hardly repeat."""
+        b = zlib.crc32(string.encode()) % self.BITS
+        return bool(int(self.words[b >> 6]) >> (b & 63) & 1)
+
     def __bool__(self) -> bool:
         return bool(self.words.any())

@@ -32,7 +32,7 @@ BLOCK = 512
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -108,26 +108,60 @@ def _sketches(documents, n, id_col, text_col):
 
 
 def _signatures(documents, n, percent, text_col, subparts):
-    """(signature, node), at most once in a task for most copies."""
+    """(signature, node, hub): the nodes that bear each signature. Nodes that meet in one portion of a task are joined at
+    once: they come as a pair (node, hub) without a signature, and only the hub bears it on. So however many nodes share
+    a signature, its rows in the shuffle are at most the portions."""
 
     def rows(it):
         bands, seen = Bands(percent, 1, subparts), set()
         for batch in it:
             texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 200):
+            for at in range(0, len(texts), 1000):
                 nodes, found = [], []
-                for t in texts[at : at + 200]:
+                for t in texts[at : at + 1000]:
                     s = shingles(t, n)
                     if len(s) and (node := fingerprint(s)) not in seen:
-                        if len(seen) > 500_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(node)
                         found.append(bands.signatures(s).view(np.int64))
                         nodes.append(np.full(len(found[-1]), node, np.int64))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes))], names=["signature", "node"])
+                    sig, node = np.concatenate(found), np.concatenate(nodes)
+                    order = np.lexsort((node, sig))
+                    sig, node = sig[order], node[order]
+                    first = np.append(True, sig[1:] != sig[:-1])
+                    hub = node[first][np.cumsum(first) - 1]
+                    met = np.unique(np.stack([node, hub], 1)[node != hub], axis=0)
+                    bare = pa.nulls(int(first.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(node[first]), bare], names=["signature", "node", "hub"])
+                    if len(met):
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.array(met[:, 0]), pa.array(met[:, 1])], names=["signature", "node", "hub"])
 
-    return documents.select(text_col).mapInArrow(rows, "signature long, node long")
+    return documents.select(text_col).mapInArrow(rows, "signature long, node long, hub long")
+
+
+def _meetings(signatures: DataFrame) -> DataFrame:
+    """(a, b): each node that shares a signature with a lesser one, and the least such. One pass over sorted rows that
+    keeps the last signature and its hub, whatever a signature's rows number."""
+
+    def rows(it):
+        last = hub = None
+        for batch in it:
+            sig, node, met = batch.columns
+            pair = ~np.asarray(met.is_null())
+            a, b = node.to_numpy(zero_copy_only=False), met.fill_null(0).to_numpy(zero_copy_only=False)
+            out = [(a[pair], b[pair])]
+            sig, own = sig.fill_null(0).to_numpy(zero_copy_only=False)[~pair], a[~pair]
+            if len(sig):
+                first = np.append(last is None or sig[0] != last, sig[1:] != sig[:-1])
+                hubs = np.append(0 if hub is None else hub, own[first])[np.cumsum(first)]
+                out.append((own[own != hubs], hubs[own != hubs]))
+                last, hub = sig[-1], hubs[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
+
+    dealt = signatures.repartition(F.coalesce("signature", "node")).sortWithinPartitions("signature", "node")
+    return dealt.mapInArrow(rows, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,11 +232,7 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     spark = documents.sparkSession
     base = settle(_sketches(documents, n, id_col, text_col))
     reps = base.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    sigs = lambda: _signatures(documents, n, percent, text_col, subparts)
-    met = sigs().groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("signature", "hub")
-    met = settle(met)
-    near = settle(sigs().join(met, "signature").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    drop_settled(met)
+    near = settle(_meetings(_signatures(documents, n, percent, text_col, subparts)).distinct())
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the signatures
     groups = settle(components(near).join(reps, "node"))
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -214,7 +244,7 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     def sets(it):
         known = held.value
         for batch in it:
-            pick = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and known[str(i)]]
+            pick = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and known.may_hold(str(i))]
             for at in range(0, len(pick), 500):
                 part = pick[at : at + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([shingles(t, n).tobytes() for _, t in part], pa.binary())], names=["rep", "elements"])
