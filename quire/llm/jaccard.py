@@ -86,6 +86,13 @@ class Bands:
         differ = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
         out, sub = (self.keep_out, self.subparts) if differ else (0, 1)
         parts = differ // (out + 1) + 1
+        if single := differ > 0 and sub - out == 1:
+            # A signature is one subpart, and at least (subparts - differ) of them agree. With some to spare, a pair
+            # agrees on one that is not empty, unless a set has as many empty ones as must agree; only such sets bear
+            # the signatures of empty subparts, which would bring together all sets of a band.
+            need = differ + 1
+            need += 1 + int(np.ceil(2 * need * np.exp(-((self.percent / 100) ** 2) * self.tops[band] / need)))
+            parts = -(-need // sub)
         # s is sorted and uniform, so equal ranges of its upper half are the parts, and each part is one slice.
         place = ((s >> np.uint64(32)) * np.uint64(parts * sub)) >> np.uint64(32)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)])
@@ -93,7 +100,9 @@ class Bands:
         each = (sums[edge[1:]] - sums[edge[:-1]]).reshape(parts, sub)
         chosen = [_mix(sum((each[:, j] * np.uint64(2 * j + 3) for j in c), np.zeros(parts, np.uint64)) + np.uint64(i + 1)) for i, c in enumerate(combinations(range(sub), sub - out))]
         label = np.arange(parts, dtype=np.uint64)[:, None] + np.uint64(band << 40)
-        return _mix(np.stack(chosen, 1) ^ _mix(label)).reshape(-1)
+        made = _mix(np.stack(chosen, 1) ^ _mix(label)).reshape(-1)
+        full = (edge[1:] > edge[:-1]) if single else np.ones(len(made), bool)
+        return made if len(made) - full.sum() >= len(made) - differ else made[full]
 
 
 def _sketches(documents, n, id_col, text_col):
