@@ -136,10 +136,10 @@ refs AS (SELECT substr(sha256(line), 1, 12) AS id, document_id, line AS citation
 
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, body_json): a document's first 40 lines as a node tree; common lines are citation nodes."""
-    at = lines(spark, path).filter("pos < 40").withColumn("doc", F.col("doc_id"))
+    """(document_id, body_json): a document's lines as a node tree; common lines are citation nodes."""
+    at = lines(spark, path)
     cited = mentions(spark, path).select(F.col("document_id").alias("doc_id"), "pos", "reference_id")
-    text = F.regexp_replace(F.substring("line", 1, 60), r"[^A-Za-z0-9 .,]", "")
+    text = F.regexp_replace("line", r"[^A-Za-z0-9 .,]", "")
     node = F.when(F.col("reference_id").isNotNull(), F.format_string('{"type":"citation","attrs":{"referenceId":"%s"}}', F.col("reference_id"))).otherwise(F.format_string('{"type":"text","text":"%s"}', text))
     para = at.join(cited, ["doc_id", "pos"], "left").select("doc_id", "pos", F.concat(F.lit('{"type":"paragraph","content":['), node, F.lit("]}")).alias("p"))
     joined = para.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), ",").alias("ps"))
