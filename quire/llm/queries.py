@@ -119,18 +119,18 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(per, "doc_id", "left").na.fill({"n_licences": 0, "families": "", "places": ""})
 
 
-#: Terms that a document asks with when it is itself the query, and hits that it gets.
-QUERY_TERMS, HITS = 12, 10
+#: Hits that a query gets.
+HITS = 10
 
 
 @query
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose id is divisible by 100 asks, with its most salient terms, for the others most like it."""
+    """Every document whose id is divisible by 100 asks, with all its terms, for the others most like it."""
     from .search import top_k
 
     docs = table(spark, sf_dir, "documents")
     asks = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return top_k(docs, asks, HITS, QUERY_TERMS, exclude_self=True)
+    return top_k(docs, asks, HITS, exclude_self=True)
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
