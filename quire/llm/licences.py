@@ -7,7 +7,11 @@ weights, a table whose size the templates fix, are joined to the n-grams of the
 give a family or "unknown". A family counts as confirmed when the paragraph holds enough of the words of one sentence of
 that family's templates.
 
-A paragraph is a line of the text that is not blank. Nulls and empty texts have no paragraphs and no licences. Equal
+A paragraph is a line of the text that is not blank, or a run of such lines read as one, so that hard-wrapped text is
+found too; its number is that of its (first) line. A line is compared by words, a run by its 3-grams of words; a run
+gives way where a line of it is already confirmed as the same family. A paragraph has one family: the likeliest, or that of the template sentence that a
+run holds most of.
+Nulls and empty texts have no paragraphs and no licences. Equal
 scores go to the family first in the alphabet. Repeated rows repeat, each with its own result; an empty table gives an
 empty table; other columns are ignored.
 """
@@ -19,7 +23,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The openings and notices of public licences, by family.
@@ -117,31 +121,44 @@ def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
 
 
 def scan_licences(documents: DataFrame, text_col: str = "text", least: float = 0.6, overlap: float = 0.7) -> DataFrame:
-    """The paragraphs that hold a licence word, one row each: every input column but the text, paragraph (from 0),
+    """The lines and runs of lines that hold a licence word, one row each: every input column but the text, paragraph (from 0),
     family, probability, similarity and confirmed. Family is "unknown" below `least`."""
     spark = documents.sparkSession
     classes, weights, bias = model()
     kept = [c for c in documents.columns if c != text_col]
     inputs = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(0).alias("_none"))
-    lines = documents.select(inputs.alias("_in"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "_p"))
-    hit = lines.filter(F.col("_p").rlike(_ANCHOR))
+    texts = documents.select(inputs.alias("_in"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_t")).filter(F.col("_t").rlike(_ANCHOR))
+    lines = texts.select("_in", "_row", F.posexplode(F.split("_t", "\n")).alias("paragraph", "_p"))
+    blank = F.col("_p").rlike(r"^\s*$")
+    lines = lines.withColumn("_run", F.count_if(blank).over(Window.partitionBy("_row").orderBy("paragraph"))).filter(~blank)
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "_p"))), lambda x: x["_p"]), " ")
+    runs = lines.groupBy("_row", "_run").agg(F.first("_in").alias("_in"), F.min("paragraph").alias("paragraph"), in_order.alias("_p"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    hit = lines.withColumn("_whole", F.lit(False)).unionByName(runs.withColumn("_whole", F.lit(True))).filter(F.col("_p").rlike(_ANCHOR))
     w: Column = F.regexp_extract_all(F.lower("_p"), F.lit(_WORD), 0)
     gram = lambda n: F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))
     grams = F.array_distinct(F.concat(*(F.when(F.size("_w") >= n, gram(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
-    hit = hit.withColumn("_w", w)
+    hit, key = hit.withColumn("_w", w), ["_row", "paragraph", "_whole"]
     table = spark.createDataFrame([(g, [float(v) for v in x]) for g, x in sorted(weights.items())], "gram string, weight array<double>")
-    scored = hit.select("_row", "paragraph", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
+    scored = hit.select(*key, F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
     # Fixed-point sums do not depend on the order of rows.
-    total = scored.groupBy("_row", "paragraph").agg(*(F.sum(F.round(F.col("weight")[i] * 1_000_000).cast("long")).alias(f"s{i}") for i in range(len(classes))))
+    total = scored.groupBy(*key).agg(*(F.sum(F.round(F.col("weight")[i] * 1_000_000).cast("long")).alias(f"s{i}") for i in range(len(classes))))
     z = F.array(*(F.coalesce(F.col(f"s{i}"), F.lit(0)) / 1_000_000.0 + F.lit(float(bias[i])) for i in range(len(classes))))
-    top = hit.join(total, ["_row", "paragraph"], "left").withColumn("_z", z).withColumn("_m", F.array_max("_z"))
+    top = hit.join(total, key, "left").withColumn("_z", z).withColumn("_m", F.array_max("_z"))
     share = 1 / F.aggregate("_z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("_z", F.col("_m")).cast("int"))
     top = top.withColumn("probability", share).withColumn("family", F.when((share >= least), best).otherwise(UNKNOWN))
-    # Template comparison: the largest share of one template sentence's words that the paragraph holds.
-    cases = F.lit(0.0)
-    for f, sentences in TEMPLATES.items():
-        sims = [F.size(F.array_intersect("_w", F.array(*map(F.lit, t)))) / F.lit(float(len(t))) for t in (sorted(set(words(s))) for s in sentences)]
-        cases = F.when(F.col("family") == f, F.greatest(*sims)).otherwise(cases)
-    top = top.withColumn("similarity", cases)
+    # Template comparison: the largest share of one template sentence's words that the line holds, or of its 3-grams of
+    # words that the run holds, whose many words would hold those of a sentence by chance.
+    top = top.withColumn("_c", F.when(F.col("_whole"), F.when(F.size("_w") >= 3, gram(3))).otherwise(F.col("_w")))
+    share = lambda t: F.size(F.array_intersect("_c", F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
+    threes = lambda w: sorted({" ".join(w[i : i + 3]) for i in range(len(w) - 2)})
+    held = F.array(*(F.coalesce(F.greatest(*(F.when(F.col("_whole"), share(threes(words(s)))).otherwise(share(sorted(set(words(s))))) for s in TEMPLATES[f])), F.lit(0.0)) for f in classes[:-1]))
+    top = top.withColumn("_h", held)
+    # Other sentences of a run blur its scores: where a run holds a template sentence, the comparison names the family.
+    named = F.when(F.col("_whole") & (F.array_max("_h") >= overlap), F.array_position("_h", F.array_max("_h")).cast("int"))
+    top = top.withColumn("_f", named).withColumn("family", F.when(F.col("_f").isNull(), F.col("family")).otherwise(F.element_at(F.array(*map(F.lit, classes)), F.col("_f"))))
+    top = top.withColumn("probability", F.when(F.col("_f").isNull(), F.col("probability")).otherwise(F.col("probability") * F.exp(F.element_at("_z", F.col("_f")) - F.col("_m"))))
+    top = top.withColumn("similarity", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.element_at("_h", F.array_position(F.array(*map(F.lit, classes[:-1])), F.col("family")).cast("int"))))
+    alone = F.collect_set(F.when(~F.col("_whole") & (F.col("similarity") >= overlap), F.col("family"))).over(Window.partitionBy("_row", "_run"))
+    top = top.withColumn("_alone", alone).filter(~(F.col("_whole") & F.array_contains("_alone", F.col("family"))))
     return top.select("_row", *(F.col("_in")[c].alias(c) for c in kept), "paragraph", "family", "probability", "similarity", (F.col("similarity") >= overlap).alias("confirmed"))

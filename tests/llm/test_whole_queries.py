@@ -3,7 +3,7 @@
 import math
 from collections import Counter
 
-from quire.llm import queries, search
+from quire.llm import licences, queries, search
 
 
 def test_registered_search_asks_with_every_term(spark, tmp_path):
@@ -46,3 +46,31 @@ def test_adding_up_is_as_exact_as_wand():
     made = [(known[at], s, np.maximum.reduceat(s, np.arange(0, len(at), search.BLOCK))) for at, s in lists]
     for k in (1, 5, 50, 900):
         assert search.add_up(lists, known, k) == search.wand(made, k)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+  
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+SHORT = "some words\nReleased under the MIT License.\nmore words"
+PROSE = "The software license server is down again, free of charge,\nand any person with permission is hereby told of this copy."
+
+
+def test_wrapped_licences_are_found(spark):
+    frame = spark.createDataFrame([(1, MIT), (2, BSD), (3, SHORT), (4, PROSE), (5, MIT.replace("\n", "\r\n"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan_licences(frame).filter("confirmed").collect())
+    assert got == [(1, 4, "mit"), (1, 11, "mit"), (2, 0, "bsd"), (2, 3, "bsd"), (3, 1, "mit"), (5, 4, "mit"), (5, 11, "mit")]
