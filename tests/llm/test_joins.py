@@ -141,6 +141,41 @@ def test_join_of_awkward_rows(spark):
     assert jaccard.linked(nothing(spark)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32 - 1), st.sampled_from([70, 80, 90]))
+def test_linked_sets_share_a_signature_and_have_close_sketches(size, seed, percent):
+    rng = np.random.default_rng(seed)
+    s = np.unique(rng.integers(0, 2**64, size, np.uint64))
+    for _ in range(4):
+        a = s[rng.random(len(s)) > rng.random() * 0.4]
+        t = np.unique(np.concatenate([a, rng.integers(0, 2**64, int(rng.random() * 0.3 * len(s)), np.uint64)]))
+        common = len(np.intersect1d(s, t))
+        if not len(t) or 100 * common < percent * (len(s) + len(t) - common):
+            continue
+        bands = jaccard.Bands(percent)
+        assert set(bands.signatures(s).tolist()) & set(bands.signatures(t).tolist())
+        x, y = jaccard.fold([jaccard.sketch(s), jaccard.sketch(t)])
+        assert np.bitwise_count(x ^ y).sum() <= len(s) + len(t) - 2 * common <= jaccard.allowed(len(s), len(t), percent)
+
+
+def test_signatures_choose_two_of_three_subparts():
+    s = np.unique(np.random.default_rng(2).integers(0, 2**64, 300, np.uint64))
+    bands = jaccard.Bands(80)
+    made = bands.signatures(s)
+    assert len(jaccard._CHOICES) == 3 and all(len(c) == 2 for c in jaccard._CHOICES)
+    changed = np.unique(np.append(s[1:], s[0] ^ np.uint64(1)))  # one subpart of one part differs in each band
+    kept = np.isin(made, bands.signatures(changed)).sum()
+    assert len(made) - kept == 4
+
+
+def test_joined_rows_without_an_id_still_link(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    near = [words, words + " x", "y " + words + " x", " ".join(f"v{i}" for i in range(30))]
+    frame = spark.createDataFrame([(5, near[0]), (None, near[1]), (9, near[2]), (9, near[3]), (4, near[3])], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.n_links) for r in jaccard.linked(frame, 5, 97).collect())
+    assert got == [(-1, 57, 5, 2), (4, 26, 4, 1), (5, 56, 5, 1), (9, 26, 4, 1), (9, 58, 5, 1)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in jaccard.components(edges).collect()}
