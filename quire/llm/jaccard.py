@@ -35,6 +35,8 @@ from .common import Screen, drop_settled, settle
 SUBPARTS, KEEP_OUT = 3, 1
 #: Expected members of a block, and expected n-grams of all its sets.
 BLOCK, ELEMENTS = 2048, 1_000_000
+#: Expected members of signatures that one call compares.
+COMPARED = 8192
 #: Texts whose signatures are made before they are handed on; distinct sets that a task remembers.
 PORTION, REMEMBERED = 500, 100_000
 
@@ -259,26 +261,35 @@ def _edges(rows: pd.DataFrame, columns: pd.DataFrame, link: np.ndarray, same: bo
 
 
 def _compare(percent: int):
-    """Of a signature's members in one or two blocks, those connected by sketches that may belong to linked sets."""
+    """Of the members of many signatures, each in one or two blocks, those connected by sketches that may belong to
+    linked sets."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("node", ignore_index=True)
-        rows, columns = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if not len(rows) or not len(columns):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        data = fold([np.frombuffer(x, np.uint64) for x in pdf["sketch"]])
-        x, y = data[rows.index], data[columns.index]
-        size = [f["n_shingles"].to_numpy() for f in (rows, columns)]
-        near = [f["near"].to_numpy() for f in (rows, columns)]
-        link = np.zeros((len(x), len(y)), bool)
-        step = max(1, 4_000_000 // (len(y) * x.shape[1]))
-        for at in range(0, len(x), step):
-            apart = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
-            # Members near the hub are connected already.
-            link[at : at + step] = (apart <= allowed(size[0][at : at + step, None], size[1][None], percent)) & ~(near[0][at : at + step, None] & near[1][None])
-        made = _edges(rows, columns, link, i == j)
-        return made[made["a"] != made["b"]][["a", "b"]]
+        pdf = pdf.sort_values(["signature", "block", "node"], ignore_index=True)
+        node, block, near, size = (pdf[c].to_numpy() for c in ("node", "block", "near", "n_shingles"))
+        data = [np.frombuffer(x, np.uint64) for x in pdf["sketch"]]
+        edge = np.flatnonzero(np.append(True, np.diff(pdf["signature"].to_numpy()) != 0))
+        out = [np.zeros((2, 0), np.int64)]
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(pdf)]):
+            cut = lo if i == j else lo + int(np.searchsorted(block[lo:hi], max(i, j)))
+            rows, columns = (slice(lo, hi), slice(lo, hi)) if i == j else (slice(lo, cut), slice(cut, hi))
+            if rows.stop == rows.start or columns.stop == columns.start:
+                continue
+            bits = fold(data[lo:hi])
+            x, y = bits[rows.start - lo : rows.stop - lo], bits[columns.start - lo : columns.stop - lo]
+            step = max(1, 4_000_000 // y.size)
+            for at in range(0, len(x), step):
+                r = slice(rows.start + at, min(rows.start + at + step, rows.stop))
+                apart = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                # Members near the hub are connected already.
+                link = (apart <= allowed(size[r, None], size[None, columns], percent)) & ~(near[r, None] & near[None, columns])
+                if link.any():
+                    ends = np.concatenate([node[r], node[columns]])
+                    out.append(np.stack([ends, ends[np.concatenate(_labels(link))]]))
+        made = np.unique(np.concatenate(out, 1), axis=1)
+        made = made[:, made[0] != made[1]]
+        return pd.DataFrame({"a": made[0], "b": made[1]})
 
     return one
 
@@ -357,16 +368,19 @@ def candidates(documents: DataFrame, sets: DataFrame, n: int, percent: int, text
     to = sets.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("n_shingles").alias("hub_n"))
     pairs = met.select("node", "hub").distinct().join(sets, "node").join(to, "hub")
     near = settle(pairs.select("node", "hub", _close(percent)("sketch", "n_shingles", "hub_sketch", "hub_n").alias("near")))
-    # Groups with a member that is not near their hub.
-    open_ = met.join(near.filter("not near").select("node", "hub"), ["node", "hub"], "left_semi").select("signature").distinct()
-    rest = met.join(open_, "signature", "left_semi").join(near, ["node", "hub"])
-    hubs = rest.select("signature", F.col("hub").alias("node"), F.lit(True).alias("near")).distinct()
-    members = rest.select("signature", "node", "near").unionByName(hubs).join(sets, "node").withColumn("copies", F.lit(1))
-    blocks = _in_blocks(members, "signature", F.count("*") / BLOCK)
-    found = blocks.groupBy("signature", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+    # Groups with more pairs than those with the hub, and a member that is not near it; of groups with equal members, one.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in (1, 2)]
+    groups = met.join(near, ["node", "hub"]).groupBy("signature", "hub").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far"), *same)
+    groups = groups.filter("n > 1 and far > 0").groupBy("hub", "n", "same1", "same2").agg(F.min("signature").alias("signature"))
+    groups = settle(groups)
+    portions = -(-(groups.agg(F.sum("n")).first()[0] or 1) // COMPARED)
+    rest = met.join(groups.select("signature"), "signature", "left_semi").join(near, ["node", "hub"]).select("signature", "node", "near")
+    members = rest.unionByName(groups.select("signature", F.col("hub").alias("node"), F.lit(True).alias("near"))).join(sets, "node")
+    blocks = _in_blocks(members, "signature", F.count("*") / BLOCK).withColumn("portion", F.pmod(F.xxhash64("signature"), F.lit(portions)))
+    found = blocks.drop("blocks").groupBy("portion", "i", "j").applyInPandas(_compare(percent), "a long, b long")
     edges = settle(near.filter("near").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(found).distinct())
-    drop_settled(met)
-    drop_settled(near)
+    for done in (met, near, groups):
+        drop_settled(done)
     return edges
 
 
