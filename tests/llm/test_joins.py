@@ -54,19 +54,53 @@ def test_hilbert_steps_are_neighbours():
         assert (np.abs(np.diff(cells[key.argsort()], axis=0)).sum(1) == 1).all()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.dictionaries(st.integers(0, 400), st.floats(0.1, 5), min_size=1, max_size=200), min_size=1, max_size=5), st.integers(1, 8))
-def test_wand_is_exact(lists, k):
-    made, total = [], Counter()
-    for x in lists:
-        ids = np.array(sorted(x))
-        scores = np.array([x[i] for i in ids.tolist()])
-        made.append((ids, scores, np.maximum.reduceat(scores, np.arange(0, len(ids), search.BLOCK))))
-        for i in x:
-            total[i] += x[i]
-    want = sorted(((round(s, 9), i) for i, s in total.items()), key=lambda x: (-x[0], x[1]))[:k]
-    got = search.wand(made, k)
-    assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want])
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 400), st.integers(1, 60), st.integers(1, 40), st.integers(1, 12), st.integers(0, 2**32 - 1), st.sampled_from([1, 4, 64]))
+def test_block_max_wand_is_exact(docs, vocab, asked, k, seed, block):
+    rng = np.random.default_rng(seed)
+    rare = rng.random(vocab) ** 3  # some terms nearly everywhere, others nearly nowhere
+    ids = np.sort(rng.choice(10_000, docs, replace=False))
+    terms = [np.flatnonzero(rng.random(vocab) < rare) for _ in ids]
+    tfs = [rng.integers(1, 5, len(t)).astype(np.int32) for t in terms]
+    length = np.array([int(f.sum()) + 1 for f in tfs])
+    query, idf = rng.permutation(vocab)[:asked], rng.random(vocab)[:asked] * 5
+    old, search.BLOCK = search.BLOCK, block
+    try:
+        shuffled = rng.permutation(docs)
+        index = search.Index(ids[shuffled], length[shuffled], [terms[i] for i in shuffled], [tfs[i] for i in shuffled], float(length.mean()))
+        got = index.best(query, idf, k)
+    finally:
+        search.BLOCK = old
+    want = []
+    for i, n, t, f in zip(ids, length, terms, tfs):
+        tf = dict(zip(t.tolist(), f.tolist()))
+        s = sum(w * tf[q] * 2.2 / (tf[q] + 1.2 * (0.25 + 0.75 * n / length.mean())) for q, w in zip(query.tolist(), idf.tolist()) if q in tf)
+        if s:
+            want.append((round(s, 9), i))
+    want = sorted(want, key=lambda x: (-x[0], x[1]))[:k]
+    assert np.allclose(got[1], [s for s, _ in want], atol=1e-8)
+    apart = np.diff(got[1]) < -1e-7
+    if apart.all():
+        assert got[0].tolist() == [i for _, i in want] or len(want) == k
+
+
+def test_search_over_shards_and_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD", 30)
+    monkeypatch.setattr(search, "QUERIES", 5)
+    rng = np.random.default_rng(6)
+    held = {i: [f"w{j}" for j in np.flatnonzero(rng.random(40) < rng.random(40) ** 2)] for i in range(90)}
+    held |= {i: held[i - 90] for i in range(90, 96)}  # ties across shards
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in held.items()], "doc_id long, text string").repartition(3)
+    asks = docs.filter("doc_id < 10").withColumnRenamed("doc_id", "query_id")
+    got = {}
+    for r in search.top_k(docs, asks, 4, exclude_self=True).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    n, mean = len(held), sum(map(len, held.values())) / len(held)
+    df = Counter(w for t in held.values() for w in t)
+    for q in range(10):
+        score = {i: round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(held[q]) & set(t)), 9) for i, t in held.items() if i != q}
+        want = sorted(((-s, i) for i, s in score.items() if s))[:4]
+        assert [(i, s) for _, i, s in sorted(got.get(q, []))] == [(i, pytest.approx(-s, abs=1e-8)) for s, i in want]
 
 
 def test_search_matches_brute_force(spark):

@@ -34,20 +34,6 @@ def test_every_term_counts_by_default(spark):
     assert search.salient(asked, stats, docs.count(), None).count() == 5
 
 
-def test_adding_up_is_as_exact_as_wand():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    known = np.sort(rng.choice(5000, 700, replace=False))
-    lists = []
-    for _ in range(40):
-        at = np.sort(rng.choice(700, int(rng.integers(1, 300)), replace=False))
-        lists.append((at, rng.integers(1, 4, len(at)) / 7.0))
-    made = [(known[at], s, np.maximum.reduceat(s, np.arange(0, len(at), search.BLOCK))) for at, s in lists]
-    for k in (1, 5, 50, 900):
-        assert search.add_up(lists, known, k) == search.wand(made, k)
-
-
 MIT = """MIT License
 
 Copyright (c) 2020 Some One
