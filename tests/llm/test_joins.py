@@ -67,7 +67,7 @@ def test_block_max_wand_is_exact(docs, vocab, asked, k, seed, block):
     old, search.BLOCK = search.BLOCK, block
     try:
         shuffled = rng.permutation(docs)
-        index = search.Index(ids[shuffled], length[shuffled], [terms[i] for i in shuffled], [tfs[i] for i in shuffled], float(length.mean()))
+        index = search.Index(ids[shuffled], length[shuffled], [terms[i].astype(np.int64).tobytes() for i in shuffled], [tfs[i].tobytes() for i in shuffled], float(length.mean()), np.unique(query))
         got = index.best(query, idf, k)
     finally:
         search.BLOCK = old
