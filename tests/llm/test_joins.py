@@ -79,6 +79,9 @@ def test_block_max_wand_is_exact(docs, vocab, asked, k, seed, block):
             want.append((round(s, 9), i))
     want = sorted(want, key=lambda x: (-x[0], x[1]))[:k]
     assert np.allclose(got[1], [s for s, _ in want], atol=1e-8)
+    if want:  # a threshold that is reached changes nothing
+        again = index.best(query, idf, k, want[-1][0])
+        assert again[0].tolist() == got[0].tolist() and again[1].tolist() == got[1].tolist()
     apart = np.diff(got[1]) < -1e-7
     if apart.all():
         assert got[0].tolist() == [i for _, i in want] or len(want) == k
