@@ -24,19 +24,23 @@ from .common import scan
 
 END_ID = 1
 SEQUENCE, SEGMENTS = 2048, 256
-#: Expected pieces of a group.
-GROUP = 2048
+#: Expected pieces of a group; texts whose new words are learnt together.
+GROUP, STEP = 2048, 512
 
-#: Characters on which the tokenizer's and Python's ideas of white space may differ, or that the lean path leaves alone.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿\x00]")
-_PUNCTUATION = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Characters on which the tokenizer's and Python's ideas of white space may differ; a text with one is encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\u1680\u180e\u200b\u2060\ufeff\x00]")
+#: Characters that normalisation may change, or that are digits to the one and letters to the other.
+_FAR = re.compile("[²³¹¼½¾\u0250-\U0010ffff]")
+#: Fixed value: what the tokenizer never reads across, in lower-case text.
+_RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class Words(dict):
-    """The ids, as bytes, of what stands between white space; tokens never cross white space in this tokenizer."""
+    """The ids, as bytes, of each run of letters, digit or run of other characters in lower case, between which the
+    tokenizer never reads; and of words with characters beyond the Latin letters, as they stand."""
 
-    #: Most words, and runs of letters, that are remembered; when there are more, the first ones stay, which are the most common.
-    WORDS, RUNS = 700_000, 1_000_000
+    #: Most runs that are remembered; when there are more, the first ones stay, which are the most common.
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -45,60 +49,57 @@ class Words(dict):
         self.lean = Tokenizer.from_file(path)
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # A special token that stands in a text is one token.
+        special = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD.pattern, *special]), re.I)
         self.ends = np.zeros(self.full.get_vocab_size(), bool)
         for token, i in self.full.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.plain = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return np.asarray(self.full.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encode many words at once: runs of ASCII letters, alone or before punctuation, through the lean
-        tokenizer in one text; others one by one."""
-        for kept, most in ((self, self.WORDS), (self.plain, self.RUNS)):
-            if len(kept) > most:
-                early = list(islice(kept.items(), most // 3))
-                kept.clear()
-                kept.update(early)
-        split = {}
-        for w in words:
-            if w.isascii() and (w.isalpha() or (m := _PUNCTUATION.fullmatch(w))):
-                split[w] = (w.lower(), "") if w.isalpha() else (m[1].lower(), m[2])
-            elif w.isalpha() and len(w) < 64 and (low := w.lower()).isalpha() and self._composed(low):
-                split[w] = (low, "")
-            elif (core := w[:-1]).isalpha() and w[-1] in ".," and len(w) < 64 and (low := core.lower()).isalpha() and self._composed(low):
-                split[w] = (low, w[-1])
-        cores = list({a for a, _ in split.values()} - self.plain.keys())
-        for at in range(0, len(cores), 20_000):
-            part = cores[at : at + 20_000]
-            ids = np.asarray(self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):  # not one run for each word: take the plain way
-                self.plain.update((w, self[w]) for w in part)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def learn(self, runs: set[str]) -> None:
+        """Encode many runs at once, as the words of one text."""
+        plain = []
+        for x in runs:
+            if _FAR.search(x):
+                self[x] = self.whole(x)
             else:
-                self.plain.update((w, x.tobytes()) for w, x in zip(part, np.split(ids, cuts[:-1])))
-        for w in words:
-            if w in split:
-                core, tail = split[w]
-                if tail and tail not in self.plain:
-                    self.plain[tail] = self[tail]
-                self[w] = self.plain[core] + (self.plain[tail] if tail else b"")
+                plain.append(x)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.asarray(self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):  # not one end for each run: take the plain way
+                self.update((x, self.whole(x)) for x in part)
             else:
-                self[w] = self[w]
+                raw = ids.tobytes()
+                self.update((x, raw[a:b]) for x, a, b in zip(part, [0, *ends], ends))
 
     @staticmethod
-    def _composed(word: str) -> bool:
-        """Latin letters that normal form C leaves as they are."""
-        return max(word) < "ɐ"
+    def runs(text: str) -> list[str]:
+        low = text.lower()
+        if not _FAR.search(low):
+            return _RUN.findall(low)
+        out = []
+        for w in text.split():
+            if _FAR.search(low := w.lower()):
+                out.append(w if _FAR.search(w) else low)
+            else:
+                out += _RUN.findall(low)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
-        unseen = set(chain.from_iterable(words for words in split if words)).difference(self)
-        if unseen:
+        if len(self) > self.MOST:
+            early = list(islice(self.items(), self.MOST // 3))
+            self.clear()
+            self.update(early)
+        split = [None if t and self.odd.search(t) else self.runs(t or "") for t in texts]
+        if unseen := set(chain.from_iterable(x for x in split if x)).difference(self):
             self.learn(unseen)
         get = self.__getitem__
-        return [b"".join(map(get, words)) if words is not None else get(t) for words, t in zip(split, texts)]
+        return [b"".join(map(get, runs)) if runs is not None else self.whole(t) for runs, t in zip(split, texts)]
 
 
 _words: dict[str, Words] = {}
@@ -119,8 +120,8 @@ def pieces(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def rows(keys, texts):
         coder, end = words_of(tokenizer), np.uint32(END_ID).tobytes()
         totals, cut = [], []
-        for at in range(0, len(texts), 256):
-            for ids in coder.encode(texts[at : at + 256]):
+        for at in range(0, len(texts), STEP):
+            for ids in coder.encode(texts[at : at + STEP]):
                 ids = memoryview(ids + end)
                 totals.append(len(ids) // 4)
                 cut.append([{"start": a // 4, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for a in range(0, len(ids), 4 * length) for x in [ids[a : a + 4 * length]]])
