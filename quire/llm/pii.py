@@ -15,7 +15,9 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,10 @@ KINDS = ("email", "ip", "card", "phone", "context")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9/_.#-]*[A-Za-z0-9]")
-_DIGIT_RUN = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,12 +58,24 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _addresses(text: str):
+    """Leftmost non-overlapping matches of _IP whose parts are at most 255. A match begins with a run of digits, and if
+    the run's first digit begins none, no other digit of it does; so each run is tried once."""
+    past = 0
+    for run in _DIGITS.finditer(text):
+        if run.start() >= past and text[run.end() : run.end() + 1] == "." and (m := _IP.match(text, run.start())):
+            past = m.end()
+            # int() of a long run would raise: only its last three digits may be other than 0.
+            if all(int(p[-3:]) <= 255 and not p[:-3].strip("0") for p in m[0].split(".")):
+                yield "ip", m.start(), past
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of the plain kinds, by kind, then start."""
     if not text:
         return []
     out = list(_emails(text))
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += _addresses(text)
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and _luhn(digits):
@@ -70,19 +84,36 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _before(text: str, start: int) -> str | None:
-    """The two words before a place in its line, lower-cased; None where there are not two."""
-    lo = max(text.rfind("\n", 0, start) + 1, start - 80)
-    words = _WORD.findall(text[lo:start])
-    return " ".join(words[-2:]).lower() if len(words) >= 2 else None
+class _Words:
+    """The two words before a place in its line, lower-cased, whatever their length; each line is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.lines = text, {}
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def before(self, start: int) -> str | None:
+        n = bisect_left(self.breaks, start)
+        if n not in self.lines:
+            floor = self.breaks[n - 1] + 1 if n else 0
+            self.lines[n] = [m.span() for m in _WORD.finditer(self.text, floor, self.breaks[n] if n < len(self.breaks) else len(self.text))]
+        words = self.lines[n]
+        n = bisect_left(words, (start,))  # words that begin before the place; the last may reach beyond it
+        return " ".join(self.text[a : min(b, start)] for a, b in words[n - 2 : n]).lower() if n >= 2 else None
 
 
 def _instances(text: str, spans) -> list[tuple[str, str, int, int, bool]]:
     """(pattern, instance, start, end, seed): the seeds, and tokens with at least four digits that no seed covers."""
-    out = [(p, text[a:b].lower(), a, b, True) for _, a, b in spans if (p := _before(text, a))]
+    words = _Words(text)
+    out = [(p, text[a:b].lower(), a, b, True) for _, a, b in spans if (p := words.before(a))]
     covered = sorted((a, b) for _, a, b in spans)
+    reach = list(accumulate((b for _, b in covered), max))
+
+    def meets(start: int, end: int) -> bool:
+        n = bisect_left(covered, (end,))  # spans that begin before the end
+        return n > 0 and reach[n - 1] > start
+
     past = 0
-    for run in _DIGIT_RUN.finditer(text):
+    for run in _DIGITS.finditer(text):
         if run.start() < past:
             continue
         lo = run.start()
@@ -91,7 +122,7 @@ def _instances(text: str, spans) -> list[tuple[str, str, int, int, bool]]:
         if not (m := _TOKEN.search(text, lo)) or m.start() > run.start():
             continue
         past = m.end()
-        if sum(c.isdigit() for c in m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, b in covered) and (p := _before(text, m.start())):
+        if sum(c.isdigit() for c in m[0]) >= 4 and not meets(m.start(), m.end()) and (p := words.before(m.start())):
             out.append((p, m[0].lower(), m.start(), m.end(), False))
     return out
 

@@ -3,6 +3,8 @@
 import re
 import zlib
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm.helpers import LONG, nothing, texts
 from quire.llm import licences, pii, secrets
 from quire.llm.common import settle
@@ -120,3 +122,30 @@ def test_licence_scan_of_awkward_rows(spark):
     got = licences.scan_licences(texts(spark, [(9, "Released under the MIT License."), (9, "Released under the MIT License.")]))
     assert [(r.doc_id, r.family) for r in got.collect()] == [(9, "mit")] * 2
     assert licences.scan_licences(nothing(spark)).count() == 0
+
+
+def test_long_digit_runs_take_linear_time():
+    import time
+
+    for text in ("9" * 1_000_000, "9" * 5000 + ".1.1.1", "1." * 300_000, "1234 " * 200_000, "0" * 6000 + "7.1.1.1 x"):
+        began = time.time()
+        spans = pii.find(text)
+        pii._instances(text, spans)
+        assert time.time() - began < 5
+    assert [k for k, *_ in pii.find("0" * 6000 + "7.1.1.1 x")] == ["ip"] and not [k for k, *_ in pii.find("9" * 5000 + ".1.1.1") if k == "ip"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("0123456789.", max_size=40))
+def test_addresses_are_those_of_the_pattern(text):
+    import re
+
+    want = [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    assert list(pii._addresses(text)) == want
+
+
+def test_patterns_hold_whole_words_and_meet_no_seed():
+    long = "w" * 200
+    text = f"first\nthe {long} number 12345 and mail a.b@example.com 6789"
+    got = pii._instances(text, pii.find(text))
+    assert [(p, v, s) for p, v, _, _, s in got] == [("and mail", "a.b@example.com", True), (f"{long} number", "12345", False), ("example com", "6789", False)]
