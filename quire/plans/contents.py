@@ -10,8 +10,8 @@ from ..sources import bindings as B
 from .registry import register
 
 _LEAF = """leaf AS (SELECT l.doc_id AS document_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.pos) - 1 AS k, m.reference_id,
-  CASE WHEN m.reference_id IS NULL THEN regexp_replace(substr(l.line, 1, 60), '[^A-Za-z0-9 .,]', '', 'g') END AS text
-  FROM lines l LEFT JOIN mentions m ON m.document_id = l.doc_id AND m.pos = l.pos WHERE l.pos < 40)"""
+  CASE WHEN m.reference_id IS NULL THEN regexp_replace(l.line, '[^A-Za-z0-9 .,]', '', 'g') END AS text
+  FROM lines l LEFT JOIN mentions m ON m.document_id = l.doc_id AND m.pos = l.pos)"""
 _L = B.with_clauses(B.MENTIONS, _LEAF)
 _M = B.with_clauses(B.MENTIONS)
 

@@ -30,7 +30,7 @@ def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     sections: [...]}]}. A file that is no JSON gives no rows.
 
     Sections are unfolded level by level; depth is bounded by the data."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v")).filter("v is not null")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v")).filter("v is not null")
     level = files.select("file", F.array().cast("array<int>").alias("path"), F.posexplode(F.try_variant_get("v", "$.sections", "array<variant>")).alias("at", "s")).select("file", F.concat("path", F.array("at")).alias("path"), "s")
     found = []
     while True:
