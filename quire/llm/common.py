@@ -115,7 +115,7 @@ class Screen(dict):
         return Screen, (self.words,)
 
     def __missing__(self, string: str) -> bool:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         known = self[string] = self.may_hold(string)
         return known

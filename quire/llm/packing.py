@@ -40,7 +40,7 @@ class Words(dict):
     tokenizer never reads; and of words with characters beyond the Latin letters, as they stand."""
 
     #: Most runs that are remembered; when there are more, the first ones stay, which are the most common.
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -92,7 +92,7 @@ class Words(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.MOST:
-            early = list(islice(self.items(), self.MOST // 3))
+            early = list(islice(self.items(), self.MOST // 2))
             self.clear()
             self.update(early)
         split = [None if t and self.odd.search(t) else self.runs(t or "") for t in texts]

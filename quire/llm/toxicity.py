@@ -32,7 +32,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> bytes:
         w = word.lower().strip(_OUTER)
         code = xxhash.xxh3_128_digest(w.encode("utf-8", "replace")) if w else b""
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = code
         return code
