@@ -17,9 +17,9 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def deterministic_id(kind: str, key) -> Column:
-    """A UUID (version 5 layout) that the kind and the key alone decide."""
-    h = F.sha2(F.concat(F.lit(f"ocp:{kind}:"), c(key).cast("string")), 256)
+def deterministic_id(kind: str, key, namespace: str = "quire") -> Column:
+    """A UUID (version 5 layout) that the namespace, the kind and the key alone decide."""
+    h = F.sha2(F.concat(F.lit(f"{namespace}:{kind}:"), c(key).cast("string")), 256)
     variant = F.lower(F.conv((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8).cast("string"), 10, 16))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 

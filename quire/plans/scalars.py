@@ -34,7 +34,7 @@ def _tokens(x):
 
 @register("deterministic_id", """SELECT p_partkey, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' ||
   substr('89ab', (('0x' || substr(h,17,1))::INT & 3) + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12) AS id
-  FROM (SELECT p_partkey, sha256('ocp:part:' || p_partkey) AS h FROM part)""")
+  FROM (SELECT p_partkey, sha256('quire:part:' || p_partkey) AS h FROM part)""")
 def _(spark, d):
     return B.read(spark, d, "part").select("p_partkey", T.deterministic_id("part", "p_partkey").alias("id"))
 
