@@ -76,7 +76,7 @@ def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own:
     """(query_id, place, section_id): sections with a word that begins with each term, core hits shown at the sections
     that share them; own sections first. shared: (core_id, section_id)."""
     terms = parse_terms(q, 8)
-    first = lambda c: F.substring(c, 1, 2)
+    first = lambda c: F.substring(c, 1, 1)  # noqa: E731  # a term may have one letter only
     words = postings.select("term").distinct().withColumn("_b", first(F.col("term"))).withColumnRenamed("term", "word")
     wide = terms.withColumn("_b", first(F.col("term"))).join(words, "_b").filter(F.col("word").startswith(F.col("term"))).select("query_id", "term", "word")
     hits = postings.withColumnRenamed("term", "word").join(wide, "word").groupBy("query_id", "section_id").agg(F.countDistinct("term").alias("m"), F.sum(F.col("title_tf") * 3 + F.col("body_tf")).alias("s"))

@@ -125,3 +125,13 @@ def test_corpus_schemas_read_back(spark, tmp_path):
     for name, ddl in corpus.TABLES.items():
         spark.createDataFrame([], ddl).write.parquet(str(tmp_path / name))
     assert {n: df.count() for n, df in corpus.load_corpus(spark, str(tmp_path)).items()} == dict.fromkeys(corpus.TABLES, 0)
+
+
+def test_one_letter_finds_words_that_begin_with_it(spark):
+    from quire.operators import search
+
+    postings = spark.createDataFrame([(1, "tree", 1, 0), (2, "the", 0, 2), (3, "apple", 1, 1)], "section_id long, term string, title_tf long, body_tf long")
+    q = spark.createDataFrame([(1, "t"), (2, "th")], "query_id long, text string")
+    shared = spark.createDataFrame([], "core_id long, section_id long")
+    got = sorted((r.query_id, r.section_id) for r in search.search_workspace(q, postings, shared).collect())
+    assert got == [(1, 1), (1, 2), (2, 2)]
