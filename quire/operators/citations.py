@@ -74,13 +74,15 @@ def resolve_citations(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     """(mention, reference_id, rule): exact key, then a unique prefix of the same year, then the author alone where that
     is unique (a year slip); misses have no reference and the reason "no entry" or "several entries".
 
-    mentions: (mention, author, year); keys: (reference_id, author, year). Each stage joins on author or year.
+    mentions: (mention, author, year); keys: (reference_id, author, year). The stages join on author and year, on year and the
+    author's first letter, and on the author; an empty author is no prefix.
     """
     one = lambda g: g.agg(F.countDistinct("reference_id").alias("n"), F.min("reference_id").alias("r"))
     m = mentions
     exact = one(m.join(keys, ["author", "year"]).groupBy("mention"))
-    k = keys.select(F.col("author").alias("full"), "year", "reference_id")
-    prefix = one(m.join(k, "year").filter(F.col("full").startswith(F.col("author")) & (F.col("full") != F.col("author"))).groupBy("mention"))
+    first = F.substring("author", 1, 1).alias("_first")
+    k = keys.select(F.col("author").alias("full"), "year", "reference_id", first)
+    prefix = one(m.select("*", first).join(k, ["year", "_first"]).filter(F.col("full").startswith(F.col("author")) & (F.col("full") != F.col("author"))).groupBy("mention"))
     author = one(m.join(keys.select("author", "reference_id"), "author").groupBy("mention"))
     out = m.select("mention")
     for name, found in (("exact", exact), ("prefix", prefix), ("author", author)):

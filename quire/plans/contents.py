@@ -35,9 +35,9 @@ def _(spark, d):
     return O.plain_text(nodes(spark, d))
 
 
-@register("citations_in", _L + ", h AS (SELECT DISTINCT document_id FROM leaf WHERE document_id % 4 = 0), c AS (SELECT document_id, 0 AS s, 0 AS k, 'heading' AS reference_id FROM h UNION ALL SELECT document_id, 1, k, reference_id FROM leaf WHERE reference_id IS NOT NULL) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY s, k) AS place, reference_id FROM c")
+@register("citations_in", _L + ", h AS (SELECT DISTINCT document_id FROM leaf), c AS (SELECT document_id, 0 AS s, 0 AS k, 'heading' AS reference_id FROM h UNION ALL SELECT document_id, 1, k, reference_id FROM leaf WHERE reference_id IS NOT NULL) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY s, k) AS place, reference_id FROM c")
 def _(spark, d):
-    heads = B.bodies(spark, d).filter("document_id % 4 = 0").select("document_id", F.lit(0).alias("place"), F.lit("heading").alias("reference_id"))
+    heads = B.bodies(spark, d).select("document_id", F.lit(0).alias("place"), F.lit("heading").alias("reference_id"))
     return O.citations_in(nodes(spark, d), heads)
 
 
@@ -109,26 +109,26 @@ def _(spark, d):
     return C.missing_references(B.mentions(spark, d), B.references(spark, d).filter("id >= '4'"))
 
 
-@register("where_cited", _M + "SELECT r.id AS reference_id, count(DISTINCT m.document_id) AS documents, count(m.pos) AS mentions FROM refs r LEFT JOIN mentions m ON m.reference_id = r.id AND m.document_id % 2 = 0 GROUP BY 1")
+@register("where_cited", _M + "SELECT r.id AS reference_id, count(DISTINCT m.document_id) AS documents, count(m.pos) AS mentions FROM refs r LEFT JOIN mentions m ON m.reference_id = r.id GROUP BY 1")
 def _(spark, d):
-    return C.where_cited(B.mentions(spark, d).filter("document_id % 2 = 0"), B.references(spark, d))
+    return C.where_cited(B.mentions(spark, d), B.references(spark, d))
 
 
-@register("reference_successors", """WITH RECURSIVE v AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER w AS nxt FROM orders WHERE o_custkey % 3 = 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+@register("reference_successors", """WITH RECURSIVE v AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
   c AS (SELECT id, id AS latest, 0 AS steps FROM v UNION ALL SELECT c.id, v.nxt, steps + 1 FROM c JOIN v ON v.id = c.latest WHERE v.nxt IS NOT NULL)
   SELECT id, arg_max(latest, steps) AS latest, CAST(max(steps) AS BIGINT) AS steps FROM c GROUP BY 1""")
 def _(spark, d):
     from pyspark.sql import Window
 
-    o = B.read(spark, d, "orders").filter("o_custkey % 3 = 0")
+    o = B.read(spark, d, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return C.reference_successors(o.select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("supersedes")))
 
 
-@register("deletable_references", _M + """, p AS (SELECT reference_id, list_sort(list(DISTINCT document_id))[1:5] AS p FROM mentions WHERE document_id % 3 = 0 GROUP BY 1)
+@register("deletable_references", _M + """, p AS (SELECT reference_id, list_sort(list(DISTINCT document_id))[1:5] AS p FROM mentions GROUP BY 1)
   SELECT id, p IS NULL AS deletable, coalesce(array_to_string(p, ','), '') AS places FROM refs LEFT JOIN p ON reference_id = id""")
 def _(spark, d):
-    return C.deletable_references(B.references(spark, d), B.mentions(spark, d).filter("document_id % 3 = 0"))
+    return C.deletable_references(B.references(spark, d), B.mentions(spark, d))
 
 
 @register("reference_register", _M + "," + _NUM + """, r AS (SELECT * FROM refs WHERE id >= '4'), o AS (SELECT CASE WHEN id < '6' THEN -1 ELSE document_id END AS document_id, id FROM r)
@@ -139,9 +139,9 @@ def _(spark, d):
     return C.reference_register(B.mentions(spark, d), ref)
 
 
-@register("reference_union", _M + "SELECT document_id, reference_id FROM mentions WHERE document_id % 2 = 1 UNION SELECT document_id, id FROM refs")
+@register("reference_union", _M + "SELECT document_id, reference_id FROM mentions UNION SELECT document_id, id FROM refs")
 def _(spark, d):
-    return C.reference_union(B.mentions(spark, d).filter("document_id % 2 = 1"), B.references(spark, d))
+    return C.reference_union(B.mentions(spark, d), B.references(spark, d))
 
 
 _EDIT = "e AS (SELECT id, document_id, citation || ' (revised)' AS citation, id < '8' AS frozen FROM refs)"
@@ -154,7 +154,7 @@ def _(spark, d):
     return C.supersede_references(ref.select("id", "document_id"), edits, ref.filter("id < '8'"))[0]
 
 
-@register("resolve_citations", """WITH k AS (SELECT p_partkey AS reference_id, split_part(p_name, ' ', 1) AS author, p_size AS year FROM part WHERE p_partkey % 7 = 0), m AS (SELECT p_partkey AS mention, CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 3) ELSE split_part(p_name, ' ', 1) END AS author, p_size AS year FROM part),
+@register("resolve_citations", """WITH k AS (SELECT p_partkey AS reference_id, split_part(p_name, ' ', 1) AS author, p_size AS year FROM part), m AS (SELECT p_partkey AS mention, CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 3) ELSE split_part(p_name, ' ', 1) END AS author, p_size AS year FROM part),
   a AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k USING (author, year) GROUP BY 1), b AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k ON k.year = m.year AND starts_with(k.author, m.author) AND k.author <> m.author GROUP BY 1),
   c AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k USING (author) GROUP BY 1)
   SELECT m.mention, CASE WHEN a.n = 1 THEN a.r WHEN b.n = 1 THEN b.r WHEN c.n = 1 THEN c.r END AS reference_id, CASE WHEN a.n = 1 THEN 'exact' WHEN b.n = 1 THEN 'prefix' WHEN c.n = 1 THEN 'year slip' WHEN coalesce(a.n, b.n, c.n) IS NOT NULL THEN 'several entries' ELSE 'no entry' END AS rule
@@ -162,7 +162,7 @@ def _(spark, d):
 def _(spark, d):
     p = B.read(spark, d, "part")
     first = F.split("p_name", " ")[0]
-    keys = p.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("reference_id"), first.alias("author"), F.col("p_size").alias("year"))
+    keys = p.select(F.col("p_partkey").alias("reference_id"), first.alias("author"), F.col("p_size").alias("year"))
     mentions = p.select(F.col("p_partkey").alias("mention"), F.when(F.col("p_partkey") % 5 == 0, F.substring("p_name", 1, 3)).otherwise(first).alias("author"), F.col("p_size").alias("year"))
     return C.resolve_citations(mentions, keys)
 

@@ -12,13 +12,15 @@ from .registry import register
 _L = B.with_clauses(B.LINES)
 
 
-@register("match_titles", """WITH p AS (SELECT p_partkey, p_brand, p_name, list_distinct(string_split(p_name, ' ')) AS t FROM part), a AS (SELECT p_partkey AS title_id, p_brand, len(t) AS na, unnest(t) AS token FROM p WHERE p_partkey % 3 = 0),
-  b AS (SELECT p_partkey AS candidate_id, p_brand, length(p_name) AS l, len(t) AS nb, unnest(t) AS token FROM p WHERE p_partkey % 3 = 1), m AS (SELECT title_id, candidate_id, na, nb, l, count(*) AS n FROM a JOIN b USING (p_brand, token) GROUP BY ALL),
+@register("match_titles", """WITH p AS (SELECT p_partkey, p_brand, p_name, list_distinct(string_split(p_name, ' ')) AS t FROM part), q AS (SELECT p_partkey, p_brand, list_distinct([split_part(p_name, ' ', 1), lower(split_part(p_type, ' ', 1))]) AS t FROM part),
+  a AS (SELECT p_partkey AS title_id, p_brand, len(t) AS na, unnest(t) AS token FROM q),
+  b AS (SELECT p_partkey AS candidate_id, p_brand, length(p_name) AS l, len(t) AS nb, unnest(t) AS token FROM p), m AS (SELECT title_id, candidate_id, na, nb, l, count(*) AS n FROM a JOIN b USING (p_brand, token) GROUP BY ALL),
   j AS (SELECT *, n / (na + nb - n) AS j FROM m WHERE n / least(na, nb) >= 0.6 AND n / (na + nb - n) >= 0.25 AND (na > 1 OR nb <= 2))
   SELECT title_id, candidate_id, round(j, 9) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY j DESC, l, candidate_id) AS r FROM j) WHERE r = 1""")
 def _(spark, d):
     p = B.read(spark, d, "part").withColumn("tokens", F.array_distinct(F.split("p_name", " ")))
-    return O.match_titles(p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("title_id"), "p_brand", "tokens"), p.filter("p_partkey % 3 = 1").select(F.col("p_partkey").alias("candidate_id"), "p_brand", F.col("p_name").alias("title"), "tokens"), "p_brand")
+    asked = F.array_distinct(F.array(F.split("p_name", " ")[0], F.lower(F.split("p_type", " ")[0])))
+    return O.match_titles(p.select(F.col("p_partkey").alias("title_id"), "p_brand", asked.alias("tokens")), p.select(F.col("p_partkey").alias("candidate_id"), "p_brand", F.col("p_name").alias("title"), "tokens"), "p_brand")
 
 
 @register("nearest_documents", """WITH n AS (SELECT p_partkey AS document_id, p_name AS title, unnest(string_split(p_name, ' ')) AS w FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest([substr(split_part(p_name, ' ', 1), 2), split_part(p_name, ' ', 2)]) AS word FROM part WHERE p_partkey % 20 = 0),
@@ -58,13 +60,13 @@ def _(spark, d):
     return O.reference_lists_for_page(lists, pages)
 
 
-_BOX = "b AS (SELECT p_size AS page, CAST(p_partkey % 50 AS DOUBLE) AS x0, CAST(p_partkey % 70 AS DOUBLE) AS y0, p_partkey % 50 + 30.0 AS x1, p_partkey % 70 + 30.0 AS y1 FROM part WHERE p_partkey % 10 = 0), l AS (SELECT c_custkey, c_custkey % 50 AS page, c_custkey * 7 % 60 + 0.5 AS x0, c_custkey * 3 % 80 + 0.5 AS y0 FROM customer)"
+_BOX = "b AS (SELECT p_size AS page, CAST(p_partkey % 50 AS DOUBLE) AS x0, CAST(p_partkey % 70 AS DOUBLE) AS y0, p_partkey % 50 + 30.0 AS x1, p_partkey % 70 + 30.0 AS y1 FROM part), l AS (SELECT c_custkey, c_custkey % 50 AS page, c_custkey * 7 % 60 + 0.5 AS x0, c_custkey * 3 % 80 + 0.5 AS y0 FROM customer)"
 
 
 def _geometry(spark, d):
     k, s = F.col("p_partkey"), F.col("c_custkey")
     num = lambda c: c.cast("double")
-    boxes = B.read(spark, d, "part").filter("p_partkey % 10 = 0").select(F.lit(1).alias("doc"), F.col("p_size").alias("page"), num(k % 50).alias("x0"), num(k % 70).alias("y0"), num(k % 50 + 30).alias("x1"), num(k % 70 + 30).alias("y1"))
+    boxes = B.read(spark, d, "part").select(F.lit(1).alias("doc"), F.col("p_size").alias("page"), num(k % 50).alias("x0"), num(k % 70).alias("y0"), num(k % 50 + 30).alias("x1"), num(k % 70 + 30).alias("y1"))
     at = B.read(spark, d, "customer").select("c_custkey", F.lit(1).alias("doc"), (s % 50).alias("page"), (num(s * 7 % 60) + 0.5).alias("x0"), (num(s * 3 % 80) + 0.5).alias("y0"))
     return at.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 2}), boxes
 

@@ -49,10 +49,10 @@ def _(spark, d):
     return lifecycle.assemble_documents(s, "_k", "order_index", F.col("section_id").cast("string"), F.col("body")).select("_k.slug", "_k.part", "text")
 
 
-@register("get_quick_reference_guide", B.with_clauses(B.MENTIONS) + ", n AS (SELECT document_id, reference_id, row_number() OVER (PARTITION BY document_id ORDER BY min(pos), reference_id) AS number FROM mentions GROUP BY 1, 2) SELECT DISTINCT m.document_id, m.reference_id, n.number FROM mentions m JOIN n USING (document_id, reference_id) WHERE m.pos % 2 = 0")
+@register("get_quick_reference_guide", B.with_clauses(B.MENTIONS) + ", n AS (SELECT document_id, reference_id, row_number() OVER (PARTITION BY document_id ORDER BY min(pos), reference_id) AS number FROM mentions GROUP BY 1, 2) SELECT DISTINCT m.document_id, m.reference_id, n.number FROM mentions m JOIN n USING (document_id, reference_id)")
 def _(spark, d):
     m = B.mentions(spark, d)
-    return m.filter("pos % 2 = 0").select("document_id", "reference_id").distinct().join(C.citation_numbers(m), ["document_id", "reference_id"])
+    return m.select("document_id", "reference_id").distinct().join(C.citation_numbers(m), ["document_id", "reference_id"])
 
 
 @register("list_versions", _V + "SELECT slug, version_no, status, row_number() OVER (PARTITION BY slug ORDER BY version_no DESC) AS place FROM versions JOIN docs USING (document_id) WHERE status <> 'draft'")
@@ -61,10 +61,10 @@ def _(spark, d):
     return v.join(E.documents(spark, d).select("document_id", "slug"), "document_id").select("slug", "version_no", "status", "place")
 
 
-@register("fetch", _V + "SELECT slug || '#' || section_id AS id, body AS text FROM pub JOIN docs USING (document_id) WHERE NOT hidden AND document_id % 4 = 1")
+@register("fetch", _V + "SELECT slug || '#' || section_id AS id, body AS text FROM pub JOIN docs USING (document_id) WHERE NOT hidden")
 def _(spark, d):
     s = _published(spark, d)[1]
-    asked = s.filter("document_id % 4 = 1").select(F.concat(F.col("slug"), F.lit("#"), F.col("section_id").cast("string")).alias("id"))
+    asked = s.select(F.concat(F.col("slug"), F.lit("#"), F.col("section_id").cast("string")).alias("id"))
     want = asked.select("id", F.regexp_replace("id", "#[0-9]+$", "").alias("slug"), F.regexp_extract("id", "#([0-9]+)$", 1).cast("long").alias("section_id"))
     return want.join(s.select("slug", "section_id", F.col("body").alias("text")), ["slug", "section_id"]).select("id", "text")
 

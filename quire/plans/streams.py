@@ -51,11 +51,11 @@ def _(spark, d):
     return _run(spark, lambda p, c: S.incremental_index(s, p, c))
 
 
-@register("snapshot_plus_increments", "SELECT 's' || s_suppkey AS subscriber, user_id, event_id, event_type FROM events JOIN supplier ON user_id % 10 = s_suppkey AND s_suppkey < 5")
+@register("snapshot_plus_increments", "SELECT 's' || n_nationkey AS subscriber, user_id, event_id, event_type FROM events JOIN nation ON user_id % 25 = n_nationkey")
 def _(spark, d):
     s = S.read_events(spark, d)
-    sup = B.read(spark, d, "supplier").filter("s_suppkey < 5").select(F.concat(F.lit("s"), "s_suppkey").alias("subscriber"), "s_suppkey")
-    visible = B.read(spark, d, "events").select("user_id").distinct().join(sup, F.col("user_id") % 10 == F.col("s_suppkey")).select("subscriber", "user_id")
+    teams = B.read(spark, d, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("subscriber"), "n_nationkey")
+    visible = B.read(spark, d, "events").select("user_id").distinct().join(teams, F.col("user_id") % 25 == F.col("n_nationkey")).select("subscriber", "user_id")
     return _run(spark, lambda p, c: S.snapshot_plus_increments(s, visible, p, c), _files(spark))
 
 
