@@ -30,7 +30,7 @@ def _files(spark):
 @register("apply_change_feed", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
 def _(spark, d):
     s = S.read_events(spark, d)
-    return _run(spark, lambda p, c: S.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "user_id long, event_id long, value double"))
+    return _run(spark, lambda p, c: S.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "user_id long, ts timestamp, event_id long, value double")).drop("ts")
 
 
 @register("presence", "SELECT document_id, user_id, event_id FROM (SELECT *, user_id % 20 AS document_id, row_number() OVER (PARTITION BY user_id % 20, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
@@ -39,6 +39,13 @@ def _(spark, d):
     return _run(spark, lambda p, c: S.presence(s, p, c)).select("document_id", "user_id", "event_id")
 
 
+@register("still_present", "SELECT document_id, user_id, event_id FROM (SELECT *, user_id % 20 AS document_id, row_number() OVER (PARTITION BY user_id % 20, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def _(spark, d):
+    s = S.read_events(spark, d).withColumn("document_id", F.col("user_id") % 20)
+    (now,) = B.read(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()
+    return S.still_present(_run(spark, lambda p, c: S.presence(s, p, c)), F.lit(now), "3 days").select("document_id", "user_id", "event_id")
+
+
 @register("activity_stream", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 30")
 def _(spark, d):
     s = S.read_events(spark, d)
@@ -48,7 +55,7 @@ def _(spark, d):
 @register("incremental_index", "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1) SELECT user_id AS section_id, term, count(*) AS tf FROM (SELECT user_id, unnest(regexp_extract_all(event_type || ' ' || props, '[a-z0-9]+')) AS term FROM l) GROUP BY 1, 2")
 def _(spark, d):
     s = S.read_events(spark, d)
-    return _run(spark, lambda p, c: S.incremental_index(s, p, c))
+    return _run(spark, lambda p, c: S.incremental_index(s, p, c)).select("section_id", "term", "tf")
 
 
 @register("snapshot_plus_increments", "SELECT 's' || n_nationkey AS subscriber, user_id, event_id, event_type FROM events JOIN nation ON user_id % 25 = n_nationkey")

@@ -1,7 +1,8 @@
 """Change feeds as Structured Streaming jobs.
 
 Snapshots are kept as one folder for each batch below a path of the caller's; a batch that is run again writes its own
-folder again, so a restart leaves the same state.
+folder again, so a restart leaves the same state. States keep the order of the change that each row comes from, and what
+was deleted as a row marked `_gone`, so that a change that comes late never undoes a newer one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ def latest_state(spark, path: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     last = max(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("batch="))
-    return spark.read.parquet(f"{path}/batch={last}")
+    state = spark.read.parquet(f"{path}/batch={last}")
+    return state.filter("not _gone").drop("_gone") if "_gone" in state.columns else state
 
 
 def _fold(stream: DataFrame, path: str, checkpoint: str, merge, schema: str) -> StreamingQuery:
@@ -44,21 +46,28 @@ def _fold(stream: DataFrame, path: str, checkpoint: str, merge, schema: str) ->
 
 
 def apply_change_feed(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], delete, schema: str) -> StreamingQuery:
-    """Keeps a keyed snapshot: the last change of a key in a batch wins; where `delete` holds for it, the key goes."""
+    """Keeps a keyed snapshot: of all changes of a key so far, whatever their batch, the last by `order` wins; where
+    `delete` holds for it, the key goes. `schema` holds the keys and the columns of `order`; of equal orders the later
+    batch's wins, within a batch either."""
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order))
-        last = batch.withColumn("_n", F.row_number().over(w)).filter("_n = 1").withColumn("_gone", delete)
-        return old.join(last.select(*keys), keys, "left_anti").unionByName(last.filter("not _gone").select(*old.columns))
+        changes = batch.withColumn("_gone", F.coalesce(delete, F.lit(False))).select(*old.columns).withColumn("_new", F.lit(1))
+        w = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order), F.desc("_new"))
+        return old.withColumn("_new", F.lit(0)).unionByName(changes).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
 
-    return _fold(stream, path, checkpoint, merge, schema)
+    return _fold(stream, path, checkpoint, merge, f"{schema}, _gone boolean")
 
 
 def presence(stream: DataFrame, path: str, checkpoint: str, schema: str = "document_id long, user_id long, ts timestamp, event_id long") -> StreamingQuery:
-    """Who is where: the last place of a user in each document, closed on leaving."""
+    """Who is where: the last sign of a user in each document, closed on leaving."""
     return apply_change_feed(stream, path, checkpoint, ["document_id", "user_id"], ["ts", "event_id"], F.col("event_type") == "error", schema)
 
 
+def still_present(state: DataFrame, now, ttl: str) -> DataFrame:
+    """Rows of presence() that gave a sign within `ttl` (an interval such as "30 seconds") before `now`."""
+    return state.filter(F.col("ts") >= now - F.expr(f"INTERVAL {ttl}"))
+
+
 def activity_stream(stream: DataFrame, path: str, checkpoint: str, n: int = 30) -> StreamingQuery:
     """The latest n events of each document."""
 
@@ -70,14 +79,20 @@ def activity_stream(stream: DataFrame, path: str, checkpoint: str, n: int = 30)
 
 
 def incremental_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """An index that follows edits: a document's words are replaced by those of its last edit."""
+    """An index that follows edits: a document's words are those of its last edit by time, whatever its batch. A document
+    whose last edit has no word keeps one row marked `_gone`."""
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        last = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "props")).alias("x"))
-        words = last.select(F.col("user_id").alias("section_id"), F.explode(F.regexp_extract_all(F.concat_ws(" ", "x.event_type", "x.props"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("section_id", "term").agg(F.count("*").alias("tf"))
-        return old.join(last.select(F.col("user_id").alias("section_id")), "section_id", "left_anti").unionByName(words)
-
-    return _fold(stream, path, checkpoint, merge, "section_id long, term string, tf long")
+        last = batch.groupBy(F.col("user_id").alias("section_id")).agg(F.max(F.struct("ts", "event_id", "event_type", "props")).alias("x"))
+        found = F.regexp_extract_all(F.concat_ws(" ", "x.event_type", "x.props"), F.lit("[a-z0-9]+"), 0)
+        words = last.select("section_id", "x.ts", "x.event_id", F.explode_outer(found).alias("term"))
+        new = words.groupBy("section_id", "ts", "event_id", "term").agg(F.count("term").alias("tf")).withColumn("_gone", F.col("term").isNull())
+        newest = F.max(F.struct("ts", "event_id")).over(Window.partitionBy("section_id"))
+        # An edit that is read again is in both; its words are the same.
+        both = old.unionByName(new).dropDuplicates(["section_id", "ts", "event_id", "term"])
+        return both.withColumn("_last", newest).filter(F.struct("ts", "event_id") == F.col("_last"))
+
+    return _fold(stream, path, checkpoint, merge, "section_id long, ts timestamp, event_id long, term string, tf long, _gone boolean")
 
 
 def _to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import access, citations, lifecycle, matching, nodes, tree, versions
 from quire.sources import corpus
+from quire.streaming import feeds
 
 
 def rows(df):
@@ -135,3 +136,50 @@ def test_one_letter_finds_words_that_begin_with_it(spark):
     shared = spark.createDataFrame([], "core_id long, section_id long")
     got = sorted((r.query_id, r.section_id) for r in search.search_workspace(q, postings, shared).collect())
     assert got == [(1, 1), (1, 2), (2, 2)]
+
+
+def _feed(spark, at, batches):
+    """Event files of a stream that reads one file a batch, in this order."""
+    ddl = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    for n, events in enumerate(batches):
+        spark.createDataFrame(events, ddl).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{at}/events")
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{at}/events")
+
+
+def _events(*rows_):
+    from datetime import datetime
+
+    return [(i, datetime(2024, 1, 1, hour), user, kind, 1.0, props) for i, hour, user, kind, props in rows_]
+
+
+def _through(spark, at, start):
+    start(f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return feeds.latest_state(spark, f"{at}/out")
+
+
+LATE = [
+    _events((2, 2, 1, "view", "new words"), (4, 4, 2, "error", ""), (5, 5, 3, "view", "a")),
+    _events((1, 0, 1, "view", "old"), (3, 3, 2, "view", "gone"), (6, 6, 3, "error", "")),
+    _events((7, 7, 3, "view", "back")),
+]
+
+
+def test_late_changes_do_not_undo_newer_ones(spark, tmp_path):
+    s = _feed(spark, tmp_path, LATE)
+    keep = lambda p, c: feeds.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "user_id long, ts timestamp, event_id long")
+    assert rows(_through(spark, tmp_path, keep).select("user_id", "event_id")) == [(1, 2), (3, 7)]
+
+
+def test_index_follows_the_last_edit_by_time(spark, tmp_path):
+    s = _feed(spark, tmp_path, [*LATE, LATE[0]])
+    got = rows(_through(spark, tmp_path, lambda p, c: feeds.incremental_index(s, p, c)).select("section_id", "term", "tf"))
+    assert got == [(1, "new", 1), (1, "view", 1), (1, "words", 1), (2, "error", 1), (3, "back", 1), (3, "view", 1)]
+
+
+def test_presence_ends(spark, tmp_path):
+    from datetime import datetime
+
+    s = _feed(spark, tmp_path, LATE).withColumn("document_id", F.lit(9).cast("long"))
+    state = _through(spark, tmp_path, lambda p, c: feeds.presence(s, p, c))
+    assert rows(state.select("user_id")) == [(1,), (3,)]
+    assert rows(feeds.still_present(state, F.lit(datetime(2024, 1, 1, 8)), "2 hours").select("user_id")) == [(3,)]
