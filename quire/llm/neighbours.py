@@ -81,6 +81,15 @@ class Curves:
         return hilbert(np.clip(cell, 0, top), self.bits)
 
 
+def width_for(n: int) -> int:
+    """A window for n vectors: 1024, and above 200,000 vectors growing with the power 0.75 of their number.
+
+    Measured on vectors close to isotropic noise in 64 dimensions, where a window of fixed size loses recall as they
+    grow: with 24 curves, 1024 finds 0.92 of the five nearest among 205,128 and 0.84 among 512,820, where the rule's
+    2,075 find 0.93."""
+    return round(1024 * max(1.0, n / 200_000) ** 0.75)
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
@@ -89,13 +98,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window: int = 1024, run: int = 4096, axes: int = 10, bits: int = 5,
+def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window: int | None = None, run: int = 4096, axes: int = 10, bits: int = 5,
             id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, <id_col>, score): for rows where the condition `is_query` holds, the k nearest of the others.
 
-    `window` is how many vectors to either side of its place a query meets on each curve; `run` is the expected
-    number of vectors that one task holds of a curve. In a run vectors are coded in one byte a component; the best
-    `4 * k + 12` of each window by that code go on to the exact rerank.
+    `window` is how many vectors to either side of its place a query meets on each curve, by default width_for() of the
+    number of vectors; `run` is the expected number of vectors that one task holds of a curve, twice the window at
+    least. In a run vectors are coded in one byte a component, and go with
+    the length of what the code leaves out, so that each window gives bounds of every cosine; whatever may belong to the
+    window's k + 1 best goes on, and whatever of these may belong to the k + 1 best of all windows is reranked exactly.
     """
     vec = F.col(vector_col)
     whole = F.col(id_col).isNotNull() & vec.isNotNull() & (F.size(vec) > 0)
@@ -111,8 +122,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
     points = settle(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("p", F.col("ids")[0]))
     queries = settle(plain.filter("q").select(F.col("id").alias("query_id"), "v"))
     n = points.count()
+    window = window or width_for(n)
+    run = max(run, 2 * window)
     sample = _unit(_matrix([r.v for r in points.select("p", "v").orderBy(F.xxhash64("p"), "p").limit(FIT_ROWS).collect()]))
-    curve, keep = Curves.fit(sample, curves, axes, bits, seed), 4 * k + 12
+    curve, keep = Curves.fit(sample, curves, axes, bits, seed), k + 1  # the query itself may be among them
     tie_bits = max(0, min(62 - curve.axes.shape[2] * bits, 16))
 
     def lay(borders):
@@ -121,13 +134,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
                 unit = _unit(_matrix(pdf["v"]))
                 scale = np.abs(unit).max(1) / 127
                 code = np.rint(unit / scale[:, None]).astype(np.int8)
+                # With these lengths x and y left out of two unit vectors a cosine is off by at most x + y + x * y.
+                left = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(1)) + 1e-6
                 for c in range(curves):
                     # Vectors of one cell are told apart by a hash of their id, so that a crowded cell can be split.
                     tie = pdf["h"].to_numpy() & ((1 << tie_bits) - 1)
                     out = pd.DataFrame({"id": pdf["id"], "curve": np.int32(c), "key": curve.keys(unit, c) << tie_bits | tie})
                     if borders is not None:
                         out["run"] = np.searchsorted(borders[c], out["key"], side="right")
-                        out["code"], out["scale"] = [x.tobytes() for x in code], scale
+                        out["code"], out["scale"], out["left"] = [x.tobytes() for x in code], scale, left
                     yield out
 
         return keys
@@ -139,7 +154,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
         shares = F.array(*(F.lit(i / runs) for i in range(1, runs)))
         at = point_rows.mapInPandas(lay(None), "id long, curve int, key long").groupBy("curve").agg(F.percentile_approx("key", shares, F.lit(10 * runs)).alias("b"))
         borders |= {r["curve"]: np.unique(np.array(r["b"], np.int64)) for r in at.collect()}
-    laid = "id long, curve int, key long, run long, code binary, scale double"
+    laid = "id long, curve int, key long, run long, code binary, scale double, left double"
     placed = point_rows.mapInPandas(lay(borders), laid)
     asked = queries.select(F.col("query_id").alias("id"), "v", F.xxhash64("query_id").alias("h")).mapInPandas(lay(borders), laid)
     # A window may reach over a border: a query visits the runs on both sides of its own.
@@ -151,19 +166,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
             right = right.sort_values(["key", "id"], ignore_index=True)
             decode = lambda x: np.stack([np.frombuffer(b, np.int8) for b in x["code"]]).astype(np.float32) * x["scale"].to_numpy(np.float32)[:, None]
             data, ids, questions = decode(right), right["id"].to_numpy(), decode(left)
+            off = right["left"].to_numpy()
             at = np.searchsorted(right["key"].to_numpy(), left["key"].to_numpy())
-            for query, place, q in zip(left["id"], at, questions):
+            for query, place, q, mine in zip(left["id"], at, questions, left["left"].to_numpy()):
                 lo, hi = max(0, place - window), min(len(ids), place + window)
                 if lo < hi:
-                    s = data[lo:hi] @ q
-                    best = np.argpartition(-s, keep)[:keep] if len(s) > keep else np.arange(len(s))
-                    out.append(pd.DataFrame({"query_id": query, "p": ids[lo:hi][best], "coarse": s[best]}))
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "p": np.zeros(0, np.int64), "coarse": np.zeros(0)})
+                    s, e = (data[lo:hi] @ q).astype(np.float64), mine + off[lo:hi] * (1 + mine)
+                    low = s - e
+                    least = np.partition(low, len(low) - keep)[len(low) - keep] if len(low) > keep else -np.inf
+                    best = np.flatnonzero(s + e >= least)
+                    out.append(pd.DataFrame({"query_id": query, "p": ids[lo:hi][best], "low": low[best], "high": (s + e)[best]}))
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "p": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})
         return pd.concat(out) if out else empty
 
-    found = asked.groupBy("curve", "run").cogroup(placed.groupBy("curve", "run")).applyInPandas(meet, "query_id long, p long, coarse double")
-    found = found.groupBy("query_id", "p").agg(F.max("coarse").alias("coarse"))
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coarse"), "p"))).filter(F.col("n") <= keep)
+    found = asked.groupBy("curve", "run").cogroup(placed.groupBy("curve", "run")).applyInPandas(meet, "query_id long, p long, low double, high double")
+    found = settle(found.groupBy("query_id", "p").agg(F.max("low").alias("low"), F.max("high").alias("high")))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "p"))).filter(F.col("n") <= keep)
+    least = best.groupBy("query_id").agg(F.min(F.when(F.col("n") == keep, F.col("low"))).alias("least"))
+    found = found.join(least, "query_id").filter(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "p")
     near = found.join(points.select("p", "ids", F.col("v").alias("w")), "p").join(queries, "query_id")
     near = near.select("query_id", F.explode("ids").alias("id"), "v", "w").filter(F.col("id") != F.col("query_id"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

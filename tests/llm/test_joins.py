@@ -39,6 +39,44 @@ def test_neighbours_match_brute_force(spark):
     assert 1002 not in got
 
 
+def test_more_near_copies_than_asked_for(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 24)).astype(np.float32)
+    v[:150] = v[0] + rng.normal(size=(150, 24)).astype(np.float32) * 1e-4  # closer than one byte a component can tell
+    v[150:200] = v[150] * np.float32(2.0) ** np.arange(50)[:, None]  # parallel: exact ties
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    e = v.astype(float)
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 50 == 0, window=200, run=300).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in (0, 50, 100, 150):
+        s = (e @ e[q]) / np.linalg.norm(e, axis=1) / np.linalg.norm(e[q])
+        s[q] = -2
+        assert np.allclose([got[q][k][1] for k in range(1, 6)], np.sort(s)[::-1][:5], rtol=0, atol=1e-15)
+    assert sorted(i for i, _ in got[150].values()) == [151, 152, 153, 154, 155]
+
+
+def test_window_of_a_small_share(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(300, 16))
+    v = centre[rng.integers(0, 300, 6000)] + rng.normal(size=(6000, 16)) * 0.2
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 100 == 0, curves=8, window=60, run=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    found = 0
+    for q in range(0, 6000, 100):
+        s = u @ u[q]
+        s[q] = -2
+        found += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert found >= 0.9 * 300  # 8 windows of 120 hold at most 16 % of the vectors
+
+
+def test_window_grows_with_the_vectors():
+    assert [neighbours.width_for(n) for n in (0, 200_000, 512_820)] == [1024, 1024, 2075]
+
+
 def test_few_or_no_vectors(spark):
     frame = vectors(spark)
     few = neighbours.nearest(frame.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
