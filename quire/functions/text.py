@@ -75,11 +75,15 @@ def initials_of(text, skip: tuple[str, ...] = STOPWORDS) -> Column:
 
 
 def author_year_keys(text) -> Column:
-    """Keys like "smith 2019" of the in-text forms (Smith, 2019), Smith et al. 2019, Smith and Jones (2019)."""
-    pattern = r"([A-Z]\p{L}+(?: (?:and|&) [A-Z]\p{L}+| et al\.?)?),? \(?((?:19|20)[0-9]{2}[a-z]?)\)?"
+    """Keys of the in-text forms: "smith 2019" of (Smith, 2019) and Smith et al. 2019, "smith jones 2019" of Smith and
+    Jones (2019); several years after one name, as in "Smith 2018a, 2018b", give a key each. A month is no name."""
+    months = "January|February|March|April|May|June|July|August|September|October|November|December"
+    name = rf"((?!(?:{months})\b)[A-Z][\p{{L}}'’-]+(?: (?:and|&) [A-Z][\p{{L}}'’-]+| et al\.?)?)"
+    pattern = name + r",? \(?((?:19|20)[0-9]{2}[a-z]?(?![0-9])(?:[,;] (?:19|20)[0-9]{2}[a-z]?(?![0-9]))*)\)?"
     author = F.regexp_extract_all(c(text), F.lit(pattern), 1)
     year = F.regexp_extract_all(c(text), F.lit(pattern), 2)
-    return F.zip_with(author, year, lambda a, y: F.concat_ws(" ", normalise_key(F.regexp_replace(a, " et al.*$| (?:and|&) .*$", "")), y))
+    key = lambda a: normalise_key(F.regexp_replace(F.regexp_replace(a, " et al.*$", ""), " (?:and|&) ", " "))
+    return F.flatten(F.zip_with(author, year, lambda a, y: F.transform(F.split(y, "[,;] "), lambda one: F.concat_ws(" ", key(a), one))))
 
 
 def reference_key(citation) -> Column:

@@ -71,6 +71,14 @@ def may_change(requests: DataFrame, mem: DataFrame) -> DataFrame:
     return x.withColumn("reason", why).withColumn("allowed", F.col("reason").isNull()).drop("_owners", "from")
 
 
+def grantable(actors: DataFrame) -> DataFrame:
+    """(org_id, user_id, to): the roles that each actor (org_id, user_id, actor_role) may bring somebody in at. Owners give
+    any role, admins those below their own, others none."""
+    x = actors.withColumn("to", F.explode(F.array(*(F.lit(r) for r in ("viewer", "member", "admin", "owner")))))
+    reach = (F.col("actor_role") == "owner") | ((F.col("actor_role") == "admin") & (rank("to") < rank("actor_role")))
+    return x.filter(reach).select("org_id", "user_id", "to")
+
+
 def live_links(links: DataFrame, mem: DataFrame, now: Column) -> DataFrame:
     """Invitations neither revoked nor past, whose maker may still invite."""
     makers = mem.filter(rank("role") >= rank(F.lit("admin"))).select(F.col("user_id").alias("made_by"), "org_id")

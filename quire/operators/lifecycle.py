@@ -73,11 +73,17 @@ def refresh_shared_hashes(sec: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def diverge(sec: DataFrame, core: DataFrame, ids: DataFrame) -> DataFrame:
-    """The asked-for sharers as owners of a copy of the core body; reverting is the same with the body dropped."""
+    """The asked-for sharers as owners of a copy of the core body."""
     body = core.select(F.col("section_id").alias("core_id"), F.col("body").alias("_b"))
     return sec.filter("core_id is not null").join(ids, ["document_id", "section_id"], "left_semi").join(body, "core_id", "left").select("document_id", "section_id", "core_id", F.lit(True).alias("diverged"), F.col("_b").alias("body"))
 
 
+def revert(sec: DataFrame, ids: DataFrame) -> DataFrame:
+    """The asked-for diverged sections as references again: their own body goes, the core's shows."""
+    own = sec.filter("core_id is not null and diverged").join(ids, ["document_id", "section_id"], "left_semi")
+    return own.select("document_id", "section_id", "core_id", F.lit(False).alias("diverged"), F.lit(None).cast("string").alias("body"))
+
+
 def apply_decisions(pins: DataFrame, rev: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pins with new decisions, rejects): superseded reviews and sections outside the review are refused.
 

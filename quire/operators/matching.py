@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sentence_window
+
 
 def match_titles(titles: DataFrame, candidates: DataFrame, by: str, min_containment: float = 0.6, min_jaccard: float = 0.25) -> DataFrame:
     """(title_id, candidate_id, jaccard): each title's best candidate within `by`, by shared tokens.
@@ -207,7 +209,24 @@ def resolve_links(notes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def fit_link_spans(spans: DataFrame) -> DataFrame:
-    """(span_id, address, start): each address printed inside a wider span of text, with its place from 0."""
+    """(span_id, address, start): each address printed inside a wider span of text, with its place from 0, once for each
+    time that it is printed."""
     pattern = r"(https?://[^\s<>\"']+[^\s<>\"'.,;)])"
-    found = F.regexp_extract_all("text", F.lit(pattern), 1)
-    return spans.select("span_id", "text", F.explode(found).alias("address")).select("span_id", "address", (F.instr("text", F.col("address")) - 1).cast("long").alias("start")).distinct()
+    mark = "\x00"  # stands before each address, so that the pieces between are what was printed there
+    parts = F.split(F.regexp_replace(F.replace("text", F.lit(mark), F.lit(" ")), pattern, mark + "$1"), mark)
+    before = F.expr("aggregate(slice(_parts, 1, _i), 0L, (n, x) -> n + length(x))")
+    each = spans.withColumn("_parts", parts).select("span_id", "_parts", F.posexplode("_parts").alias("_i", "_part")).filter("_i > 0")
+    return each.select("span_id", F.regexp_extract("_part", pattern, 1).alias("address"), before.alias("start"))
+
+
+def link_resolution_audit(links: DataFrame, resolved: DataFrame, before: int = 180, after: int = 80) -> DataFrame:
+    """Each link occurrence with what stands around it, how it was resolved and why.
+
+    links: (note_id, text, link), resolved: what resolve_links() gives for the same note_id. A link that was resolved to
+    nothing keeps its rule as the reason; one that the resolution does not know has the outcome "left" and the reason
+    "not resolved"; a link that its text does not print stands around the beginning."""
+    at = F.greatest(F.instr("text", F.col("link")), F.lit(1))
+    x = links.join(resolved, "note_id", "left")
+    outcome = F.coalesce("outcome", F.lit("left"))
+    reason = F.when(outcome == "left", F.coalesce("rule", F.lit("not resolved")))
+    return x.select("note_id", sentence_window("text", at, before, after).alias("around"), outcome.alias("outcome"), F.when(outcome != "left", F.col("rule")).alias("rule"), "target", reason.alias("reason"))

@@ -95,8 +95,9 @@ def repoint_citations(nodes: DataFrame, moved: DataFrame, key: str = "document_i
 
 
 def open_items(nodes: DataFrame, types: list[str], key: str = "document_id") -> DataFrame:
-    """Per document, its nodes of the given kinds."""
-    return nodes.filter(F.col("type").isin(types)).groupBy(key, "type").agg(F.count("*").alias("n"))
+    """Per document, its nodes of the given kinds; guidance that is ticked done is not open."""
+    done = F.coalesce((F.col("type") == "guidance") & (F.get_json_object("attrs", "$.done") == "true"), F.lit(False))
+    return nodes.filter(F.col("type").isin(types) & ~done).groupBy(key, "type").agg(F.count("*").alias("n"))
 
 
 def margin_notes(nodes: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:

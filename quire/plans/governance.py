@@ -277,3 +277,15 @@ def _(spark, d):
 @register("link_targets", B.with_clauses(B.SECTIONS, _OUT, B.VERSIONS, E._DOCS, recursive=True) + "SELECT 'section' AS kind, id, title FROM out WHERE NOT off UNION ALL SELECT 'document', CAST(document_id AS VARCHAR), title FROM docs JOIN versions USING (document_id) WHERE status = 'published'")
 def _(spark, d):
     return A.link_targets(tree.live_sections(tree.outline(B.sections(spark, d))), versions.published_versions(E.documents(spark, d), B.versions(spark, d)))
+
+
+@register("grantable", _MEM + "SELECT org_id, user_id, r AS \"to\" FROM memberships, (VALUES ('viewer', 1), ('member', 2), ('admin', 3), ('owner', 4)) t(r, n) WHERE role = 'owner' OR role = 'admin' AND n < 3")
+def _(spark, d):
+    return A.grantable(B.memberships(spark, d).withColumnRenamed("role", "actor_role"))
+
+
+@register("revert", "SELECT p_size AS document_id, p_partkey AS section_id, p_partkey % 9 AS core_id, false AS diverged, CAST(NULL AS VARCHAR) AS body FROM part WHERE p_size % 2 = 0")
+def _(spark, d):
+    p = B.read(spark, d, "part")
+    sec = p.select(F.col("p_size").alias("document_id"), F.col("p_partkey").alias("section_id"), (F.col("p_partkey") % 9).alias("core_id"), (F.col("p_size") % 2 == 0).alias("diverged"), F.col("p_name").alias("body"))
+    return O.revert(sec, sec.select("document_id", "section_id"))

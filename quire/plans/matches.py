@@ -167,6 +167,14 @@ def _(spark, d):
     return _links(spark, d)
 
 
+@register("link_resolution_audit", "WITH " + _NOTES + """, said AS (SELECT p_partkey AS note_id, p_name || ' ' || p_type AS text, length(p_name) + 2 AS p FROM part)
+  SELECT note_id, CASE WHEN p > 6 THEN '…' ELSE '' END || substr(text, greatest(1, p - 5), least(length(text), p + 3) - greatest(1, p - 5) + 1) || CASE WHEN p + 3 < length(text) THEN '…' ELSE '' END AS around,
+    outcome, CASE WHEN outcome <> 'left' THEN rule END AS rule, target, CASE WHEN outcome = 'left' THEN rule END AS reason FROM said JOIN links USING (note_id)""")
+def _(spark, d):
+    p = B.read(spark, d, "part").select(F.col("p_partkey").alias("note_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_type").alias("link"))
+    return O.link_resolution_audit(p, _links(spark, d), 5, 4)
+
+
 @register("resolution_counts", "WITH " + _NOTES + " SELECT outcome, rule, count(*) AS n FROM links GROUP BY ROLLUP (outcome, rule)")
 def _(spark, d):
     return O.resolution_counts(_links(spark, d))
@@ -233,7 +241,7 @@ def _(spark, d):
     return O.subset_check(p, "a", "b").select("p_partkey", "subset")
 
 
-@register("fit_link_spans", "SELECT page_id AS span_id, url AS address, CAST(4 AS BIGINT) AS start FROM pages")
+@register("fit_link_spans", "SELECT page_id AS span_id, url AS address, CAST(unnest([4, 16 + length(url)]) AS BIGINT) AS start FROM pages")
 def _(spark, d):
     text = F.concat(F.lit("See "), "url", F.lit(", or again <"), "url", F.lit(">."))
     return O.fit_link_spans(B.read(spark, d, "pages").select(F.col("page_id").alias("span_id"), text.alias("text")))

@@ -87,7 +87,7 @@ def _(spark, d):
 _CITED = "'Reviewed in ' || s_name || ', (Smith and Jones, ' || (1990 + s_suppkey % 30) || ') and Lee et al. ' || (2000 + s_suppkey % 20)"
 
 
-@register("author_year_keys", """SELECT s_suppkey, 'smith ' || (1990 + s_suppkey % 30) || '; lee ' || (2000 + s_suppkey % 20) AS keys FROM supplier""")
+@register("author_year_keys", """SELECT s_suppkey, 'smith jones ' || (1990 + s_suppkey % 30) || '; lee ' || (2000 + s_suppkey % 20) AS keys FROM supplier""")
 def _(spark, d):
     return B.read(spark, d, "supplier").select("s_suppkey", F.array_join(T.author_year_keys(F.expr(_CITED.replace("s_name", "'text'"))), "; ").alias("keys"))
 

@@ -183,3 +183,24 @@ def test_presence_ends(spark, tmp_path):
     state = _through(spark, tmp_path, lambda p, c: feeds.presence(s, p, c))
     assert rows(state.select("user_id")) == [(1,), (3,)]
     assert rows(feeds.still_present(state, F.lit(datetime(2024, 1, 1, 8)), "2 hours").select("user_id")) == [(3,)]
+
+
+def test_citation_keys_of_several_authors_and_years(spark):
+    said = "As Vijayvergia & Denlinger 2015, Wu et al. 2018a, 2018b and Fitch (2000) say (May 2019)."
+    assert one(spark, T.author_year_keys(F.lit(said))) == ["vijayvergia denlinger 2015", "wu 2018a", "wu 2018b", "fitch 2000"]
+
+
+def test_repeated_addresses_have_their_places(spark):
+    text = "a https://x.org/a, https://x.org/a and https://x.org/ab."
+    got = rows(matching.fit_link_spans(spark.createDataFrame([(1, text), (2, None), (3, "none")], "span_id long, text string")))
+    assert got == [(1, "https://x.org/a", 2), (1, "https://x.org/a", 19), (1, "https://x.org/ab", 39)]
+
+
+def test_done_guidance_is_not_open(spark):
+    n = spark.createDataFrame([(1, "guidance", '{"done":true}'), (1, "guidance", '{"done":false}'), (1, "guidance", None)], "document_id long, type string, attrs string")
+    assert rows(nodes.open_items(n, ["guidance"])) == [(1, "guidance", 2)]
+
+
+def test_reverting_drops_the_own_body(spark):
+    sec = spark.createDataFrame([(1, 1, 9, True, "own"), (1, 2, 9, False, None), (1, 3, None, True, "x")], "document_id long, section_id long, core_id long, diverged boolean, body string")
+    assert rows(lifecycle.revert(sec, sec.select("document_id", "section_id"))) == [(1, 1, 9, False, None)]
