@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 
 #: Levels beyond which a body is taken to be broken.
 DEEPEST = 64
-_FIELDS = ("document_id", "path", "type", "text", "attrs", "parent_type")
+_MARKS = "array<struct<type:string,attrs:struct<label:string>>>"
+#: Subjects whose placeholders the publisher fills in, so that they block nothing.
+SUBJECTS = ("cancer type", "population group")
 
 
 def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id") -> DataFrame:
-    """(key, path, type, text, attrs, parent_type) for every node; path holds the places from the root, whose own is
-    empty, so that it sorts in document order. attrs is JSON text. Bodies that are no JSON have no nodes.
+    """(key, path, type, text, attrs, parent_type, marks) for every node; path holds the places from the root, whose own is
+    empty, so that it sorts in document order. attrs and marks are JSON text. Bodies that are no JSON have no nodes.
 
     One generator for each level; a task holds one level's nodes at a time.
     """
@@ -35,7 +37,7 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
     for x in levels[1:]:
         out = out.unionByName(x)
     get = lambda p: F.try_variant_get("node", p, "string")
-    return out.select(key, "path", get("$.type").alias("type"), get("$.text").alias("text"), F.to_json(F.try_variant_get("node", "$.attrs", "variant")).alias("attrs"), "parent_type")
+    return out.select(key, "path", get("$.type").alias("type"), get("$.text").alias("text"), F.to_json(F.try_variant_get("node", "$.attrs", "variant")).alias("attrs"), "parent_type", F.to_json(F.try_variant_get("node", "$.marks", "variant")).alias("marks"))
 
 
 def _block(path="path"):
@@ -43,11 +45,32 @@ def _block(path="path"):
     return F.slice(path, 1, F.size(path) - 1)
 
 
+def _mark(kind: str):
+    """The first mark of the kind on a node, or null."""
+    return F.get(F.filter(F.from_json("marks", _MARKS), lambda m: m["type"] == kind), 0)
+
+
+def _joined(at: str, piece: str, by: str):
+    """A group's pieces in the order of `at`."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, piece))), lambda x: x[piece]), by)
+
+
 def plain_text(nodes: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, text): the text of blocks, one line each, in document order."""
-    t = nodes.filter("type = 'text'")
-    blocks = t.groupBy(key, _block().alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("line"))
-    return blocks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """(key, text): the text of blocks, one line each, in document order. Superscripts are left out, a hard break counts
+    as a blank, and runs of white space as one."""
+    shown = nodes.filter("type = 'hardBreak'").select(key, "path", F.lit(" ").alias("text"))
+    t = shown.unionByName(nodes.filter((F.col("type") == "text") & _mark("superscript").isNull()).select(key, "path", "text"))
+    line = F.trim(F.regexp_replace(_joined("path", "text", ""), r"\s+", " "))
+    return t.groupBy(key, _block().alias("block")).agg(line.alias("line")).groupBy(key).agg(_joined("block", "line", "\n").alias("text"))
+
+
+def search_text(nodes: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, text): a body's words for the index: all text in order, a line break after every node that has children,
+    blank lines and runs of blanks folded. Bodies without text have an empty one."""
+    ends = nodes.filter(F.size("path") > 0).select(key, F.concat(_block(), F.array(F.lit(2**31 - 1))).alias("path"), F.lit("\n").alias("text")).distinct()
+    pieces = ends.unionByName(nodes.filter("type = 'text'").select(key, "path", F.coalesce("text", F.lit("")).alias("text")))
+    whole = F.regexp_replace(F.regexp_replace(_joined("path", "text", ""), r"[ \t]+", " "), r"\n\s*\n+", "\n")
+    return pieces.groupBy(key).agg(F.regexp_replace(whole, r"^\s+|\s+$", "").alias("text"))
 
 
 def citations_in(nodes: DataFrame, headings: DataFrame | None = None, key: str = "document_id") -> DataFrame:
@@ -100,6 +123,22 @@ def open_items(nodes: DataFrame, types: list[str], key: str = "document_id") ->
     return nodes.filter(F.col("type").isin(types) & ~done).groupBy(key, "type").agg(F.count("*").alias("n"))
 
 
+def open_choices(nodes: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, n): groups of alternatives that still stand, 0 where none does."""
+    return nodes.groupBy(key).agg(F.count_if(F.col("type") == "variants").alias("n"))
+
+
+def blocking_placeholders(nodes: DataFrame, subjects: tuple[str, ...] = SUBJECTS, key: str = "document_id") -> DataFrame:
+    """(key, n): placeholders that a drafter must replace, 0 where there are none. One that stands for the document's subject,
+    by its label or by its text, does not block; a placeholder without a label is labelled by its text."""
+    whole = r"(?i)^[\[<]\s*(?:insert\s+)?(?:" + "|".join(subjects) + r")\s*[\]>][.,;:]?$"
+    text = F.coalesce("text", F.lit(""))
+    subject = lambda c: F.trim(c).rlike(whole)
+    mark = _mark("placeholder")
+    blocks = (F.col("type") == "text") & mark.isNotNull() & ~subject(F.coalesce(mark["attrs"]["label"], text)) & ~subject(text)
+    return nodes.groupBy(key).agg(F.count_if(blocks).alias("n"))
+
+
 def margin_notes(nodes: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:
     """Guidance and instruction blocks with their text: (key, path, note)."""
     blocks = nodes.filter(F.col("type").isin(kinds)).select(key, F.col("path").alias("block"))

@@ -72,9 +72,13 @@ def snippet(hits: DataFrame, terms: DataFrame, sections: DataFrame, width: int =
     return x.select("query_id", "section_id", F.array_join(shown, " ").alias("snippet"))
 
 
-def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own: int = 20) -> DataFrame:
+def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own: int = 20, owner: DataFrame | None = None, elsewhere: int = 12) -> DataFrame:
     """(query_id, place, section_id): sections with a word that begins with each term, core hits shown at the sections
-    that share them; own sections first. shared: (core_id, section_id)."""
+    that share them; own sections first. shared: (core_id, section_id).
+
+    With owner (section_id, document_id), q also has here (a document) and central: the sections of that document come
+    first, at most `own`, and after them, for central users only, at most `elsewhere` of other documents; the result then
+    has a column here, true for the first of these groups."""
     terms = parse_terms(q, 8)
     first = lambda c: F.substring(c, 1, 1)  # noqa: E731  # a term may have one letter only
     words = postings.select("term").distinct().withColumn("_b", first(F.col("term"))).withColumnRenamed("term", "word")
@@ -83,15 +87,33 @@ def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own:
     hits = hits.join(terms.groupBy("query_id").agg(F.count("*").alias("t")), "query_id").filter("m = t")
     there = hits.join(shared, hits["section_id"] == shared["core_id"]).select("query_id", shared["section_id"], "s", F.lit(1).alias("kind"))
     rows = hits.select("query_id", "section_id", "s", F.lit(0).alias("kind")).unionByName(there).groupBy("query_id", "section_id").agg(F.min("kind").alias("kind"), F.max("s").alias("s"))
-    w = Window.partitionBy("query_id").orderBy("kind", F.desc("s"), "section_id")
-    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= own).select("query_id", "place", "section_id")
+    order = ("kind", F.desc("s"), "section_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")
+    if owner is None:
+        return rows.withColumn("place", place).filter(F.col("place") <= own).select("query_id", "place", "section_id")
+    rows = rows.join(owner, "section_id").join(q.select("query_id", F.col("here").alias("_here"), "central"), "query_id")
+    rows = rows.withColumn("here", F.coalesce(F.col("document_id") == F.col("_here"), F.lit(False))).filter("here or (central and kind = 0)")
+    rank = F.row_number().over(Window.partitionBy("query_id", "here").orderBy(*order))
+    rows = rows.withColumn("r", rank).filter(F.col("r") <= F.when(F.col("here"), own).otherwise(elsewhere))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("here"), "r")).cast("long")
+    return rows.withColumn("place", place).select("query_id", "place", "section_id", "here")
 
 
 def search_references(q: DataFrame, register: DataFrame, k: int = 30) -> DataFrame:
-    """Entries that hold every word of the query as a substring, cited ones first. register: (reference_id, citation, cited)."""
+    """Entries that hold every word of the query as a substring, cited ones first. register: (reference_id, citation, cited),
+    one row an entry. A query and an entry meet only where the entry holds the first three letters of the query's longest word."""
     words = q.select("query_id", F.filter(F.split(F.lower("text"), " "), lambda w: w != "").alias("_w"))
-    # One probe word limits the pairs before all words are tried.
-    hits = register.join(F.broadcast(words), F.lower("citation").contains(F.get("_w", F.lit(0)))).filter(F.forall("_w", lambda w: F.lower("citation").contains(w)))
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+    def pieces(n: int) -> Column:
+        """All runs of n letters of the entry."""
+        at = F.sequence(F.lit(1), F.length("_c") - n + 1)
+        return F.when(F.length("_c") >= n, F.transform(at, lambda i: F.substring(F.col("_c"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(pieces(1), pieces(2), pieces(3)))
+    held = register.withColumn("_c", F.lower("citation")).select("reference_id", F.explode(F.array_distinct(grams)).alias("_g"))
+    met = held.join(words.withColumn("_g", F.substring(longest, 1, 3)), "_g").select("query_id", "_w", "reference_id")
+    hits = met.join(register, "reference_id").filter(F.forall("_w", lambda w: F.lower("citation").contains(w)))
     w = Window.partitionBy("query_id").orderBy(F.desc("cited"), "citation", "reference_id")
     return hits.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k).select("query_id", "place", "reference_id")
 

@@ -30,11 +30,17 @@ def _(spark, d):
     return nodes(spark, d).select("document_id", _path(), "type", "text")
 
 
-@register("plain_text", _L + "SELECT document_id, string_agg(text, chr(10) ORDER BY k) AS text FROM leaf WHERE text IS NOT NULL GROUP BY 1")
+@register("plain_text", _L + r"SELECT document_id, string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) ORDER BY k) AS text FROM leaf WHERE text IS NOT NULL GROUP BY 1")
 def _(spark, d):
     return O.plain_text(nodes(spark, d))
 
 
+@register("search_text", _L + r"""SELECT document_id, trim(regexp_replace(regexp_replace(string_agg(coalesce(text, '') || chr(10), '' ORDER BY k), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), ' ' || chr(10)) AS text
+  FROM leaf GROUP BY 1""")
+def _(spark, d):
+    return O.search_text(nodes(spark, d))
+
+
 @register("citations_in", _L + ", h AS (SELECT DISTINCT document_id FROM leaf), c AS (SELECT document_id, 0 AS s, 0 AS k, 'heading' AS reference_id FROM h UNION ALL SELECT document_id, 1, k, reference_id FROM leaf WHERE reference_id IS NOT NULL) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY s, k) AS place, reference_id FROM c")
 def _(spark, d):
     heads = B.bodies(spark, d).select("document_id", F.lit(0).alias("place"), F.lit("heading").alias("reference_id"))
@@ -75,6 +81,27 @@ def _(spark, d):
     return O.open_items(nodes(spark, d), ["citation", "checkbox"])
 
 
+def _drafts(spark, d):
+    """Bodies of documents' whole texts: every third has its alternatives standing, every second a placeholder, of which
+    every fourth stands for the subject."""
+    t = B.read(spark, d, "documents").filter("text is not null")
+    label = F.when(F.col("doc_id") % 4 == 0, "[Cancer type].").otherwise("[name]")
+    mark = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("placeholder").alias("type"), F.struct(label.alias("label")).alias("attrs"))))
+    leaf = F.struct(F.lit("text").alias("type"), F.col("text"), mark.alias("marks"))
+    block = F.struct(F.when(F.col("doc_id") % 3 == 0, "variants").otherwise("paragraph").alias("type"), F.array(leaf).alias("content"))
+    return O.explode_body(t.select(F.col("doc_id").alias("document_id"), F.to_json(F.struct(F.lit("doc").alias("type"), F.array(block).alias("content"))).alias("body_json")))
+
+
+@register("open_choices", "SELECT doc_id AS document_id, CAST(doc_id % 3 = 0 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return O.open_choices(_drafts(spark, d))
+
+
+@register("blocking_placeholders", "SELECT doc_id AS document_id, CAST(doc_id % 4 = 2 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return O.blocking_placeholders(_drafts(spark, d))
+
+
 @register("margin_notes", _L + "SELECT document_id, CAST(k AS VARCHAR) AS path, text AS note FROM leaf WHERE text IS NOT NULL")
 def _(spark, d):
     return O.margin_notes(nodes(spark, d), ["paragraph"]).select("document_id", _path("block"), "note")
@@ -93,7 +120,8 @@ def _(spark, d):
     return O.render_markdown(nodes(spark, d), C.citation_numbers(B.mentions(spark, d)))
 
 
-@register("diff_sizes")
+@register("diff_sizes", r"""SELECT doc_id, CAST(CASE WHEN c THEN 5 ELSE 0 END AS BIGINT) AS inserted, CASE WHEN c THEN length(w) ELSE 0 END AS deleted, c AS changed
+  FROM (SELECT doc_id, w, coalesce(doc_id % 3 = 0 AND w <> '' AND w <> 'other', false) AS c FROM (SELECT doc_id, regexp_extract(text, '^(\S+) (\S+)', 2) AS w FROM documents))""")
 def _(spark, d):
     t = B.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 10**9).alias("old"))
     return O.diff_sizes(t.select("doc_id", "old", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("old", r"^(\S+) \S+", "$1 other")).otherwise(F.col("old")).alias("new"))).select("doc_id", "inserted", "deleted", "changed")

@@ -97,6 +97,23 @@ def _(spark, d):
     return O.search_workspace(q, O.build_index(sec)[0], shared)
 
 
+@register("search_workspace_groups", B.with_clauses(_SEC, _POST) + """, t AS (SELECT 1 AS query_id, 'th' AS term UNION ALL SELECT 1, 'en' UNION ALL SELECT 2, 'zu'),
+  h AS (SELECT query_id, section_id, sum(title_tf * 3 + body_tf) AS s FROM t JOIN post p ON starts_with(p.term, t.term) GROUP BY 1, 2 HAVING count(DISTINCT t.term) = CASE WHEN query_id = 1 THEN 2 ELSE 1 END),
+  a AS (SELECT query_id, section_id, s, 0 AS kind FROM h UNION ALL SELECT query_id, section_id + 1000000, s, 1 FROM h WHERE section_id % 3 = 0),
+  o AS (SELECT section_id, document_id FROM sec UNION ALL SELECT section_id + 1000000, 'desk' FROM sec WHERE section_id % 3 = 0), m AS (SELECT min(source) AS m FROM documents),
+  g AS (SELECT a.query_id, a.section_id, kind, s, CASE WHEN o.document_id = CASE WHEN query_id = 1 THEN 'desk' ELSE m END THEN 0 WHEN kind = 0 AND query_id = 1 THEN 1 END AS g FROM a JOIN o USING (section_id), m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY kind, s DESC, section_id) AS r FROM g WHERE g IS NOT NULL)
+  SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY g, r) AS place, section_id, g = 0 AS here FROM r WHERE r <= CASE g WHEN 0 THEN 20 ELSE 12 END""")
+def _(spark, d):
+    sec = sections(spark, d)
+    least = sec.agg(F.min("document_id").alias("m"))
+    q = spark.createDataFrame([(1, "th en", True), (2, "zu", False)], "query_id long, text string, central boolean").crossJoin(F.broadcast(least))
+    q = q.select("query_id", "text", "central", F.when(F.col("central"), "desk").otherwise(F.col("m")).alias("here"))
+    shared = sec.filter("section_id % 3 = 0").select(F.col("section_id").alias("core_id"), (F.col("section_id") + 1000000).alias("section_id"))
+    owner = sec.select("section_id", "document_id").unionByName(shared.select("section_id", F.lit("desk").alias("document_id")))
+    return O.search_workspace(q, O.build_index(sec)[0], shared, owner=owner)
+
+
 @register("search_references", B.with_clauses(B.MENTIONS) + """, q AS (SELECT 1 AS query_id, 'license' AS a, 'the' AS b UNION ALL SELECT 2, 'un', 'er') SELECT CAST(query_id AS BIGINT) AS query_id, place, id AS reference_id FROM (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (id < '8') DESC, citation, id) AS place FROM refs, q WHERE contains(lower(citation), a) AND contains(lower(citation), b)) WHERE place <= 30""")
 def _(spark, d):

@@ -20,7 +20,7 @@ def plain(x):
     if isinstance(x, float):
         return "nan" if math.isnan(x) else float(f"{x:.9g}")
     if isinstance(x, int):
-        return float(f"{x:.9g}") if abs(x) < 2**53 else x
+        return x
     if isinstance(x, datetime.datetime):
         return x.replace(tzinfo=None).isoformat()
     if isinstance(x, (list, tuple)):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import access, citations, lifecycle, matching, nodes, tree, versions
+from quire.operators import access, citations, lifecycle, matching, nodes, search, tree, versions
 from quire.sources import corpus
 from quire.streaming import feeds
 
@@ -204,3 +204,21 @@ def test_done_guidance_is_not_open(spark):
 def test_reverting_drops_the_own_body(spark):
     sec = spark.createDataFrame([(1, 1, 9, True, "own"), (1, 2, 9, False, None), (1, 3, None, True, "x")], "document_id long, section_id long, core_id long, diverged boolean, body string")
     assert rows(lifecycle.revert(sec, sec.select("document_id", "section_id"))) == [(1, 1, 9, False, None)]
+
+
+def test_marks_breaks_choices_and_placeholders(spark):
+    inline = '{"type":"text","text":" a  b"},{"type":"text","text":"1","marks":[{"type":"superscript"}]},{"type":"hardBreak"},{"type":"text","text":"c"}'
+    held = lambda label, text: '{"type":"text","text":"%s","marks":[{"type":"bold"},{"type":"placeholder"%s}]}' % (text, f',"attrs":{{"label":"{label}"}}' if label else "")
+    marked = ",".join([held("[Cancer type].", "x"), held(None, "<insert population group>"), held("name", "y"), held(None, "z"), held("name", "[cancer type]")])
+    bodies = [(1, '{"type":"doc","content":[{"type":"p","content":[%s]},{"type":"p","content":[]},{"type":"variants","content":[{"type":"p","content":[%s]}]}]}' % (inline, marked)), (2, '{"type":"doc"}')]
+    n = nodes.explode_body(spark.createDataFrame(bodies, "document_id long, body_json string"))
+    assert rows(nodes.plain_text(n)) == [(1, "a b c\nx<insert population group>yz[cancer type]")]
+    assert rows(nodes.search_text(n)) == [(1, "a b1c\nx<insert population group>yz[cancer type]")]
+    assert rows(nodes.open_choices(n)) == [(1, 1), (2, 0)]
+    assert rows(nodes.blocking_placeholders(n)) == [(1, 2), (2, 0)]
+
+
+def test_entries_hold_every_word_of_a_query(spark):
+    register = spark.createDataFrame([(1, "Über das Licht", True), (2, "licht", False), (3, "Ab", False), (4, None, False)], "reference_id long, citation string, cited boolean")
+    q = spark.createDataFrame([(1, "licht"), (2, "b"), (3, " "), (4, "das über"), (5, None)], "query_id long, text string")
+    assert rows(search.search_references(q, register)) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 3), (4, 1, 1)]
