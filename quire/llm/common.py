@@ -73,10 +73,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def held_out(ids, n: int, remainder: int) -> list[bool]:
-    return [zlib.crc32(str(i).encode()) % n == remainder for i in ids]
-
-
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, train, limit: int) -> list[tuple[str, int]]:
     """At most `limit` labelled texts on which `train` (a condition on doc_id) holds: those whose hash of
     doc_id is least, so that the choice depends on neither the layout of the files nor the cluster."""
