@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from . import sql
 from .common import table
 from .models import quality_model, tokenizer_path, toxicity_model
 
@@ -133,6 +134,29 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, asks, HITS, exclude_self=True)
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and what they say of texts whose case was changed."""
+    from .common import crc_mod
+    from .manifest import fold, leaf_of, manifest, siblings
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = leaf_of(*(F.translate("text", upper, upper.lower()) if f == "text" else F.col(f) for f in fields))
+    keep = {"doc_id": F.col("doc_id"), "tampered": F.when(crc_mod("doc_id", 3) == 0, changed)}
+    made = manifest(table(spark, sf_dir, "documents"), fields, "lang", ["doc_id"], keep)
+    folded = made.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE |= sql.ORACLE
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
