@@ -141,6 +141,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import fitted, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fitted(pages))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, and what they say of texts whose case was changed."""
