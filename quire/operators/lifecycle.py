@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
+from .citations import citation_numbers
+from .nodes import citations_in, content_hash, explode_body
+from .render import publish_body, render_markdown
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """target with the rows of updates put in or in place of those with equal keys; twice is as once."""
@@ -61,6 +66,32 @@ def freeze(ver: DataFrame, draft: DataFrame, published: DataFrame, ready: DataFr
     return moved.select("version_id", "document_id", "version_no", "status").unionByName(opened), frozen.select("document_id", "section_id", "version_no", "body_hash", "last_changed_version_no")
 
 
+def freeze_bodies(sections: DataFrame, documents: DataFrame, before: DataFrame) -> DataFrame:
+    """The sections of ready documents as a new version holds them: (document_id, section_id, order_index, hidden, body_hash,
+    markdown, last_changed_version_no).
+
+    sections: (document_id, section_id, order_index, hidden, body_json) with shared bodies resolved already; documents:
+    (document_id, subject, template, version_no); before: the incumbent's (document_id, section_id, body_hash, hidden,
+    last_changed_version_no). Bodies are published, hashed and rendered; citations are numbered through the document over
+    its sections that are shown, others have no number there. A section whose hash and hidden flag stay keeps the version
+    that last changed it. Sections without a body have an empty text and no hash."""
+    at = settle(sections.join(documents, "document_id").withColumn("_key", F.struct("document_id", "order_index", "section_id")))
+    nodes = explode_body(at, "body_json", "_key")
+    published = settle(publish_body(nodes, at.select("_key", "subject", "template"), "_key"))
+    shown = citations_in(published.join(at.filter("not hidden").select("_key"), "_key", "left_semi"), key="_key")
+    placed = shown.select(F.col("_key.document_id").alias("document_id"), F.struct("_key", "place").alias("pos"), "reference_id")
+    numbers = citation_numbers(placed)
+    each = published.filter("type = 'citation'").select("_key", F.get_json_object("attrs", "$.referenceId").alias("reference_id")).distinct()
+    numbers = each.withColumn("document_id", F.col("_key.document_id")).join(numbers, ["document_id", "reference_id"]).select("_key", "reference_id", "number")
+    written = render_markdown(published, numbers, key="_key")
+    hashed = content_hash(published, "_key").withColumnRenamed("content_hash", "body_hash")
+    was = before.select("document_id", "section_id", F.col("body_hash").alias("_h"), F.col("hidden").alias("_hid"), F.col("last_changed_version_no").alias("_l"))
+    rows = at.join(hashed, "_key", "left").join(written, "_key", "left").join(was, ["document_id", "section_id"], "left")
+    same = F.col("_l").isNotNull() & F.col("_h").eqNullSafe(F.col("body_hash")) & F.col("_hid").eqNullSafe(F.col("hidden"))
+    last = F.when(same, F.col("_l")).otherwise(F.col("version_no")).alias("last_changed_version_no")
+    return rows.select("document_id", "section_id", "order_index", "hidden", "body_hash", F.coalesce("markdown", F.lit("")).alias("markdown"), last)
+
+
 def core_version_used(sec: DataFrame, core_versions: DataFrame) -> DataFrame:
     """(document_id, core_version_id): by any shared section. core_versions: (core_id, version_id)."""
     return sec.filter("core_id is not null").join(core_versions, "core_id").groupBy("document_id").agg(F.max("version_id").alias("core_version_id"))

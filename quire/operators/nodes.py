@@ -9,35 +9,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.settled import release, settle
+from .render import SUBJECTS, has_mark, placeholder_label, subject_form
+
 #: Levels beyond which a body is taken to be broken.
 DEEPEST = 64
-_MARKS = "array<struct<type:string,attrs:struct<label:string>>>"
-#: Subjects whose placeholders the publisher fills in, so that they block nothing.
-SUBJECTS = ("cancer type", "population group")
 
 
 def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id") -> DataFrame:
-    """(key, path, type, text, attrs, parent_type, marks) for every node; path holds the places from the root, whose own is
-    empty, so that it sorts in document order. attrs and marks are JSON text. Bodies that are no JSON have no nodes.
+    """(key, path, type, text, attrs, parent_type, marks, above) for every node; path holds the places from the root, whose
+    own is empty, so that it sorts in document order; above holds the types of a node's ancestors from the root. attrs and
+    marks are JSON text. Bodies that are no JSON have no nodes.
 
-    One generator for each level; a task holds one level's nodes at a time.
+    One generator for each level, over the nodes that have children; each level is settled in files.
     """
-    level = df.select(key, F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("node"), F.lit(None).cast("string").alias("parent_type")).filter("node is not null")
+    nothing = F.array().cast("array<string>").alias("above")
+    level = df.select(key, F.array().cast("array<int>").alias("path"), nothing, F.try_parse_json(body).alias("node")).filter("node is not null")
     levels = []
     while True:
-        level = level.persist()
+        level = settle(level)
         if level.isEmpty():
+            release(level)
             break
         levels.append(level)
         if len(levels) > DEEPEST:
             raise ValueError(f"bodies nest deeper than {DEEPEST} levels")
         kids = F.posexplode(F.try_variant_get("node", "$.content", "array<variant>")).alias("at", "child")
-        level = level.select(key, "path", F.try_variant_get("node", "$.type", "string").alias("up"), kids).select(key, F.concat("path", F.array("at")).alias("path"), F.col("child").alias("node"), F.col("up").alias("parent_type"))
+        up = F.coalesce(F.try_variant_get("node", "$.type", "string"), F.lit(""))
+        level = level.select(key, "path", F.concat("above", F.array(up)).alias("above"), kids)
+        level = level.select(key, F.concat("path", F.array("at")).alias("path"), "above", F.col("child").alias("node"))
     out = levels[0] if levels else level
     for x in levels[1:]:
         out = out.unionByName(x)
     get = lambda p: F.try_variant_get("node", p, "string")
-    return out.select(key, "path", get("$.type").alias("type"), get("$.text").alias("text"), F.to_json(F.try_variant_get("node", "$.attrs", "variant")).alias("attrs"), "parent_type", F.to_json(F.try_variant_get("node", "$.marks", "variant")).alias("marks"))
+    json = lambda p: F.to_json(F.try_variant_get("node", p, "variant"))
+    parent = F.get("above", F.size("above") - 1)
+    return out.select(
+        key, "path", get("$.type").alias("type"), get("$.text").alias("text"), json("$.attrs").alias("attrs"), parent.alias("parent_type"), json("$.marks").alias("marks"), "above"
+    )
 
 
 def _block(path="path"):
@@ -45,11 +54,6 @@ def _block(path="path"):
     return F.slice(path, 1, F.size(path) - 1)
 
 
-def _mark(kind: str):
-    """The first mark of the kind on a node, or null."""
-    return F.get(F.filter(F.from_json("marks", _MARKS), lambda m: m["type"] == kind), 0)
-
-
 def _joined(at: str, piece: str, by: str):
     """A group's pieces in the order of `at`."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, piece))), lambda x: x[piece]), by)
@@ -59,7 +63,7 @@ def plain_text(nodes: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, text): the text of blocks, one line each, in document order. Superscripts are left out, a hard break counts
     as a blank, and runs of white space as one."""
     shown = nodes.filter("type = 'hardBreak'").select(key, "path", F.lit(" ").alias("text"))
-    t = shown.unionByName(nodes.filter((F.col("type") == "text") & _mark("superscript").isNull()).select(key, "path", "text"))
+    t = shown.unionByName(nodes.filter((F.col("type") == "text") & ~has_mark("superscript")).select(key, "path", "text"))
     line = F.trim(F.regexp_replace(_joined("path", "text", ""), r"\s+", " "))
     return t.groupBy(key, _block().alias("block")).agg(line.alias("line")).groupBy(key).agg(_joined("block", "line", "\n").alias("text"))
 
@@ -92,23 +96,12 @@ def validate_nodes(nodes: DataFrame, rules: DataFrame, key: str = "document_id")
     return nodes.withColumn("parent_type", F.coalesce("parent_type", F.lit(""))).join(F.broadcast(allowed), ["parent_type", "type"], "left_anti").select(key, "path", "type", "parent_type")
 
 
-def publishable_text(nodes: DataFrame, hidden_types: list[str], fills: dict[str, str], key: str = "document_id") -> DataFrame:
-    """Text nodes without those in or below nodes of `hidden_types`; placeholders give way to their fills and a blank
-    before punctuation closes."""
-    cut = nodes.filter(F.col("type").isin(hidden_types)).select(key, F.col("path").alias("_cut"))
-    t = nodes.filter("type = 'text'")
-    inside = t.join(cut, key).filter(F.slice("path", 1, F.size("_cut")) == F.col("_cut")).select(key, "path").distinct()
-    text = F.col("text")
-    for name, value in fills.items():
-        text = F.replace(text, F.lit("{" + name + "}"), F.lit(value))
-    return t.join(inside, [key, "path"], "left_anti").withColumn("text", F.regexp_replace(text, r"\s+([.,;:])", "$1")).select(key, "path", "text")
-
-
 def content_hash(nodes: DataFrame, key: str = "document_id") -> DataFrame:
-    """A hash of the canonical list of nodes: place, type, text and attributes, whatever order keys were written in."""
-    one = F.concat_ws("\x1f", F.array_join(F.col("path").cast("array<string>"), "."), "type", F.coalesce("text", F.lit("")), F.coalesce("attrs", F.lit("")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("path", one.alias("one")))), lambda x: x["one"])
-    return nodes.groupBy(key).agg(F.sha2(F.array_join(listed, "\x1e"), 256).alias("content_hash"))
+    """A hash of the canonical list of nodes in document order: depth, type, text, attributes and marks, whatever order keys
+    were written in. Nodes that were taken out before leave no gap."""
+    blank = F.lit("")
+    one = F.concat_ws("\x1f", F.size("path").cast("string"), F.coalesce("type", blank), F.coalesce("text", blank), F.coalesce("attrs", blank), F.coalesce("marks", blank))
+    return nodes.withColumn("_one", one).groupBy(key).agg(F.sha2(_joined("path", "_one", "\x1e"), 256).alias("content_hash"))
 
 
 def repoint_citations(nodes: DataFrame, moved: DataFrame, key: str = "document_id") -> DataFrame:
@@ -131,12 +124,9 @@ def open_choices(nodes: DataFrame, key: str = "document_id") -> DataFrame:
 def blocking_placeholders(nodes: DataFrame, subjects: tuple[str, ...] = SUBJECTS, key: str = "document_id") -> DataFrame:
     """(key, n): placeholders that a drafter must replace, 0 where there are none. One that stands for the document's subject,
     by its label or by its text, does not block; a placeholder without a label is labelled by its text."""
-    whole = r"(?i)^[\[<]\s*(?:insert\s+)?(?:" + "|".join(subjects) + r")\s*[\]>][.,;:]?$"
-    text = F.coalesce("text", F.lit(""))
-    subject = lambda c: F.trim(c).rlike(whole)
-    mark = _mark("placeholder")
-    blocks = (F.col("type") == "text") & mark.isNotNull() & ~subject(F.coalesce(mark["attrs"]["label"], text)) & ~subject(text)
-    return nodes.groupBy(key).agg(F.count_if(blocks).alias("n"))
+    label = placeholder_label()
+    stands = subject_form(label, subjects).isNotNull() | subject_form(F.coalesce("text", F.lit("")), subjects).isNotNull()
+    return nodes.groupBy(key).agg(F.count_if((F.col("type") == "text") & label.isNotNull() & ~stands).alias("n"))
 
 
 def margin_notes(nodes: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:
@@ -152,14 +142,6 @@ def timeframe_snapshot(nodes: DataFrame, key: str = "document_id") -> DataFrame:
     return t.groupBy(key, "box").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " / ").alias("statements"))
 
 
-def render_markdown(nodes: DataFrame, numbers: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, markdown): paragraphs apart by a blank line, citations as footnote marks. numbers: (key, reference_id, number)."""
-    inline = nodes.filter("type in ('text', 'citation')").withColumn("reference_id", F.get_json_object("attrs", "$.referenceId"))
-    shown = inline.join(numbers, [key, "reference_id"], "left").withColumn("_s", F.when(F.col("type") == "citation", F.concat(F.lit("[^"), F.coalesce(F.col("number").cast("string"), F.lit("?")), F.lit("]"))).otherwise(F.col("text")))
-    blocks = shown.groupBy(key, _block().alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "_s"))), lambda x: x["_s"]), "").alias("line"))
-    return blocks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n\n").alias("markdown"))
-
-
 @F.pandas_udf(T.StructType([T.StructField("inserted", T.LongType()), T.StructField("deleted", T.LongType())]))
 def _word_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     out = []

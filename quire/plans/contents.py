@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import nodes as O
+from ..operators import render as R
 from ..sources import bindings as B
 from .registry import register
 
 _LEAF = """leaf AS (SELECT l.doc_id AS document_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.pos) - 1 AS k, m.reference_id,
-  CASE WHEN m.reference_id IS NULL THEN regexp_replace(l.line, '[^A-Za-z0-9 .,]', '', 'g') END AS text
+  CASE WHEN m.reference_id IS NULL THEN l.line END AS text
   FROM lines l LEFT JOIN mentions m ON m.document_id = l.doc_id AND m.pos = l.pos)"""
 _L = B.with_clauses(B.MENTIONS, _LEAF)
 _M = B.with_clauses(B.MENTIONS)
@@ -58,14 +59,12 @@ def _(spark, d):
     return O.validate_nodes(nodes(spark, d), rules).select("document_id", _path(), "type", "parent_type")
 
 
-@register("publishable_text", _L + r"SELECT document_id, k || '.0' AS path, regexp_replace(text, '\s+([.,;:])', '\1', 'g') AS text FROM leaf WHERE text IS NOT NULL")
-def _(spark, d):
-    return O.publishable_text(nodes(spark, d), ["guidance", "citation"], {"subject": "x"}).select("document_id", _path(), "text")
-
-
-@register("content_hash", _L + """, n AS (SELECT DISTINCT document_id, [-1] AS o, '' AS p, 'doc' AS t, '' AS x, '' AS a FROM leaf UNION ALL SELECT document_id, [k], CAST(k AS VARCHAR), 'paragraph', '', '' FROM leaf
-  UNION ALL SELECT document_id, [k, 0], k || '.0', CASE WHEN reference_id IS NULL THEN 'text' ELSE 'citation' END, coalesce(text, ''), CASE WHEN reference_id IS NULL THEN '' ELSE '{"referenceId":"' || reference_id || '"}' END FROM leaf)
-  SELECT document_id, sha256(string_agg(p || chr(31) || t || chr(31) || x || chr(31) || a, chr(30) ORDER BY o)) AS content_hash FROM n GROUP BY 1""")
+@register("content_hash", _L + """, n AS (
+    SELECT DISTINCT document_id, [-1] AS o, '0' AS p, 'doc' AS t, '' AS x, '' AS a FROM leaf
+    UNION ALL SELECT document_id, [k], '1', 'paragraph', '', '' FROM leaf
+    UNION ALL SELECT document_id, [k, 0], '2', CASE WHEN reference_id IS NULL THEN 'text' ELSE 'citation' END, coalesce(text, ''),
+      CASE WHEN reference_id IS NULL THEN '' ELSE '{"referenceId":"' || reference_id || '"}' END FROM leaf)
+  SELECT document_id, sha256(string_agg(p || chr(31) || t || chr(31) || x || chr(31) || a || chr(31), chr(30) ORDER BY o)) AS content_hash FROM n GROUP BY 1""")
 def _(spark, d):
     return O.content_hash(nodes(spark, d))
 
@@ -115,9 +114,12 @@ def _(spark, d):
 _NUM = "num AS (SELECT document_id, reference_id, row_number() OVER (PARTITION BY document_id ORDER BY min(pos), reference_id) AS number FROM mentions GROUP BY 1, 2)"
 
 
-@register("render_markdown", _L + "," + _NUM + " SELECT l.document_id, string_agg(CASE WHEN l.reference_id IS NULL THEN l.text ELSE '[^' || n.number || ']' END, chr(10) || chr(10) ORDER BY k) AS markdown FROM leaf l LEFT JOIN num n USING (document_id, reference_id) GROUP BY 1")
+@register("render_markdown", _L + "," + _NUM + r""", b AS (
+    SELECT l.document_id, k, CASE WHEN l.reference_id IS NULL THEN regexp_replace(l.text, '([\\`*_\[\]<>])', '\\\1', 'g') ELSE '[^' || n.number || ']' END AS block
+    FROM leaf l LEFT JOIN num n USING (document_id, reference_id))
+  SELECT document_id, regexp_replace(string_agg(block, chr(10) || chr(10) ORDER BY k) FILTER (regexp_replace(block, '\s+', '', 'g') <> ''), '^\s+|\s+$', '', 'g') AS markdown FROM b GROUP BY 1""")
 def _(spark, d):
-    return O.render_markdown(nodes(spark, d), C.citation_numbers(B.mentions(spark, d)))
+    return R.render_markdown(nodes(spark, d), C.citation_numbers(B.mentions(spark, d)))
 
 
 @register("diff_sizes", r"""SELECT doc_id, CAST(CASE WHEN c THEN 5 ELSE 0 END AS BIGINT) AS inserted, CASE WHEN c THEN length(w) ELSE 0 END AS deleted, c AS changed

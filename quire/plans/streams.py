@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import bindings as B
+from ..sources.settled import shared_dir
 from ..streaming import feeds as S
 from .registry import register
 
 
 def _place(spark) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    return f"{base}/feed-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
 
 
 def _run(spark, start, read=None):

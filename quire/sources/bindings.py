@@ -6,7 +6,7 @@ and its SQL start from equal rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lines that stand in so many documents are references.
@@ -135,12 +135,17 @@ mentions AS (SELECT doc_id AS document_id, pos, substr(sha256(line), 1, 12) AS r
 refs AS (SELECT substr(sha256(line), 1, 12) AS id, document_id, line AS citation FROM common)"""
 
 
+def quoted(text) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+
+
 def bodies(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, body_json): a document's lines as a node tree; common lines are citation nodes."""
     at = lines(spark, path)
     cited = mentions(spark, path).select(F.col("document_id").alias("doc_id"), "pos", "reference_id")
-    text = F.regexp_replace("line", r"[^A-Za-z0-9 .,]", "")
-    node = F.when(F.col("reference_id").isNotNull(), F.format_string('{"type":"citation","attrs":{"referenceId":"%s"}}', F.col("reference_id"))).otherwise(F.format_string('{"type":"text","text":"%s"}', text))
+    cited_node = F.concat(F.lit('{"type":"citation","attrs":{"referenceId":'), quoted("reference_id"), F.lit("}}"))
+    node = F.when(F.col("reference_id").isNotNull(), cited_node).otherwise(F.concat(F.lit('{"type":"text","text":'), quoted("line"), F.lit("}")))
     para = at.join(cited, ["doc_id", "pos"], "left").select("doc_id", "pos", F.concat(F.lit('{"type":"paragraph","content":['), node, F.lit("]}")).alias("p"))
     joined = para.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), ",").alias("ps"))
     return joined.select(F.col("doc_id").alias("document_id"), F.concat(F.lit('{"type":"doc","content":['), "ps", F.lit("]}")).alias("body_json"))

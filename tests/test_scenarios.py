@@ -72,12 +72,6 @@ def test_hash_ignores_the_order_of_keys(spark):
     assert len({r.content_hash for r in h.collect()}) == 1
 
 
-def test_guidance_is_cut_and_placeholders_are_filled(spark):
-    body = '{"type":"doc","content":[{"type":"guidance","content":[{"type":"text","text":"write"}]},{"type":"paragraph","content":[{"type":"text","text":"For {subject} ."}]}]}'
-    n = nodes.explode_body(spark.createDataFrame([(1, body)], "document_id long, body_json string"))
-    assert [r.text for r in nodes.publishable_text(n, ["guidance"], {"subject": "lungs"}).collect()] == ["For lungs."]
-
-
 def test_diff_sizes(spark):
     pairs = spark.createDataFrame([(1, "a b c", "a x c"), (2, "same", "same"), (3, None, "new"), (4, None, None)], "id long, old string, new string")
     got = {r.id: (r.inserted, r.deleted, r.changed) for r in nodes.diff_sizes(pairs).collect()}
