@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settled import release, settle
+
 
 def citation_numbers(mentions: DataFrame) -> DataFrame:
     """(document_id, reference_id, number): ids by their first mention in the document."""
@@ -31,7 +33,9 @@ def reference_successors(ref: DataFrame) -> DataFrame:
     hop = ref.select("id").join(nxt, "id", "left").select("id", F.coalesce("to", "id").alias("latest"), F.col("to").isNotNull().cast("long").alias("steps"))
     reach, most = 1, ref.count()
     while True:
-        hop = hop.persist()
+        hop, old = settle(hop), hop
+        if reach > 1:
+            release(old)
         step = hop.select(F.col("id").alias("latest"), F.col("latest").alias("_l"), F.col("steps").alias("_s"))
         new = hop.join(step, "latest").select("id", F.col("_l").alias("latest"), (F.col("steps") + F.col("_s")).alias("steps"))
         if hop.join(step, "latest").filter("_s > 0").isEmpty():
@@ -70,26 +74,73 @@ def supersede_references(ref: DataFrame, edits: DataFrame, frozen: DataFrame) ->
     return rows, e.filter("_f").select(F.col("id").alias("old_id"), new.alias("new_id"))
 
 
-def resolve_citations(mentions: DataFrame, keys: DataFrame) -> DataFrame:
-    """(mention, reference_id, rule): exact key, then a unique prefix of the same year, then the author alone where that
-    is unique (a year slip); misses have no reference and the reason "no entry" or "several entries".
+#: Words that initials leave out.
+SMALL_WORDS = ("of", "and", "the", "for", "on", "in", "to", "a", "an")
+#: What resolves a citation, in this order; "abbreviation" looks for an entry that is listed by its initials.
+RULES = ("exact", "prefix", "initials", "abbreviation", "tail", "year slip")
+_YEAR = r"^(?:19|20)\d\d[a-z]?$"
 
-    mentions: (mention, author, year); keys: (reference_id, author, year). The stages join on author and year, on year and the
-    author's first letter, and on the author; an empty author is no prefix.
-    """
-    one = lambda g: g.agg(F.countDistinct("reference_id").alias("n"), F.min("reference_id").alias("r"))
-    m = mentions
-    exact = one(m.join(keys, ["author", "year"]).groupBy("mention"))
-    first = F.substring("author", 1, 1).alias("_first")
-    k = keys.select(F.col("author").alias("full"), "year", "reference_id", first)
-    prefix = one(m.select("*", first).join(k, ["year", "_first"]).filter(F.col("full").startswith(F.col("author")) & (F.col("full") != F.col("author"))).groupBy("mention"))
-    author = one(m.join(keys.select("author", "reference_id"), "author").groupBy("mention"))
-    out = m.select("mention")
-    for name, found in (("exact", exact), ("prefix", prefix), ("author", author)):
-        out = out.join(found.select("mention", F.col("n").alias(f"n_{name}"), F.col("r").alias(f"r_{name}")), "mention", "left")
-    hit = lambda name: F.when(F.col(f"n_{name}") == 1, F.col(f"r_{name}"))
-    rule = F.when(F.col("n_exact") == 1, "exact").when(F.col("n_prefix") == 1, "prefix").when(F.col("n_author") == 1, "year slip").when(F.coalesce("n_exact", "n_prefix", "n_author").isNotNull(), "several entries").otherwise("no entry")
-    return out.select("mention", F.coalesce(hit("exact"), hit("prefix"), hit("author")).alias("reference_id"), rule.alias("rule"))
+
+def _initials(words: Column) -> Column:
+    return F.array_join(F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(*SMALL_WORDS)), lambda w: F.substring(w, 1, 1)), "")
+
+
+def _last(words: Column, n: int) -> Column:
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
+
+
+def _listed(keys: DataFrame) -> DataFrame:
+    """(list_id, kind, form, n, r): for every form that an entry can be asked by, how many entries have it and the least of
+    them. Forms are counted before anything is joined with them."""
+    words = F.split("name", " ")
+    form = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("form"))
+    dated = lambda text: F.concat(text, F.lit("/"), F.col("year"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: form("prefix", dated(F.array_join(F.slice(words, F.lit(1), n), " "))))
+    some = [form("exact", dated(F.col("name"))), form("initials", dated(_initials(words))), form("tail 1", dated(_last(words, 1))), form("year slip", F.col("name"))]
+    three = F.when(F.size(words) >= 3, F.array(form("tail 3", dated(_last(words, 3))))).otherwise(F.array(form("none", F.lit(""))))
+    plain = F.array(form("year", F.concat("name", F.lit("/"), F.substring("year", 1, 4))))
+    forms = keys.select("list_id", "reference_id", F.explode(F.concat(F.array(*some), heads, three, plain)).alias("f")).select("list_id", "reference_id", "f.*")
+    return forms.filter("kind <> 'none'").groupBy("list_id", "kind", "form").agg(F.countDistinct("reference_id").alias("n"), F.min("reference_id").alias("r"))
+
+
+def resolve_citations(mentions: DataFrame, keys: DataFrame) -> DataFrame:
+    """(mention, reference_id, rule) of mentions (mention, list_id, name, year) by entries (reference_id, list_id, name, year) of
+    the same list; names are lower-case words apart by one blank, years texts such as 2018 or 2018b.
+
+    The first rule with exactly one entry resolves: the exact name and year; a name of that year which begins with the
+    whole words of the one cited; the initials of a name of that year, for a cited name of two to seven letters; an entry
+    listed by the initials of the cited name; the same last three words in that year, or the last word for a cited name
+    of one word of eight letters or more; the same name in another year, recorded as a year slip. What none resolves has
+    no reference and a reason: "several entries" of that name and year, "other years", or "no entry".
+
+    Each distinct name and year is looked up once by all its forms, in one join with the counted forms of the entries."""
+    words = F.split("name", " ")
+    dated = lambda text: F.concat(text, F.lit("/"), F.col("year"))
+    ask = lambda rule, kind, text: F.struct(F.lit(RULES.index(rule) if rule in RULES else len(RULES)).alias("at"), F.lit(kind).alias("kind"), text.alias("form"))
+    tail = F.when(F.size(words) >= 3, F.struct(F.lit(4).alias("at"), F.lit("tail 3").alias("kind"), dated(_last(words, 3)).alias("form")))
+    tail = tail.when((F.size(words) == 1) & (F.length("name") >= 8), F.struct(F.lit(4).alias("at"), F.lit("tail 1").alias("kind"), dated(F.col("name")).alias("form")))
+    asked = F.array(
+        ask("exact", "exact", dated(F.col("name"))),
+        ask("prefix", "prefix", dated(F.col("name"))),
+        F.when(F.col("name").rlike("^[a-z]{2,7}$"), ask("initials", "initials", dated(F.col("name")))),
+        F.when(F.col("name").contains(" "), ask("abbreviation", "exact", dated(_initials(words)))),
+        tail,
+        ask("year slip", "year slip", F.col("name")),
+        ask("", "year", F.concat("name", F.lit("/"), F.substring("year", 1, 4))),
+    )
+    good = (F.col("name") != "") & F.col("year").rlike(_YEAR)
+    cited = mentions.filter(good).select("list_id", "name", "year").distinct()
+    forms = cited.select("*", F.explode(F.array_compact(asked)).alias("a")).select("list_id", "name", "year", "a.*")
+    met = forms.join(_listed(keys.filter(good)), ["list_id", "kind", "form"])
+    known = met.groupBy("list_id", "name", "year").agg(
+        F.min(F.when((F.col("n") == 1) & (F.col("at") < len(RULES)), F.struct("at", "r"))).alias("hit"),
+        F.max(F.when(F.col("kind") == "year", F.col("n"))).alias("same"),
+        F.max(F.when(F.col("kind") == "year slip", F.col("n"))).alias("any"),
+    )
+    out = mentions.join(known, ["list_id", "name", "year"], "left")
+    miss = F.when((F.coalesce("same", F.lit(0)) > 1) & ~F.col("year").rlike("[a-z]$"), "several entries").when(F.coalesce("any", F.lit(0)) > 0, "other years").otherwise("no entry")
+    rule = F.when(F.col("hit").isNotNull(), F.get(F.array(*map(F.lit, RULES)), F.col("hit.at"))).otherwise(miss)
+    return out.select("mention", F.col("hit.r").alias("reference_id"), rule.alias("rule"))
 
 
 def undefined_markers(markers: DataFrame, entries: DataFrame) -> DataFrame:

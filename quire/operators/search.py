@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
 from ..functions.text import fold_accents, stem_title
 from .versions import diversify
 
@@ -19,12 +20,13 @@ def tokens(text) -> Column:
 def build_index(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings (section_id, term, title_tf, body_tf), lengths (section_id, length)) of sections (section_id, title, body).
 
-    Terms are folded and stemmed; a section's length counts all its tokens. Null texts have none."""
+    Terms are folded and stemmed; a section's length counts all its tokens. Null texts have none. The texts are read once:
+    postings are kept in files, and lengths are sums over them."""
     two = sections.select("section_id", F.explode(F.array(F.struct(F.lit(1).alias("t"), tokens("title").alias("w")), F.struct(F.lit(0).alias("t"), tokens("body").alias("w")))).alias("x"))
     words = two.select("section_id", "x.t", F.explode("x.w").alias("term"))
-    postings = words.groupBy("section_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("body_tf"))
-    size = lambda c: F.coalesce(F.size(tokens(c)), F.lit(0))
-    return postings, sections.select("section_id", (F.greatest(size("title"), F.lit(0)) + F.greatest(size("body"), F.lit(0))).cast("long").alias("length"))
+    postings = settle(words.groupBy("section_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("body_tf")))
+    sums = postings.groupBy("section_id").agg(F.sum(F.col("title_tf") + F.col("body_tf")).alias("length"))
+    return postings, sections.select("section_id").join(sums, "section_id", "left").na.fill({"length": 0})
 
 
 def reindex(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def search_published(q: DataFrame, postings: DataFrame, lengths: DataFrame, owne
     """
     terms = parse_terms(q)
     stats = lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    held = postings.join(terms.select("query_id", "term"), "term")
+    # The postings of the asked terms only, read once for counts and for scores.
+    held = settle(postings.join(terms.select("query_id", "term"), "term"))
     df = held.select("section_id", "term").distinct().groupBy("term").agg(F.count("*").alias("_df"))
     x = held.join(df, "term").join(lengths, "section_id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
@@ -61,14 +64,17 @@ def search_published(q: DataFrame, postings: DataFrame, lengths: DataFrame, owne
 
 def snippet(hits: DataFrame, terms: DataFrame, sections: DataFrame, width: int = 24) -> DataFrame:
     """(query_id, section_id, snippet): the first window of `width` words with the most matches, matches in brackets."""
-    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("_t"))
-    x = hits.join(asked, "query_id").join(sections.select("section_id", F.filter(F.split("body", r"\s+"), lambda w: w != "").alias("_w")), "section_id")
     stem = lambda w: stem_title(F.regexp_replace(fold_accents(w), r"[^\p{L}\p{N}]", ""))
-    x = x.withColumn("_m", F.transform("_w", lambda w: F.array_contains("_t", stem(w))))
-    x = x.withColumn("_p", F.filter(F.transform("_m", lambda m, i: F.when(m, i)), lambda i: i.isNotNull()))
-    score = F.transform("_p", lambda p: F.struct(F.size(F.filter("_p", lambda o: (o >= p) & (o < p + width))).alias("n"), (-p).alias("p")))
-    x = x.withColumn("_a", F.coalesce(-F.array_max(score)["p"], F.lit(0)))
-    shown = F.transform(F.arrays_zip(F.slice("_w", F.col("_a") + 1, width).alias("w"), F.slice("_m", F.col("_a") + 1, width).alias("m")), lambda z: F.when(z["m"], F.concat(F.lit("["), z["w"], F.lit("]"))).otherwise(z["w"]))
+    some = sections.join(hits.select("section_id").distinct(), "section_id", "left_semi")
+    some = settle(some.select("section_id", F.filter(F.split("body", r"\s+"), lambda w: w != "").alias("_w")))
+    words = some.select("section_id", F.posexplode(F.transform("_w", stem)).alias("_at", "term"))
+    met = words.join(hits.select("query_id", "section_id"), "section_id").join(terms.select("query_id", "term").distinct(), ["query_id", "term"])
+    ahead = Window.partitionBy("query_id", "section_id").orderBy("_at").rangeBetween(0, width - 1)
+    best = met.withColumn("_n", F.count("*").over(ahead)).groupBy("query_id", "section_id").agg(F.max(F.struct("_n", (-F.col("_at")).alias("_back"))).alias("_best"))
+    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("_t"))
+    x = hits.join(best, ["query_id", "section_id"], "left").join(asked, "query_id").join(some, "section_id")
+    x = x.withColumn("_shown", F.slice("_w", F.coalesce(-F.col("_best._back"), F.lit(0)) + 1, width))
+    shown = F.transform("_shown", lambda w: F.when(F.array_contains("_t", stem(w)), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
     return x.select("query_id", "section_id", F.array_join(shown, " ").alias("snippet"))
 
 
@@ -80,9 +86,10 @@ def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own:
     first, at most `own`, and after them, for central users only, at most `elsewhere` of other documents; the result then
     has a column here, true for the first of these groups."""
     terms = parse_terms(q, 8)
-    first = lambda c: F.substring(c, 1, 1)  # noqa: E731  # a term may have one letter only
-    words = postings.select("term").distinct().withColumn("_b", first(F.col("term"))).withColumnRenamed("term", "word")
-    wide = terms.withColumn("_b", first(F.col("term"))).join(words, "_b").filter(F.col("word").startswith(F.col("term"))).select("query_id", "term", "word")
+    # Words meet terms by their first three letters, or by as many as the term has.
+    heads = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("word"), F.lit(1), n)))
+    words = postings.select(F.col("term").alias("word")).distinct().select("word", F.explode(heads).alias("_b"))
+    wide = terms.withColumn("_b", F.substring("term", 1, 3)).join(words, "_b").filter(F.col("word").startswith(F.col("term"))).select("query_id", "term", "word")
     hits = postings.withColumnRenamed("term", "word").join(wide, "word").groupBy("query_id", "section_id").agg(F.countDistinct("term").alias("m"), F.sum(F.col("title_tf") * 3 + F.col("body_tf")).alias("s"))
     hits = hits.join(terms.groupBy("query_id").agg(F.count("*").alias("t")), "query_id").filter("m = t")
     there = hits.join(shared, hits["section_id"] == shared["core_id"]).select("query_id", shared["section_id"], "s", F.lit(1).alias("kind"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
+
 
 def published_versions(doc: DataFrame, ver: DataFrame) -> DataFrame:
     return doc.join(ver.filter("status = 'published'"), "document_id")
@@ -221,12 +223,32 @@ def diverged_from(sec: DataFrame) -> DataFrame:
 
 
 def reviewable_changes(draft: DataFrame, published: DataFrame) -> DataFrame:
-    """Changes of a draft against the published version: changed and new texts, and sections hidden since."""
-    p = published.select("document_id", "section_id", F.col("body_hash").alias("_h"), F.col("hidden").alias("_hid"))
-    both = draft.join(p, ["document_id", "section_id"], "left")
-    text = both.filter("not hidden").withColumn("change", F.when(F.col("_h").isNull(), "new").when(F.col("_h") != F.col("body_hash"), "changed"))
-    gone = both.filter("hidden and not _hid").withColumn("change", F.lit("removed"))
-    return text.filter("change is not null").unionByName(gone).select("document_id", "section_id", "order_index", "change", "body_hash")
+    """Changes of a draft against the published version: changed and new texts of sections that are shown, and removals.
+
+    draft: (document_id, section_id, parent_id, order_index, hidden, apparatus, body_hash); a section without parent_id or
+    apparatus columns has none. What stands beneath a hidden section or an apparatus is not shown, at any depth. A removal is
+    the topmost section of what was hidden since: hidden in the draft with a parent that is not, and not hidden as published."""
+    for c, t in (("parent_id", dict(draft.dtypes)["section_id"]), ("apparatus", "boolean")):
+        if c not in draft.columns:
+            draft = draft.withColumn(c, F.lit(None).cast(t))
+    key = ["document_id", "section_id"]
+    draft = settle(draft.withColumn("apparatus", F.coalesce("apparatus", F.lit(False))))
+    p = published.select(*key, F.col("body_hash").alias("_h"), F.col("hidden").alias("_hid"), F.lit(True).alias("_was"))
+    parent = draft.select("document_id", F.col("section_id").alias("parent_id"), F.col("hidden").alias("_up"))
+    # What is not shown: level by level downwards from sections that are left out themselves.
+    out = level = settle(draft.filter(F.col("hidden") | F.col("apparatus")).select(*key))
+    while True:
+        below = draft.join(level.withColumnRenamed("section_id", "parent_id"), ["document_id", "parent_id"], "left_semi").select(*key)
+        level = settle(below.join(out, key, "left_anti"))
+        if level.isEmpty():
+            break
+        out = settle(out.unionByName(level))
+    both = draft.join(p, key, "left").join(parent, ["document_id", "parent_id"], "left")
+    shown = both.join(out, key, "left_anti")
+    text = shown.withColumn("change", F.when(F.col("_was").isNull(), "new").when(~F.col("_h").eqNullSafe(F.col("body_hash")), "changed")).filter("change is not null")
+    top = F.col("hidden") & ~F.coalesce("_up", F.lit(False)) & ~F.col("apparatus") & ~F.coalesce("_hid", F.lit(False))
+    gone = both.filter(top).withColumn("change", F.lit("removed"))
+    return text.unionByName(gone).select("document_id", "section_id", "order_index", "change", "body_hash")
 
 
 def changes_union(changes: DataFrame) -> DataFrame:

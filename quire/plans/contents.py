@@ -184,16 +184,50 @@ def _(spark, d):
     return C.supersede_references(ref.select("id", "document_id"), edits, ref.filter("id < '8'"))[0]
 
 
-@register("resolve_citations", """WITH k AS (SELECT p_partkey AS reference_id, split_part(p_name, ' ', 1) AS author, p_size AS year FROM part), m AS (SELECT p_partkey AS mention, CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 3) ELSE split_part(p_name, ' ', 1) END AS author, p_size AS year FROM part),
-  a AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k USING (author, year) GROUP BY 1), b AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k ON k.year = m.year AND starts_with(k.author, m.author) AND k.author <> m.author GROUP BY 1),
-  c AS (SELECT mention, count(DISTINCT reference_id) AS n, min(reference_id) AS r FROM m JOIN k USING (author) GROUP BY 1)
-  SELECT m.mention, CASE WHEN a.n = 1 THEN a.r WHEN b.n = 1 THEN b.r WHEN c.n = 1 THEN c.r END AS reference_id, CASE WHEN a.n = 1 THEN 'exact' WHEN b.n = 1 THEN 'prefix' WHEN c.n = 1 THEN 'year slip' WHEN coalesce(a.n, b.n, c.n) IS NOT NULL THEN 'several entries' ELSE 'no entry' END AS rule
-  FROM m LEFT JOIN a USING (mention) LEFT JOIN b USING (mention) LEFT JOIN c USING (mention)""")
-def _(spark, d):
+#: Fixed values of the SQL: names as they are listed (listed) and six forms in which each is cited (form, name, year).
+_CITED = r"""listed AS (
+  SELECT p_partkey AS reference_id, lower(p_type) AS list_id, CAST(1990 + p_size % 20 AS VARCHAR) AS year,
+    CASE WHEN p_partkey % 7 = 0 THEN 'bof' || chr(CAST(97 + p_partkey % 13 AS INTEGER)) ELSE p_name || ' of ' || replace(lower(p_brand), '#', '') END AS name FROM part),
+cited AS (
+  SELECT reference_id * 10 + f AS mention, list_id, CASE f WHEN 5 THEN '1970' ELSE year END AS year, CASE f
+    WHEN 0 THEN name WHEN 1 THEN split_part(name, ' ', 1) || CASE WHEN contains(name, ' ') THEN ' ' || split_part(name, ' ', 2) ELSE '' END
+    WHEN 2 THEN left(split_part(name, ' ', 1), 1) || left(split_part(name, ' ', 2), 1) || left(split_part(name, ' ', 4), 1)
+    WHEN 3 THEN 'new ' || name WHEN 4 THEN split_part(name, ' ', -1) WHEN 6 THEN 'bank of ' || name ELSE name END AS name
+  FROM listed, range(7) t(f)),
+keyed AS (SELECT *, list_transform(list_filter(string_split(name, ' '), lambda w: w NOT IN ('', 'of', 'and', 'the', 'for', 'on', 'in', 'to', 'a', 'an')), lambda w: left(w, 1)) AS i FROM listed),
+asked AS (SELECT *, list_transform(list_filter(string_split(name, ' '), lambda w: w NOT IN ('', 'of', 'and', 'the', 'for', 'on', 'in', 'to', 'a', 'an')), lambda w: left(w, 1)) AS i FROM cited),
+hits AS (
+  SELECT mention, 0 AS rule, reference_id FROM asked a JOIN keyed k USING (list_id, name, year)
+  UNION ALL SELECT mention, 1, reference_id FROM asked a JOIN keyed k USING (list_id, year) WHERE starts_with(k.name || ' ', a.name || ' ')
+  UNION ALL SELECT mention, 2, reference_id FROM asked a JOIN keyed k USING (list_id, year) WHERE regexp_full_match(a.name, '[a-z]{2,7}') AND array_to_string(k.i, '') = a.name
+  UNION ALL SELECT mention, 3, reference_id FROM asked a JOIN keyed k USING (list_id, year) WHERE contains(a.name, ' ') AND k.name = array_to_string(a.i, '')
+  UNION ALL SELECT mention, 4, reference_id FROM asked a JOIN keyed k USING (list_id, year)
+    WHERE CASE WHEN len(string_split(a.name, ' ')) >= 3 THEN string_split(a.name, ' ')[-3:] = string_split(k.name, ' ')[-3:] ELSE NOT contains(a.name, ' ') AND length(a.name) >= 8 AND split_part(k.name, ' ', -1) = a.name END
+  UNION ALL SELECT mention, 5, reference_id FROM asked a JOIN keyed k USING (list_id, name)),
+single AS (SELECT mention, rule, min(reference_id) AS r FROM hits GROUP BY 1, 2 HAVING count(DISTINCT reference_id) = 1),
+first AS (SELECT mention, min(rule) AS rule, arg_min(r, rule) AS r FROM single GROUP BY 1),
+near AS (SELECT mention, count(DISTINCT reference_id) FILTER (k.year = a.year) AS same, count(DISTINCT reference_id) AS any FROM asked a JOIN keyed k USING (list_id, name) GROUP BY 1)"""
+
+
+@register("resolve_citations", "WITH " + _CITED + """
+SELECT mention, f.r AS reference_id, CASE WHEN f.r IS NOT NULL THEN ['exact', 'prefix', 'initials', 'abbreviation', 'tail', 'year slip'][rule + 1]
+  WHEN same > 1 THEN 'several entries' WHEN n.any > 0 THEN 'other years' ELSE 'no entry' END AS rule
+FROM asked LEFT JOIN first f USING (mention) LEFT JOIN near n USING (mention)""")
+def _(spark, d):
+    """Every part is an entry and is cited in seven forms."""
     p = B.read(spark, d, "part")
-    first = F.split("p_name", " ")[0]
-    keys = p.select(F.col("p_partkey").alias("reference_id"), first.alias("author"), F.col("p_size").alias("year"))
-    mentions = p.select(F.col("p_partkey").alias("mention"), F.when(F.col("p_partkey") % 5 == 0, F.substring("p_name", 1, 3)).otherwise(first).alias("author"), F.col("p_size").alias("year"))
+    key = F.col("p_partkey")
+    letter = F.char((97 + key % 13).cast("int"))
+    name = F.when(key % 7 == 0, F.concat(F.lit("bof"), letter)).otherwise(F.concat("p_name", F.lit(" of "), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(""))))
+    keys = p.select(key.alias("reference_id"), F.lower("p_type").alias("list_id"), (1990 + F.col("p_size") % 20).cast("string").alias("year"), name.alias("name"))
+    word = lambda n: F.coalesce(F.get(F.split("name", " "), n - 1), F.lit(""))
+    initial = lambda n: F.substring(word(n), 1, 1)
+    forms = [
+        F.col("name"), F.concat_ws(" ", F.slice(F.split("name", " "), 1, 2)), F.concat(initial(1), initial(2), initial(4)), F.concat(F.lit("new "), "name"),
+        F.element_at(F.split("name", " "), -1), F.col("name"), F.concat(F.lit("bank of "), "name"),
+    ]
+    each = keys.select("*", F.posexplode(F.array(*forms)).alias("f", "form"))
+    mentions = each.select((F.col("reference_id") * 10 + F.col("f")).alias("mention"), "list_id", F.when(F.col("f") == 5, "1970").otherwise(F.col("year")).alias("year"), F.col("form").alias("name"))
     return C.resolve_citations(mentions, keys)
 
 

@@ -220,12 +220,20 @@ def _(spark, d):
     return O.document_list_state(documents(spark, d), B.versions(spark, d), O.review_state(rev, i))
 
 
-_CHANGES = """changes AS (SELECT d.document_id, d.section_id, d.order_index, CASE WHEN d.hidden THEN 'removed' WHEN p.section_id IS NULL THEN 'new' ELSE 'changed' END AS change, d.body_hash FROM draft d LEFT JOIN pub p USING (document_id, section_id)
-  WHERE (NOT d.hidden AND (p.section_id IS NULL OR p.body_hash <> d.body_hash)) OR (d.hidden AND NOT p.hidden))"""
+#: Section n of an order stands beneath section n div 2.
+_CHANGES = """placed AS (
+  SELECT d.*, coalesce(a.hidden, false) AS under, coalesce(a.hidden, false) OR coalesce(b.hidden, false) OR coalesce(c.hidden, false) AS beneath
+  FROM draft d LEFT JOIN draft a ON a.document_id = d.document_id AND a.section_id = d.section_id // 2
+  LEFT JOIN draft b ON b.document_id = d.document_id AND b.section_id = a.section_id // 2 LEFT JOIN draft c ON c.document_id = d.document_id AND c.section_id = b.section_id // 2),
+changes AS (
+  SELECT d.document_id, d.section_id, d.order_index, CASE WHEN d.hidden THEN 'removed' WHEN p.section_id IS NULL THEN 'new' ELSE 'changed' END AS change, d.body_hash
+  FROM placed d LEFT JOIN pub p USING (document_id, section_id)
+  WHERE (NOT d.hidden AND NOT d.beneath AND (p.section_id IS NULL OR p.body_hash <> d.body_hash)) OR (d.hidden AND NOT d.under AND NOT coalesce(p.hidden, false)))"""
 
 
 def changes(spark, d):
-    return O.reviewable_changes(*sides(spark, d))
+    draft, published = sides(spark, d)
+    return O.reviewable_changes(draft.withColumn("parent_id", F.nullif(F.expr("section_id div 2"), F.lit(0))), published)
 
 
 @register("reviewable_changes", _V + "," + _CHANGES + " SELECT document_id, section_id, change, body_hash FROM changes")

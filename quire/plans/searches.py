@@ -20,8 +20,12 @@ def _tok(x):
 _SEC = "sec AS (SELECT doc_id AS section_id, source AS document_id, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS body FROM documents)"
 _POST = f"""words AS (SELECT section_id, 1 AS t, unnest({_tok('title')}) AS term FROM sec UNION ALL SELECT section_id, 0, unnest({_tok('body')}) FROM sec),
 post AS (SELECT section_id, term, CAST(sum(t) AS BIGINT) AS title_tf, CAST(sum(1 - t) AS BIGINT) AS body_tf FROM words GROUP BY 1, 2), lens AS (SELECT section_id, len({_tok('title')}) + len({_tok('body')}) AS length FROM sec)"""
-_QS = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[2:5], ' ') AS text FROM benchmark)"
-_TERMS = f"""terms AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS pos FROM (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (SELECT query_id, {_tok('text')} AS w FROM q)) GROUP BY 1, 2)"""
+_QS = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
+#: The first twelve distinct terms of a question.
+_TERMS = f"""asked AS (SELECT query_id, {_tok('text')} AS w FROM q),
+terms AS (SELECT * FROM (
+  SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS pos
+  FROM (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM asked) GROUP BY 1, 2) WHERE pos < 12)"""
 
 
 def sections(spark, d):
@@ -31,7 +35,8 @@ def sections(spark, d):
 
 
 def questions(spark, d):
-    return B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("text"))
+    """The whole text of every benchmark item is a question."""
+    return B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @register("build_index", B.with_clauses(_SEC, _POST) + "SELECT * FROM post")
@@ -51,7 +56,7 @@ def _(spark, d):
     return O.reindex(post, hit, hit.withColumn("body_tf", F.col("body_tf") + 1))
 
 
-@register("parse_terms", B.with_clauses(_QS, _TERMS) + 'SELECT query_id, pos AS "at", term FROM terms WHERE pos < 12')
+@register("parse_terms", B.with_clauses(_QS, _TERMS) + 'SELECT query_id, pos AS "at", term FROM terms')
 def _(spark, d):
     t = O.parse_terms(questions(spark, d))
     return t.withColumn("at", F.col("at").cast("long"))
