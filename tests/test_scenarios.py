@@ -146,9 +146,9 @@ def _events(*rows_):
     return [(i, datetime(2024, 1, 1, hour), user, kind, 1.0, props) for i, hour, user, kind, props in rows_]
 
 
-def _through(spark, at, start):
+def _through(spark, at, start, read):
     start(f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return feeds.latest_state(spark, f"{at}/out")
+    return read(f"{at}/out")
 
 
 LATE = [
@@ -160,13 +160,14 @@ LATE = [
 
 def test_late_changes_do_not_undo_newer_ones(spark, tmp_path):
     s = _feed(spark, tmp_path, LATE)
-    keep = lambda p, c: feeds.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "user_id long, ts timestamp, event_id long")
-    assert rows(_through(spark, tmp_path, keep).select("user_id", "event_id")) == [(1, 2), (3, 7)]
+    keep = lambda p, c: feeds.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", ["user_id", "ts", "event_id"])
+    read = lambda p: feeds.latest_state(spark, p, feeds.newest(["user_id"], ["ts", "event_id"]))
+    assert rows(_through(spark, tmp_path, keep, read).select("user_id", "event_id")) == [(1, 2), (3, 7)]
 
 
 def test_index_follows_the_last_edit_by_time(spark, tmp_path):
     s = _feed(spark, tmp_path, [*LATE, LATE[0]])
-    got = rows(_through(spark, tmp_path, lambda p, c: feeds.incremental_index(s, p, c)).select("section_id", "term", "tf"))
+    got = rows(_through(spark, tmp_path, lambda p, c: feeds.incremental_index(s, p, c), lambda p: feeds.indexed(spark, p)).select("section_id", "term", "tf"))
     assert got == [(1, "new", 1), (1, "view", 1), (1, "words", 1), (2, "error", 1), (3, "back", 1), (3, "view", 1)]
 
 
@@ -174,7 +175,7 @@ def test_presence_ends(spark, tmp_path):
     from datetime import datetime
 
     s = _feed(spark, tmp_path, LATE).withColumn("document_id", F.lit(9).cast("long"))
-    state = _through(spark, tmp_path, lambda p, c: feeds.presence(s, p, c))
+    state = _through(spark, tmp_path, lambda p, c: feeds.presence(s, p, c), lambda p: feeds.present(spark, p))
     assert rows(state.select("user_id")) == [(1,), (3,)]
     assert rows(feeds.still_present(state, F.lit(datetime(2024, 1, 1, 8)), "2 hours").select("user_id")) == [(3,)]
 
@@ -216,3 +217,77 @@ def test_entries_hold_every_word_of_a_query(spark):
     register = spark.createDataFrame([(1, "Über das Licht", True), (2, "licht", False), (3, "Ab", False), (4, None, False)], "reference_id long, citation string, cited boolean")
     q = spark.createDataFrame([(1, "licht"), (2, "b"), (3, " "), (4, "das über"), (5, None)], "query_id long, text string")
     assert rows(search.search_references(q, register)) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 3), (4, 1, 1)]
+
+
+def _size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_changed(spark, tmp_path):
+    """After a large batch a small one writes little; the log is folded, let go, and read alike all the time."""
+    from datetime import datetime
+
+    many = [(i, datetime(2024, 1, 1), i, "view", 1.0, "x" * 50) for i in range(20_000)]
+    small = [_events((20_000 + n, 1 + n, n, "error" if n % 2 else "view", "")) for n in range(9)]
+    s = _feed(spark, tmp_path, [many, *small])
+    keep = lambda p, c: feeds.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", ["user_id", "ts", "event_id", "props"], every=4, remembered="1 hour")
+    state = _through(spark, tmp_path, keep, lambda p: feeds.latest_state(spark, p, feeds.newest(["user_id"], ["ts", "event_id"])))
+    assert state.count() == 20_000 - 4 and rows(state.filter("user_id < 9").select("user_id", "event_id")) == [(n, 20_000 + n) for n in range(0, 9, 2)]
+    out = tmp_path / "out"
+    assert sorted(p.name for p in out.iterdir()) == ["base=3", "base=7", "delta=4", "delta=5", "delta=6", "delta=7", "delta=8", "delta=9"]
+    assert _size(out / "delta=8") < _size(out / "base=7") / 50
+    # Deletions of more than an hour before the newest change are let go.
+    assert spark.read.parquet(str(out / "base=7")).filter("_gone").count() == 1
+
+
+def test_a_restart_goes_on_and_a_batch_may_run_again(spark, tmp_path):
+    import shutil
+
+    read = lambda p: feeds.latest_state(spark, p, feeds.newest(["user_id"], ["ts", "event_id"]))
+    keep = lambda s: lambda p, c: feeds.apply_change_feed(s, p, c, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", ["user_id", "ts", "event_id"])
+    _through(spark, tmp_path, keep(_feed(spark, tmp_path, LATE[:2])), read)
+    # As if the driver had been lost after the second batch's files, before its commit.
+    shutil.rmtree(tmp_path / "checkpoint" / "commits")
+    (tmp_path / "checkpoint" / "commits").mkdir()
+    state = _through(spark, tmp_path, keep(_feed(spark, tmp_path, LATE[2:])), read)
+    assert rows(state.select("user_id", "event_id")) == [(1, 2), (3, 7)]
+
+
+def test_a_silent_user_leaves(spark, tmp_path):
+    """Of three users one leaves, one falls silent and one stays; only the others' events move the clock."""
+    s = _feed(spark, tmp_path, [_events((1, 0, 1, "view", ""), (2, 0, 2, "view", ""), (3, 1, 2, "error", "")), _events((4, 1, 3, "view", "")), _events((5, 5, 3, "view", "")), _events((6, 6, 3, "view", ""))])
+    s = s.withColumn("document_id", F.lit(9).cast("long"))
+    out = _through(spark, tmp_path, lambda p, c: feeds.visits(s, p, c, ttl_seconds=7200), lambda p: spark.read.parquet(p))
+    assert rows(out.select("user_id", "event_id", "signs", "ended_by")) == [(1, 1, 1, "silence"), (2, 2, 2, "left"), (3, 4, 1, "silence")]
+
+
+def test_rows_moved_by_others_win_and_late_edits_lose(spark, tmp_path):
+    say = lambda n, hour, kind, content: (n, hour, 1, kind, content)
+    batches = [_events(say(1, 1, "edit", "a"), say(2, 2, "edit", "a"), say(3, 3, "row", "theirs")), _events(say(5, 5, "edit", "mine again"), say(4, 4, "edit", "mine")), _events(say(6, 2, "edit", "late"), say(7, 2, "row", "late too"), say(8, 6, "edit", "end"))]
+    s = _feed(spark, tmp_path, batches).select(F.col("user_id").alias("section_id"), "event_id", "ts", (F.col("event_type") == "row").alias("moved"), F.col("props").alias("content"))
+    out = _through(spark, tmp_path, lambda p, c: feeds.fold_edits(s, p, c), lambda p: spark.read.parquet(p))
+    assert rows(out.select("event_id", "outcome", "content")) == [(1, "written", "a"), (4, "row", "theirs"), (5, "written", "mine again"), (8, "written", "end")]
+
+
+def test_every_rule_of_the_citation_cascade(spark):
+    listed = [
+        (1, "smith 2018"), (2, "smith 2019a"), (3, "smith 2019b"), (4, "cancer council australia working party 2014"), (5, "world health organization 2018"), (6, "bsh 2020"),
+        (7, "commonwealth department of health 2017"), (8, "indigenous healthinfonet 2024"), (9, "lee 2010"), (9, "lee and wu 2010"), (10, "doe 2011"), (11, "doe 2011"), (12, "cancer research fund 2014"),
+    ]
+    asked = {
+        "smith 2018": (1, "exact"), "cancer council 2014": (4, "prefix"), "who 2018": (5, "initials"), "british society of haematology 2020": (6, "abbreviation"),
+        "australian government department of health 2017": (7, "tail"), "healthinfonet 2024": (8, "tail"), "lee 2016": (9, "year slip"), "doe 2011": (None, "several entries"),
+        "smith 2001": (None, "other years"), "nobody 2000": (None, "no entry"), "cancer 2014": (None, "no entry"), "health 2017": (None, "no entry"), "lee 2010": (9, "exact"), "smith": (None, "no entry"),
+    }
+    part = lambda k: k.rsplit(" ", 1) if k[-2:].strip() and k.rsplit(" ", 1)[-1][:1].isdigit() else [k, ""]
+    keys = spark.createDataFrame([(i, 7, *part(k)) for i, k in listed], "reference_id long, list_id long, name string, year string")
+    mentions = spark.createDataFrame([(k, 7, *part(k)) for k in asked] + [("else", 8, "smith", "2018"), (None, 7, None, None)], "mention string, list_id long, name string, year string")
+    got = {r.mention: (r.reference_id, r.rule) for r in citations.resolve_citations(mentions, keys).collect()}
+    assert got == asked | {"else": (None, "no entry"), None: (None, "no entry")}
+
+
+def test_only_the_topmost_hidden_section_is_a_removal(spark):
+    draft = [(1, None, False, False), (2, 1, True, False), (3, 2, True, False), (4, 3, False, False), (5, 1, True, True), (6, 1, False, False), (7, 6, True, False), (8, None, False, False)]
+    d = spark.createDataFrame([(1, s, p, float(s), h, a, f"h{s}") for s, p, h, a in draft], "document_id long, section_id long, parent_id long, order_index double, hidden boolean, apparatus boolean, body_hash string")
+    p = spark.createDataFrame([(1, s, "h1" if s == 1 else "old", s == 7) for s in range(1, 8)], "document_id long, section_id long, body_hash string, hidden boolean")
+    assert rows(versions.reviewable_changes(d, p).select("section_id", "change")) == [(2, "removed"), (6, "changed"), (8, "new")]
