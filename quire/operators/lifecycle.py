@@ -143,15 +143,6 @@ def legacy_keys(outlined: DataFrame, chapters: list[tuple[str, str]], slug) -> D
     return steps.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "/").alias("key"))
 
 
-def table_rows_to_boxes(rows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(row_id, box_id, met): the box of the row's chapter that holds the most of its words; met when it holds 60 %."""
-    w = rows.select("row_id", "chapter", F.size("words").alias("n"), F.explode("words").alias("w"))
-    b = boxes.select("box_id", "chapter", F.explode("words").alias("w"))
-    hit = w.join(b, ["chapter", "w"]).groupBy("row_id", "box_id", "n").agg(F.count("*").alias("k"))
-    best = hit.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("k"), "box_id"))).filter("_r = 1")
-    return rows.select("row_id").join(best, "row_id", "left").select("row_id", "box_id", F.coalesce(F.col("k") >= 0.6 * F.col("n"), F.lit(False)).alias("met"))
-
-
 def ownership_of(runs: DataFrame, marks: list[str]) -> DataFrame:
     """owned where a run of the section bears one of the marks, else shared."""
     return runs.groupBy("section_id").agg(F.when(F.max(F.col("mark").isin(marks)), "owned").otherwise("shared").alias("ownership"))
@@ -163,27 +154,3 @@ def learn_styles(lines: DataFrame, least: int = 2) -> DataFrame:
     lines: (level, size, bold) of known headings."""
     g = lines.groupBy("level", "size", "bold").agg(F.count("*").alias("n"))
     return g.withColumn("_k", F.count("*").over(Window.partitionBy("level"))).filter((F.col("n") >= least) | (F.col("_k") == 1)).drop("_k")
-
-
-def import_legacy(sections: DataFrame, rules: DataFrame, core: DataFrame) -> dict[str, DataFrame]:
-    """A whole migration as deltas: sections placed by rule, else by equal title, else by shared words; origins with the
-    characters that each contributed; a ledger of how; the rest as rejects.
-
-    sections: (section_id, document_id, title, tokens, chars); rules: (title, target); core: (target, title, tokens).
-    """
-    from .matching import match_titles
-
-    ruled = sections.join(rules, "title").select("section_id", "document_id", "chars", "target", F.lit("rule").alias("how"))
-    left = sections.join(ruled.select("section_id"), "section_id", "left_anti")
-    exact = left.join(core.groupBy("title").agg(F.min("target").alias("target")), "title").select("section_id", "document_id", "chars", "target", F.lit("title").alias("how"))
-    left = left.join(exact.select("section_id"), "section_id", "left_anti")
-    one = lambda df, id_: df.select(F.col(id_[0]).alias(id_[1]), F.lit(0).alias("g"), "title", "tokens")
-    near = match_titles(one(left, ("section_id", "title_id")), one(core, ("target", "candidate_id")), "g")
-    words = left.join(near.select(F.col("title_id").alias("section_id"), F.col("candidate_id").alias("target")), "section_id").select("section_id", "document_id", "chars", "target", F.lit("words").alias("how"))
-    placed = ruled.unionByName(exact).unionByName(words)
-    return {
-        "placed": placed,
-        "origins": placed.groupBy("target", "document_id").agg(F.sum("chars").alias("chars")),
-        "ledger": placed.groupBy("document_id").pivot("how", ["rule", "title", "words"]).count().na.fill(0),
-        "rejects": left.join(words.select("section_id"), "section_id", "left_anti").select("section_id", F.lit("no place").alias("reason")),
-    }

@@ -8,20 +8,44 @@ from pyspark.sql import functions as F
 from ..functions.text import sentence_window
 
 
+def shared_tokens(a: DataFrame, b: DataFrame, by: str, share: float, whole: bool = True) -> DataFrame:
+    """(a, b, na, nb, both): how many tokens the pairs share, of all that share at least `share` of the smaller set's (or, with
+    whole=False, of a's). a: (a, by, tokens), b: (b, by, tokens); tokens are sets.
+
+    Pairs are found by rare tokens only: of n tokens, of which at least m must be shared, the n - m + 1 that are rarest in
+    b's documents hold a shared one. So a token that many titles have brings pairs only where nothing rarer is left."""
+    count = b.select(by, F.explode("tokens").alias("token")).groupBy(by, "token").agg(F.count("*").alias("_f"))
+
+    def rare(df, me):
+        """The tokens of which a shared one must be, by their counts."""
+        each = df.select(me, by, F.size("tokens").alias("_n"), F.explode("tokens").alias("token")).join(count, [by, "token"], "left")
+        listed = each.groupBy(me, by, "_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "token"))).alias("x"))
+        # Rounded first, so that 0.6 * 5 is 3.
+        least = F.ceil(F.round(F.col("_n") * share, 6))
+        keep = (F.col("_n") - F.greatest(least, F.lit(1)) + 1).cast("int")
+        return listed.select(me, by, F.explode(F.slice("x", F.lit(1), keep)).alias("x")).select(me, by, "x.token")
+
+    full = lambda df, me: df.select(me, by, F.explode("tokens").alias("token"))
+    met = rare(a, "a").join(full(b, "b"), [by, "token"]).select("a", "b")
+    if whole:
+        met = met.unionByName(full(a, "a").join(rare(b, "b"), [by, "token"]).select("a", "b"))
+    pairs = met.distinct().join(a.select("a", F.col("tokens").alias("_x")), "a").join(b.select("b", F.col("tokens").alias("_y")), "b")
+    pairs = pairs.select("a", "b", F.size("_x").alias("na"), F.size("_y").alias("nb"), F.size(F.array_intersect("_x", "_y")).alias("both"))
+    return pairs.filter(F.col("both") >= share * (F.least("na", "nb") if whole else F.col("na")) - 1e-9)
+
+
 def match_titles(titles: DataFrame, candidates: DataFrame, by: str, min_containment: float = 0.6, min_jaccard: float = 0.25) -> DataFrame:
     """(title_id, candidate_id, jaccard): each title's best candidate within `by`, by shared tokens.
 
-    titles: (title_id, by, tokens), candidates: (candidate_id, by, title, tokens); tokens are sets. Pairs come from equal
-    tokens only. A title of one word needs that word and a candidate of at most two. Best Jaccard, then the shorter
-    title, then the smaller id.
-    """
-    a = titles.select("title_id", by, F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    b = candidates.select("candidate_id", by, F.size("tokens").alias("nb"), F.length("title").alias("len"), F.explode("tokens").alias("token"))
-    pairs = a.join(b, [by, "token"]).groupBy("title_id", "candidate_id", "na", "nb", "len").agg(F.count("*").alias("both"))
-    j, c = F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), F.col("both") / F.least("na", "nb")
-    good = pairs.withColumn("jaccard", j).filter((c >= min_containment) & (j >= min_jaccard) & ((F.col("na") > 1) | (F.col("nb") <= 2)))
-    w = Window.partitionBy("title_id").orderBy(F.desc("jaccard"), "len", "candidate_id")
-    return good.withColumn("n", F.row_number().over(w)).filter("n = 1").select("title_id", "candidate_id", F.round("jaccard", 9).alias("jaccard"))
+    titles: (title_id, by, tokens), candidates: (candidate_id, by, title, tokens); tokens are sets. A title of one word
+    needs that word and a candidate of at most two. Best Jaccard, then the shorter title, then the smaller id."""
+    a = titles.select(F.col("title_id").alias("a"), by, "tokens")
+    b = candidates.select(F.col("candidate_id").alias("b"), by, "tokens")
+    pairs = shared_tokens(a, b, by, min_containment).join(candidates.select(F.col("candidate_id").alias("b"), F.length("title").alias("len")), "b")
+    j = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    good = pairs.withColumn("jaccard", j).filter((j >= min_jaccard) & ((F.col("na") > 1) | (F.col("nb") <= 2)))
+    best = good.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "len", "b")).alias("x"))
+    return best.select(F.col("a").alias("title_id"), F.col("x.b").alias("candidate_id"), F.round(-F.col("x.j"), 9).alias("jaccard"))
 
 
 def nearest_documents(q: DataFrame, names: DataFrame, synonyms: DataFrame | None = None, k: int = 3) -> DataFrame:

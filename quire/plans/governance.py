@@ -136,14 +136,6 @@ def _(spark, d):
     return O.legacy_keys(tree.outline(sec), [("^AM", "new-world"), ("A$", "old-world")], slugify)
 
 
-@register("table_rows_to_boxes", """WITH r AS (SELECT p_partkey AS row_id, p_brand AS chapter, unnest(list_distinct(string_split(p_name, ' '))) AS w, len(list_distinct(string_split(p_name, ' '))) AS n FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS box_id, p_brand AS chapter, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part WHERE p_partkey % 2 = 1),
-  h AS (SELECT row_id, box_id, n, count(*) AS k FROM r JOIN b USING (chapter, w) GROUP BY 1, 2, 3), z AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k DESC, box_id) AS o FROM h)
-  SELECT p_partkey AS row_id, z.box_id, coalesce(z.k >= 0.6 * z.n, false) AS met FROM part LEFT JOIN z ON z.row_id = p_partkey AND o = 1 WHERE p_partkey % 2 = 0""")
-def _(spark, d):
-    p = B.read(spark, d, "part").withColumn("words", F.array_distinct(F.split("p_name", " ")))
-    return O.table_rows_to_boxes(p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("chapter"), "words"), p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("box_id"), F.col("p_brand").alias("chapter"), "words"))
-
-
 @register("ownership_of", "SELECT l_orderkey AS section_id, CASE WHEN max(l_returnflag = 'R') THEN 'owned' ELSE 'shared' END AS ownership FROM lineitem GROUP BY 1")
 def _(spark, d):
     return O.ownership_of(B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("section_id"), F.col("l_returnflag").alias("mark")), ["R"])
@@ -154,31 +146,6 @@ def _(spark, d):
     return O.learn_styles(B.read(spark, d, "part").select(F.col("p_brand").alias("level"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 2 == 0).alias("bold")))
 
 
-_IMP = """WITH s AS (SELECT p_partkey AS section_id, p_brand AS document_id, p_name AS title, list_distinct(string_split(p_name, ' ')) AS t, CAST(p_size AS BIGINT) AS chars FROM part WHERE p_partkey % 4 > 0), core AS (SELECT min(p_partkey) AS target, p_name AS title FROM part WHERE p_partkey % 4 = 0 GROUP BY 2),
-ruled AS (SELECT section_id, document_id, chars, -1 AS target, 'rule' AS how FROM s WHERE title LIKE 'a%' OR title LIKE 'r%'), ex AS (SELECT s.section_id, s.document_id, s.chars, c.target, 'title' AS how FROM s JOIN core c USING (title) WHERE section_id NOT IN (SELECT section_id FROM ruled)),
-rest AS (SELECT * FROM s WHERE section_id NOT IN (SELECT section_id FROM ruled UNION ALL SELECT section_id FROM ex)), a AS (SELECT section_id, len(t) AS na, unnest(t) AS w FROM rest), b AS (SELECT target, length(title) AS l, len(list_distinct(string_split(title, ' '))) AS nb, unnest(list_distinct(string_split(title, ' '))) AS w FROM core),
-m AS (SELECT section_id, target, na, nb, l, count(*) AS n FROM a JOIN b USING (w) GROUP BY ALL), j AS (SELECT *, n / (na + nb - n) AS j FROM m WHERE n / least(na, nb) >= 0.6 AND n / (na + nb - n) >= 0.25 AND (na > 1 OR nb <= 2)), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY j DESC, l, target) AS r FROM j) WHERE r = 1),
-placed AS (SELECT * FROM ruled UNION ALL SELECT * FROM ex UNION ALL SELECT section_id, document_id, chars, best.target, 'words' FROM rest JOIN best USING (section_id))"""
-
-
-def _imported(spark, d):
-    p = B.read(spark, d, "part").withColumn("tokens", F.array_distinct(F.split("p_name", " ")))
-    sec = p.filter("p_partkey % 4 > 0").select(F.col("p_partkey").alias("section_id"), F.col("p_brand").alias("document_id"), F.col("p_name").alias("title"), "tokens", F.col("p_size").cast("long").alias("chars"))
-    core = p.filter("p_partkey % 4 = 0").groupBy(F.col("p_name").alias("title"), "tokens").agg(F.min("p_partkey").alias("target"))
-    rules = sec.filter("title like 'a%' or title like 'r%'").select("title", F.lit(-1).cast("long").alias("target")).distinct()
-    return O.import_legacy(sec, rules, core)
-
-
-@register("import_legacy", _IMP + " SELECT section_id, document_id, target, how FROM placed")
-def _(spark, d):
-    return _imported(spark, d)["placed"].drop("chars")
-
-
-@register("import_legacy_ledger", _IMP + " SELECT document_id, count(*) FILTER (how = 'rule') AS rule, count(*) FILTER (how = 'title') AS title, count(*) FILTER (how = 'words') AS words FROM placed GROUP BY 1")
-def _(spark, d):
-    return _imported(spark, d)["ledger"]
-
-
 @register("check_constraints", """SELECT 'lineitem' AS "table", 'unique l_orderkey,l_linenumber' AS rule, l_orderkey || '/' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
   UNION ALL SELECT 'lineitem', 'enum l_returnflag', l_returnflag, count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 3 UNION ALL SELECT 'lineitem', 'orphan l_suppkey', CAST(l_suppkey AS VARCHAR), count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0) GROUP BY 3
   UNION ALL SELECT 'lineitem', 'at most one per l_partkey', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_quantity > 49 GROUP BY 3 HAVING count(*) > 1""")

@@ -10,7 +10,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-_MODULES: tuple[str, ...] = tuple(f"quire.plans.{m}" for m in ("scalars", "trees", "editions", "contents", "publishing", "searches", "matches", "governance", "operations", "streams"))
+_MODULES: tuple[str, ...] = tuple(f"quire.plans.{m}" for m in ("scalars", "trees", "editions", "contents", "publishing", "searches", "matches", "governance", "migrations", "operations", "streams"))
 
 
 def register(name: str, sql: str | None = None):
