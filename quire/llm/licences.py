@@ -1,9 +1,10 @@
 """Licence scans: a trained paragraph classifier, applied with DataFrame functions only.
 
-A multinomial logistic regression with an L1 penalty is fitted on the driver on the fixed templates below, on windows of
-them, and on fixed sentences that only sound alike. Its features are the word 1- to 3-grams of paragraphs that hold
-a licence word; a paragraph without one is unknown by definition and is passed over by one pattern in the scan. The
-weights, a table whose size the templates fix, are joined to the n-grams of the remaining paragraphs; summed scores
+A multinomial logistic regression with an L1 penalty is fitted on the driver on the fixed templates below, long and short,
+on windows of them, and on unknowns: notices of other licences and sentences that only sound alike. Its probabilities are
+scaled on other sentences, of families and unknown, of which the fit has none. Its features are the word 1- to 3-grams of
+paragraphs that hold a word of licences or the name of a family; a paragraph without one is unknown by definition and is
+passed over by one pattern in the scan. The weights, a table whose size the templates fix, are joined to the n-grams of the remaining paragraphs; summed scores
 give a family or "unknown". A family counts as confirmed when the paragraph holds enough of the words of one sentence of
 that family's templates.
 
@@ -26,6 +27,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
+UNKNOWN = "unknown"
 #: The openings and notices of public licences, by family.
 TEMPLATES = {
     "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"],
@@ -51,12 +55,59 @@ OTHERS = [
     "The software license server is down again.", "Please read the license before you install version 3 of the program.", "The apache helicopter is licensed for export.",
     "The public license office opens at nine, version 2 of the form is on the desk.", "Our attribution model was licensed from a vendor.", "Licensed under a secret agreement.", "This work is licensed under terms that are not public.",
 ]
-#: The words of which a feature must hold one.
-ANCHORS = ("license", "licensed", "licenses", "licence", "copyright", "warranties", "redistribution", "redistributions", "redistribute", "permission", "software")
+#: Short forms of the families' names, as titles and notices print them.
+SHORT = {
+    "agpl-3.0": ["GNU Affero General Public License v3.0", "AGPLv3"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "license: Apache-2.0"],
+    "bsd": ["BSD 3-Clause License", "The 2-Clause BSD License", "license: BSD"],
+    "cc-by": ["Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International"],
+    "cc0": ["CC0 1.0 Universal"],
+    "gpl-2.0": ["GNU General Public License v2.0", "GNU GPL v2", "GPLv2 or later", "GPLv2"],
+    "gpl-3.0": ["GNU General Public License v3.0", "GNU GPL v3", "GPLv3 or later", "GPLv3"],
+    "lgpl": ["GNU Lesser General Public License v2.1", "GNU LGPL", "LGPLv3"],
+    "mit": ["The MIT License (MIT)", "MIT License", "license: MIT"],
+    "mpl-2.0": ["Mozilla Public License Version 2.0", "MPL 2.0"],
+    "unlicense": ["The Unlicense", "license: Unlicense"],
+}
+#: Notices of licences of no family here.
+FOREIGN = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC License", "This software is provided as-is, without any express or implied warranty.", "zlib License", "license: ISC", "license: Zlib",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0",
+    "Distributed under the Boost Software License, Version 1.0.", "Licensed under the EUPL, Version 1.2", "European Union Public Licence v1.2", "Artistic License 2.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Microsoft Public License", "Common Development and Distribution License version 1.0",
+    "Python Software Foundation License Version 2", "Licensed under the Academic Free License version 3.0", "GNU Free Documentation License, Version 1.3", "GNU GENERAL PUBLIC LICENSE", "GNU LICENSE",
+    "Creative Commons Attribution-NoDerivatives 4.0", "Licensed under CC BY-ND 4.0.", "Creative Commons",
+]
+#: The sentences that the probabilities are calibrated on; the fit has none of them.
+HELD = {
+    "mit": ["Available under the MIT licence, see the file", "code is MIT License"], "gpl-3.0": ["this tool is released under GPLv3", "the GNU General Public License version 3 applies"],
+    "gpl-2.0": ["distributed under the GNU General Public License version 2", "its licence is GPLv2"], "apache-2.0": ["the project uses the Apache License version 2.0", "Apache 2.0 license text"],
+    "bsd": ["under a BSD license with three clauses", "BSD 3-Clause license applies"], "cc-by": ["photos under Creative Commons Attribution 4.0", "images: CC BY 4.0 license"],
+    "cc-by-sa": ["text under CC BY-SA 4.0 license", "shared under Creative Commons Attribution-ShareAlike 4.0"], "mpl-2.0": ["files under the Mozilla Public License 2.0"], "lgpl": ["linked under the GNU Lesser General Public License"],
+    "agpl-3.0": ["served under the GNU Affero General Public License"], "cc0": ["dedicated under CC0 1.0 license"],
+    UNKNOWN: [
+        "Boost Software License Version 1.0 of August 2003", "the Eclipse Public License v 1.0 covers the plugin", "Open Software License 3.0", "Academic license for students, version 2", "PHP License, version 3.01",
+        "Her pilot license was renewed on the third", "The copyright notice was printed on page 2", "they asked permission to redistribute food", "a general public warranty", "All permissions on the software server were reset",
+        "The commons attribution plaque", "version 2.0 of the software shipped without a license key", "Public hearings on the licence fee", "X11 License Distribution Modification Variant", "Sun Public License Version 1.0",
+    ],
+}
+#: The words of which a feature must hold one: words of licences, and names of families that are no words.
+ANCHORS = (
+    "license", "licensed", "licenses", "licence", "copyright", "warranties", "redistribution", "redistributions", "redistribute", "permission", "software",
+    "agpl", "agplv3", "bsd", "cc0", "commons", "copyleft", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "mozilla", "mpl", "spdx", "unlicense",
+)
 
 _WORD = r"[\p{L}\p{N}]+"
 _ANCHOR = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
-UNKNOWN = "unknown"
+
+
+def forms() -> dict[str, list[str]]:
+    """All template sentences of the families, long and short."""
+    return {f: [*ss, *SHORT[f]] for f, ss in TEMPLATES.items()}
 
 
 def words(text: str) -> list[str]:
@@ -78,14 +129,13 @@ def features(text: str) -> set[str]:
 
 @cache
 def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
-    """Classes, non-zero weights by n-gram, and biases; scaled on held-out windows so that scores are calibrated."""
-    rows = [(s, f) for f, ss in TEMPLATES.items() for s in ss for _ in range(3)] + [(s, UNKNOWN) for s in OTHERS for _ in range(2)]
+    """Classes, non-zero weights by n-gram, and biases, scaled so that the probabilities fit sentences held out from the fit."""
+    rows = [(s, f) for f, ss in forms().items() for s in ss for _ in range(3)] + [(s, UNKNOWN) for s in OTHERS + FOREIGN for _ in range(2)]
     rng = np.random.default_rng(5)
     filler = [x for s in OTHERS for x in words(s) if x not in ANCHORS]
-    held = []
-    for s, f in list(rows):
-        noise = " ".join(rng.choice(filler, int(rng.integers(2, 12))))
-        (held if rng.random() < 0.25 else rows).append((f"{noise} {s} {noise}", f))
+    noisy = lambda s: " ".join((*rng.choice(filler, int(rng.integers(2, 12))), s, *rng.choice(filler, int(rng.integers(2, 12)))))
+    rows += [(noisy(s), f) for s, f in list(rows)]
+    held = [(x, f) for f, ss in HELD.items() for s in ss for x in (s, noisy(s))]
     for _ in range(120):  # single anchors among other words
         w = list(rng.choice(filler, int(rng.integers(3, 14))))
         w.insert(int(rng.integers(0, len(w))), str(rng.choice(ANCHORS)))
@@ -120,6 +170,11 @@ def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
     return classes, {g: w[i] for g, i in vocab.items() if np.abs(w[i]).max() > 1e-9}, w[-1]
 
 
+def may_hold(text) -> Column:
+    """Whether a text holds a word of which every feature holds one."""
+    return F.col(text).rlike(_ANCHOR)
+
+
 def scan_licences(documents: DataFrame, text_col: str = "text", least: float = 0.6, overlap: float = 0.7) -> DataFrame:
     """The lines and runs of lines that hold a licence word, one row each: every input column but the text, paragraph (from 0),
     family, probability, similarity and confirmed. Family is "unknown" below `least`."""
@@ -127,7 +182,8 @@ def scan_licences(documents: DataFrame, text_col: str = "text", least: float = 0
     classes, weights, bias = model()
     kept = [c for c in documents.columns if c != text_col]
     inputs = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(0).alias("_none"))
-    texts = documents.select(inputs.alias("_in"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_t")).filter(F.col("_t").rlike(_ANCHOR))
+    # Numbers are given once: the branches below must agree on them even after an executor is lost.
+    texts = settle(documents.select(inputs.alias("_in"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_t")).filter(F.col("_t").rlike(_ANCHOR)))
     lines = texts.select("_in", "_row", F.posexplode(F.split("_t", "\n")).alias("paragraph", "_p"))
     blank = F.col("_p").rlike(r"^\s*$")
     lines = lines.withColumn("_run", F.count_if(blank).over(Window.partitionBy("_row").orderBy("paragraph"))).filter(~blank)
@@ -150,9 +206,9 @@ def scan_licences(documents: DataFrame, text_col: str = "text", least: float = 0
     # Template comparison: the largest share of one template sentence's words that the line holds, or of its 3-grams of
     # words that the run holds, whose many words would hold those of a sentence by chance.
     top = top.withColumn("_c", F.when(F.col("_whole"), F.when(F.size("_w") >= 3, gram(3))).otherwise(F.col("_w")))
-    share = lambda t: F.size(F.array_intersect("_c", F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
+    share = lambda t: F.size(F.array_intersect("_c", F.array(*map(F.lit, t)))) / F.lit(float(len(t))) if t else F.lit(0.0)
     threes = lambda w: sorted({" ".join(w[i : i + 3]) for i in range(len(w) - 2)})
-    held = F.array(*(F.coalesce(F.greatest(*(F.when(F.col("_whole"), share(threes(words(s)))).otherwise(share(sorted(set(words(s))))) for s in TEMPLATES[f])), F.lit(0.0)) for f in classes[:-1]))
+    held = F.array(*(F.coalesce(F.greatest(*(F.when(F.col("_whole"), share(threes(words(s)))).otherwise(share(sorted(set(words(s))))) for s in forms()[f])), F.lit(0.0)) for f in classes[:-1]))
     top = top.withColumn("_h", held)
     # Other sentences of a run blur its scores: where a run holds a template sentence, the comparison names the family.
     named = F.when(F.col("_whole") & (F.array_max("_h") >= overlap), F.array_position("_h", F.array_max("_h")).cast("int"))

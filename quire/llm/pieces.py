@@ -208,19 +208,24 @@ class Coder(dict):
 _coders: dict[str, Coder] = {}
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, threads: int | None = None) -> Coder:
+    """The worker's coder. Threads are the library's for the whole process, so the first use fixes them."""
     if path not in _coders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        if threads:
+            os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         _coders[path] = Coder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _coders[path]
 
 
-def encode(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, `ids` (array), `repaired` (words on which the libraries differ) and `exact` (decoding gives the normalised text back)."""
+def encode(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threads: int | None = None) -> DataFrame:
+    """Id, `ids` (array), `repaired` (words on which the libraries differ) and `exact` (decoding gives the normalised text back).
+
+    Batches of words are encoded on `threads` threads, by default as many as a task has cores (spark.task.cpus)."""
 
     def rows(keys, texts):
-        c = coder(model)
+        c = coder(model, threads)
         ids, repaired, exact = [], [], []
         for at in range(0, len(texts), 128):
             part = texts[at : at + 128]

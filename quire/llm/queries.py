@@ -107,17 +107,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licences import UNKNOWN, scan_licences
+    from .common import settle
+    from .licences import UNKNOWN, may_hold, scan_licences
 
-    docs = table(spark, sf_dir, "documents")
-    found = scan_licences(docs.select("doc_id", "text")).filter((F.col("family") != UNKNOWN) & F.col("confirmed"))
-    per = found.groupBy("doc_id").agg(
+    # A row is told by its number, as ids may be null or repeated; texts without a word of licences are not kept.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(may_hold("text"), F.col("text")).alias("text"))
+    docs = settle(docs)
+    found = scan_licences(docs.select("row", "text")).filter((F.col("family") != UNKNOWN) & F.col("confirmed"))
+    per = found.groupBy("row").agg(
         F.count("*").alias("n_licences"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "family"))), lambda x: F.concat_ws(":", x["paragraph"], x["family"])), ",").alias("places"),
         F.max(F.round("probability", 6)).alias("probability"),
     )
-    return docs.select("doc_id").join(per, "doc_id", "left").na.fill({"n_licences": 0, "families": "", "places": ""})
+    return docs.select("doc_id", "row").join(per, "row", "left").drop("row").na.fill({"n_licences": 0, "families": "", "places": ""})
 
 
 #: Hits that a query gets.

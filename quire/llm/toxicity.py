@@ -1,4 +1,8 @@
-"""Toxicity by compression distance: one zstandard dictionary is trained on ordinary text and one on toxic text.
+"""Toxicity by compression distance between two zstandard dictionaries of words.
+
+The ordinary dictionary holds the commonest words of ordinary text; the toxic one holds these and what the library's
+trainer makes of the words that a log-odds test finds to be toxic. So it is a compression distance over selected words:
+dictionaries trained on all words of either class tell the classes far worse (README).
 
 A text is cut into windows of 32 words, each word written as a code of 16 bytes (the hash of its lower-case form
 without outer punctuation), so that a whole known word is one match and an unknown one is incompressible. Each window

@@ -113,7 +113,7 @@ def plain_licences(text):
         z = bias + sum((weights[g] for g in licences.ngrams(w) if g in weights), np.zeros(len(classes)))
         likely = classes[int(z.argmax())] if 1 / np.exp(z - z.max()).sum() >= 0.6 else licences.UNKNOWN
         form = threes if whole else set
-        share = [max(len(form(w) & form(licences.words(s))) / max(1, len(form(licences.words(s)))) for s in licences.TEMPLATES[f]) for f in families]
+        share = [max(len(form(w) & form(licences.words(s))) / max(1, len(form(licences.words(s)))) for s in licences.forms()[f]) for f in families]
         if whole and max(share) >= 0.7:
             likely = families[share.index(max(share))]
         return likely if likely != licences.UNKNOWN and share[families.index(likely)] >= 0.7 else None
@@ -137,3 +137,31 @@ def test_licences(spark, data, documents):
     assert any(want.values())
     for i, x in want.items():
         assert (got[i].n_licences, got[i].places, got[i].families) == (len(x), ",".join(f"{k}:{f}" for k, f in x), ",".join(sorted({f for _, f in x})))
+
+
+def test_licences_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "Licensed under the MIT license."), (1, "Released under the MIT License."), (1, "x\nLicensed under CC BY 4.0."), (2, None), (None, "nothing"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.n_licences, r.families, r.places) for r in queries.op5_licences(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "", ""), (0, 1, "mit", "0:mit"), (1, 1, "cc-by", "1:cc-by"), (1, 1, "mit", "0:mit"), (2, 0, "", ""), (3, 0, "", "")]
+
+
+def test_held_out_licence_sentences(spark):
+    """Sentences that the fit has not seen: families are told, and other licences and prose are unknown."""
+    fitted = {s for ss in licences.forms().values() for s in ss} | {*licences.OTHERS, *licences.FOREIGN}
+    held = [(s, f) for f, ss in licences.HELD.items() for s in ss]
+    assert not fitted & {s for s, _ in held}
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(held)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licences.scan_licences(df).collect()}
+    right = [got.get(i, licences.UNKNOWN) == f for i, (_, f) in enumerate(held)]
+    told = [got.get(i, licences.UNKNOWN) for i, (_, f) in enumerate(held) if f == licences.UNKNOWN]
+    assert sum(right) >= 0.85 * len(held) and sum(x != licences.UNKNOWN for x in told) <= 1
+
+
+def test_threads_do_not_change_ids(spark, data):
+    from quire.llm import pieces
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    model = P.path("piece_bpe_32k.model")
+    one, two = ({r.doc_id: list(r.ids) for r in pieces.encode(docs, model, threads=n).collect()} for n in (1, 2))
+    assert one == two and len(one) == 40
