@@ -93,6 +93,12 @@ def notification_recipients(doc: DataFrame, mem: DataFrame, floor: str) -> DataF
     return doc.join(mem.filter(rank("role") >= rank(F.lit(floor))), "org_id").select("document_id", "user_id")
 
 
+def mentioned_recipients(mentions: DataFrame, doc: DataFrame, mem: DataFrame, central_org: int) -> DataFrame:
+    """(document_id, user_id) of mentioned people, once each, who may read the document: members of its team or the central one."""
+    said = mentions.select("document_id", "user_id").distinct().join(doc.select("document_id", "org_id"), "document_id")
+    return effective_role(said, mem, central_org).filter("role <> 'none'").select("document_id", "user_id")
+
+
 def roster_order(mem: DataFrame) -> DataFrame:
     """Adds place: role from the top of the ladder, then name."""
     return mem.withColumn("place", F.row_number().over(Window.partitionBy("org_id").orderBy(F.desc(rank("role")), "name", "user_id")).cast("long"))
@@ -104,6 +110,17 @@ def team_roster(mem: DataFrame, doc: DataFrame) -> DataFrame:
     return mem.groupBy("org_id").agg(F.count("*").alias("members")).join(home.select("org_id", F.col("document_id").alias("home")), "org_id", "left")
 
 
+def team_view(asks: DataFrame, mem: DataFrame, doc: DataFrame, central_org: int) -> DataFrame:
+    """(viewer, org_id, standing, home, place, user_id, role): what a viewer is shown of a team, member by member in roster
+    order. asks: (viewer, org_id). A viewer's standing is the own role, or steward for members of the central team; others
+    are shown nothing."""
+    own = mem.select("org_id", F.col("user_id").alias("viewer"), F.col("role").alias("_own"))
+    central = mem.filter(F.col("org_id") == central_org).select(F.col("user_id").alias("viewer"), F.lit("steward").alias("_c")).distinct()
+    seen = asks.join(own, ["org_id", "viewer"], "left").join(central, "viewer", "left").withColumn("standing", F.coalesce("_own", "_c")).filter("standing is not null")
+    home = team_roster(mem, doc).select("org_id", "home")
+    return seen.join(home, "org_id").join(roster_order(mem).select("org_id", "user_id", "role", "place"), "org_id").select("viewer", "org_id", "standing", "home", "place", "user_id", "role")
+
+
 def mentionable_people(mem: DataFrame, central_org: int, org_id: int) -> DataFrame:
     """One's own team, then the central one, each person once."""
     rows = mem.filter(F.col("org_id").isin(org_id, central_org)).withColumn("_p", (F.col("org_id") != org_id).cast("int"))

@@ -61,6 +61,19 @@ def reference_register(mentions: DataFrame, ref: DataFrame) -> DataFrame:
     return rows.withColumn("own", F.coalesce("own", F.lit(False)))
 
 
+def reference_flags(mentions: DataFrame, ref: DataFrame, published: DataFrame) -> DataFrame:
+    """reference_register() with what an editor must know of each row: whether a newer entry supersedes it, whether a published
+    edition cites it, and where its document cites it (places in order, comma-joined). ref has `supersedes`; published:
+    (reference_id, ...) of the published editions."""
+    rows = reference_register(mentions, ref)
+    old = ref.filter("supersedes is not null").select(F.col("supersedes").alias("reference_id"), F.lit(True).alias("superseded")).distinct()
+    held = published.select("reference_id", F.lit(True).alias("in_published")).distinct()
+    listed = F.array_join(F.array_sort(F.collect_set("pos")).cast("array<string>"), ",")
+    said = mentions.groupBy("document_id", "reference_id").agg(listed.alias("sections"))
+    out = rows.join(old, "reference_id", "left").join(held, "reference_id", "left").join(said, ["document_id", "reference_id"], "left")
+    return out.na.fill({"superseded": False, "in_published": False, "sections": ""})
+
+
 def reference_union(mentions: DataFrame, ref: DataFrame) -> DataFrame:
     """(document_id, reference_id) cited or owned, once each."""
     return mentions.select("document_id", "reference_id").union(ref.select("document_id", F.col("id"))).distinct()

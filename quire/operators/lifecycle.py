@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.settled import settle
 from .citations import citation_numbers
 from .nodes import citations_in, content_hash, explode_body
+from .versions import review_state
 from .render import publish_body, render_markdown
 
 
@@ -126,6 +127,16 @@ def apply_decisions(pins: DataFrame, rev: DataFrame, decisions: DataFrame) -> tu
     return out, d.filter(why.isNotNull()).select("review_id", "section_id", why.alias("reason"))
 
 
+def newly_decided(rev: DataFrame, pins: DataFrame, applied: DataFrame) -> DataFrame:
+    """(review_id, decision) of reviews that decisions have just decided: open before, and not after. applied: what
+    apply_decisions() returns of the pins (review_id, section_id, decision)."""
+    key = ["review_id", "section_id"]
+    after = pins.join(applied.select(*key, F.col("decision").alias("_new")), key, "left").withColumn("decision", F.coalesce("_new", "decision")).drop("_new")
+    state = lambda p, name: review_state(rev.select("review_id"), p).select("review_id", F.col("decision").alias(name))
+    both = state(pins, "_was").join(state(after, "decision"), "review_id")
+    return both.filter("_was is null and decision is not null").select("review_id", "decision")
+
+
 def apply_flags(rows: DataFrame, flags: DataFrame, key: str, column: str, guard: Column) -> DataFrame:
     """(key, column) of the rows whose flag changes, where the guard allows it."""
     return rows.filter(guard).join(flags.select(key, F.col(column).alias("_new")), key).filter(~F.col(column).eqNullSafe(F.col("_new"))).select(key, F.col("_new").alias(column))

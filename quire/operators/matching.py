@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentence_window
+from ..functions.text import address_key, sentence_window
 
 
 def shared_tokens(a: DataFrame, b: DataFrame, by: str, share: float, whole: bool = True) -> DataFrame:
@@ -126,6 +126,13 @@ def weighted_mode(df: DataFrame, by: list[str], value: str, weight: str) -> Data
     return s.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def recurring_above(df: DataFrame, by: list[str], value: str, weight: str, least: int = 8) -> DataFrame:
+    """(by, value, n): the values above a group's weighted mode that at least `least` rows have: sizes of headings over the body's."""
+    body = weighted_mode(df, by, value, weight).select(*by, F.col(value).alias("_body"))
+    n = df.groupBy(*by, value).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return n.join(body, by).filter(F.col(value) > F.col("_body")).select(*by, value, "n")
+
+
 def enriched_values(df: DataFrame, by: str, value: str, weight: str, subset: Column, least: float = 0.2, times: float = 3.0) -> DataFrame:
     """Values whose share in the subset is at least `least` and over `times` their share overall, the dominant one excepted."""
     g = df.groupBy(by, value).agg(F.sum(weight).alias("all"), F.sum(F.when(subset, F.col(weight)).otherwise(0)).alias("sub"))
@@ -243,6 +250,14 @@ def fit_link_spans(spans: DataFrame) -> DataFrame:
     return each.select("span_id", F.regexp_extract("_part", pattern, 1).alias("address"), before.alias("start"))
 
 
+def link_span_targets(spans: DataFrame, targets: DataFrame) -> DataFrame:
+    """fit_link_spans() with the target that each printed address names, null where none does: addresses are equal without
+    scheme, www., closing slashes and query. targets: (span_id, target); of several the first in order."""
+    found = fit_link_spans(spans).withColumn("_key", address_key("address"))
+    named = targets.withColumn("_key", address_key("target")).groupBy("span_id", "_key").agg(F.min("target").alias("target"))
+    return found.join(named, ["span_id", "_key"], "left").drop("_key")
+
+
 def link_resolution_audit(links: DataFrame, resolved: DataFrame, before: int = 180, after: int = 80) -> DataFrame:
     """Each link occurrence with what stands around it, how it was resolved and why.
 

@@ -96,6 +96,23 @@ def validate_nodes(nodes: DataFrame, rules: DataFrame, key: str = "document_id")
     return nodes.withColumn("parent_type", F.coalesce("parent_type", F.lit(""))).join(F.broadcast(allowed), ["parent_type", "type"], "left_anti").select(key, "path", "type", "parent_type")
 
 
+def schema_problems(nodes: DataFrame, rules: DataFrame, required: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, path, type, problem) of what breaks the schema: "unknown type" where no rule has the type, "not under <parent>"
+    where it may not stand there, and "lacks <attribute>" for each attribute that is absent or null.
+
+    rules: (parent_type, type), a null parent for the root; required: (type, attribute). Both are tables of the schema,
+    joined by type, so whatever their size they are not copied whole."""
+    at = nodes.withColumn("_parent", F.coalesce("parent_type", F.lit(""))).withColumn("type", F.coalesce("type", F.lit("")))
+    allowed = rules.select(F.coalesce("parent_type", F.lit("")).alias("_parent"), "type", F.lit(True).alias("_ok")).distinct()
+    known = rules.select("type", F.lit(True).alias("_known")).distinct()
+    asked = required.groupBy("type").agg(F.array_sort(F.collect_set("attribute")).alias("_asked"))
+    x = at.join(known, "type", "left").join(allowed, ["_parent", "type"], "left").join(asked, "type", "left")
+    place = F.when(F.col("_known").isNull(), "unknown type").when(F.col("_ok").isNull(), F.concat(F.lit("not under "), F.when(F.col("_parent") == "", "nothing").otherwise(F.col("_parent"))))
+    held = F.coalesce(F.map_keys(F.map_filter(F.from_json("attrs", "map<string,string>"), lambda _, v: v.isNotNull())), F.array().cast("array<string>"))
+    lacks = F.transform(F.array_except(F.coalesce("_asked", F.array().cast("array<string>")), held), lambda a: F.concat(F.lit("lacks "), a))
+    return x.select(key, "path", "type", F.explode(F.concat(F.array_compact(F.array(place)), lacks)).alias("problem"))
+
+
 def content_hash(nodes: DataFrame, key: str = "document_id") -> DataFrame:
     """A hash of the canonical list of nodes in document order: depth, type, text, attributes and marks, whatever order keys
     were written in. Nodes that were taken out before leave no gap."""
@@ -130,10 +147,11 @@ def blocking_placeholders(nodes: DataFrame, subjects: tuple[str, ...] = SUBJECTS
 
 
 def margin_notes(nodes: DataFrame, kinds: list[str], key: str = "document_id") -> DataFrame:
-    """Guidance and instruction blocks with their text: (key, path, note)."""
-    blocks = nodes.filter(F.col("type").isin(kinds)).select(key, F.col("path").alias("block"))
+    """Guidance and instruction blocks with their text: (key, block, note, done); done where the block is ticked off."""
+    done = F.coalesce(F.get_json_object("attrs", "$.done") == "true", F.lit(False)).alias("done")
+    blocks = nodes.filter(F.col("type").isin(kinds)).select(key, F.col("path").alias("block"), done)
     t = nodes.filter("type = 'text'").select(key, _block().alias("block"), "path", "text")
-    return blocks.join(t, [key, "block"]).groupBy(key, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("note"))
+    return blocks.join(t, [key, "block"]).groupBy(key, "block", "done").agg(_joined("path", "text", "").alias("note"))
 
 
 def timeframe_snapshot(nodes: DataFrame, key: str = "document_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settled import release, settle
+
 #: Levels beyond which a tree is taken to hold a cycle.
 DEEPEST = 64
 
@@ -14,6 +16,7 @@ def outline(sec: DataFrame, parent_key: str = "parent_id", order: str = "order_i
     row's own last), off (hidden itself or below a hidden row) and position (from 1, within the root).
 
     One join for each level, so a corpus of any number of documents takes as many joins as its deepest tree has levels.
+    Levels are kept in files. The position is counted within a root in one task, as reading order is a sort of the root's rows.
     """
     hidden = F.col("hidden") if "hidden" in sec.columns else F.lit(False)
     own = sec.withColumn("_hidden", F.coalesce(hidden, F.lit(False)))
@@ -22,8 +25,9 @@ def outline(sec: DataFrame, parent_key: str = "parent_id", order: str = "order_i
     )
     levels = []
     while True:
-        level = level.persist()
+        level = settle(level)
         if level.isEmpty():
+            release(level)
             break
         levels.append(level)
         if len(levels) > DEEPEST:

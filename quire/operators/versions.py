@@ -190,6 +190,16 @@ def compare_editions(left: DataFrame, right: DataFrame, by: str = "document_id")
     return both.withColumn("change", change).filter("change is not null").select(by, "section_id", "change")
 
 
+def edition_changes(left: DataFrame, right: DataFrame, outline: DataFrame, by: str = "document_id") -> DataFrame:
+    """compare_editions() as a reader sees it: with each section's band and its place, bands and sections in the order of the
+    outline (by, section_id, band, position); what the outline does not have comes last, in a band of its own."""
+    found = compare_editions(left, right, by).join(outline.select(by, "section_id", "band", "position"), [by, "section_id"], "left")
+    first = F.min("position").over(Window.partitionBy(by, "band"))
+    order = (F.col("_first").asc_nulls_last(), F.col("position").asc_nulls_last(), F.col("section_id"))
+    placed = found.withColumn("_first", first).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+    return placed.select(by, "section_id", "change", F.coalesce("band", F.lit("outside")).alias("band"), "place")
+
+
 def compose(a: DataFrame, b: DataFrame, by: str = "pair") -> DataFrame:
     """a's sections in order, each followed by b's owned section at its address; b's others at the end."""
     x = a.select(by, "address", F.col("order_index").alias("_at"), F.lit("a").alias("source"))
@@ -289,12 +299,14 @@ def review_progress(changes: DataFrame, pins: DataFrame, part) -> DataFrame:
 
 
 def publish_readiness(documents: DataFrame, gates: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """One row per document and gate: (document_id, gate, level, n, blocked). A gate is (name, level when it has rows,
-    rows with document_id); without rows its level is ok. blocked holds for a document with any blocking gate."""
+    """One row per document and gate: (document_id, gate, level, n, sections, blocked). A gate is (name, level when it has
+    rows, rows with document_id and section_id); without rows its level is ok. sections lists what to look at, in order;
+    blocked holds for a document with any blocking gate."""
     rows = None
     for name, level, found in gates:
-        n = found.groupBy("document_id").agg(F.count("*").alias("n"))
-        one = documents.select("document_id").join(n, "document_id", "left").select("document_id", F.lit(name).alias("gate"), F.when(F.col("n") > 0, level).otherwise("ok").alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
+        listed = F.array_join(F.array_sort(F.collect_set("section_id")).cast("array<string>"), ",")
+        n = found.groupBy("document_id").agg(F.count("*").alias("n"), listed.alias("sections"))
+        one = documents.select("document_id").join(n, "document_id", "left").select("document_id", F.lit(name).alias("gate"), F.when(F.col("n") > 0, level).otherwise("ok").alias("level"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sections", F.lit("")).alias("sections"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.withColumn("blocked", F.max(F.col("level") == "block").over(Window.partitionBy("document_id")))
 

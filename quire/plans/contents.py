@@ -101,9 +101,9 @@ def _(spark, d):
     return O.blocking_placeholders(_drafts(spark, d))
 
 
-@register("margin_notes", _L + "SELECT document_id, CAST(k AS VARCHAR) AS path, text AS note FROM leaf WHERE text IS NOT NULL")
+@register("margin_notes", _L + "SELECT document_id, CAST(k AS VARCHAR) AS path, text AS note, false AS done FROM leaf WHERE text IS NOT NULL")
 def _(spark, d):
-    return O.margin_notes(nodes(spark, d), ["paragraph"]).select("document_id", _path("block"), "note")
+    return O.margin_notes(nodes(spark, d), ["paragraph"]).select("document_id", _path("block"), "note", "done")
 
 
 @register("timeframe_snapshot", _L + "SELECT document_id, k AS box, text AS statements FROM leaf WHERE trim(text) <> ''")
@@ -169,6 +169,21 @@ def _(spark, d):
     return C.reference_register(B.mentions(spark, d), ref)
 
 
+@register("reference_flags", _M + "," + _NUM + """, own AS (SELECT * FROM refs WHERE id >= '2'), chain AS (SELECT id, CASE WHEN id < 'a' THEN NULL ELSE (SELECT min(id) FROM refs) END AS supersedes FROM own),
+  said AS (SELECT document_id, reference_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS sections FROM (SELECT DISTINCT document_id, reference_id, pos FROM mentions) GROUP BY 1, 2)
+  SELECT n.document_id, n.reference_id, n.number, coalesce(o.document_id = n.document_id, false) AS own, o.id IS NULL AS missing, false AS unused, n.reference_id IN (SELECT supersedes FROM chain WHERE supersedes IS NOT NULL) AS superseded,
+    EXISTS (SELECT 1 FROM mentions m WHERE m.document_id % 3 = 0 AND m.reference_id = n.reference_id) AS in_published, s.sections
+  FROM num n LEFT JOIN own o ON o.id = n.reference_id JOIN said s ON s.document_id = n.document_id AND s.reference_id = n.reference_id
+  UNION ALL SELECT o.document_id, o.id, NULL, true, false, true, o.id IN (SELECT supersedes FROM chain WHERE supersedes IS NOT NULL), EXISTS (SELECT 1 FROM mentions m WHERE m.document_id % 3 = 0 AND m.reference_id = o.id), ''
+  FROM own o WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.document_id = o.document_id AND m.reference_id = o.id)""")
+def _(spark, d):
+    """Every third document is published; entries from "a" on supersede the first one."""
+    ref, said = B.references(spark, d), B.mentions(spark, d)
+    least = ref.agg(F.min("id").alias("_least"))
+    own = ref.filter("id >= '2'").join(F.broadcast(least)).withColumn("supersedes", F.when(F.col("id") >= "a", F.col("_least")))
+    return C.reference_flags(said, own, said.filter("document_id % 3 = 0"))
+
+
 @register("reference_union", _M + "SELECT document_id, reference_id FROM mentions UNION SELECT document_id, id FROM refs")
 def _(spark, d):
     return C.reference_union(B.mentions(spark, d), B.references(spark, d))

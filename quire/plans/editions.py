@@ -296,6 +296,22 @@ def _(spark, d):
     return O.compare_editions(pub, draft)
 
 
+@register("edition_changes", _V + """, c AS (
+    SELECT coalesce(p.document_id, d.document_id) AS document_id, coalesce(p.section_id, d.section_id) AS section_id, CASE
+      WHEN p.section_id IS NULL THEN CASE WHEN NOT d.hidden THEN 'added' END WHEN d.section_id IS NULL THEN CASE WHEN NOT p.hidden THEN 'removed' END
+      WHEN p.hidden AND d.hidden THEN NULL WHEN d.hidden THEN 'hidden' WHEN p.hidden THEN 'shown' WHEN p.body_hash <> d.body_hash THEN 'changed' END AS change
+    FROM pub p FULL JOIN draft d ON p.document_id = d.document_id AND p.section_id = d.section_id),
+  o AS (SELECT document_id, section_id, CASE WHEN section_id % 3 = 0 THEN 'front' ELSE 'body' END AS band, -section_id AS position FROM draft),
+  j AS (SELECT c.*, band, position, min(position) OVER (PARTITION BY c.document_id, band) AS first FROM c LEFT JOIN o USING (document_id, section_id) WHERE change IS NOT NULL)
+  SELECT document_id, section_id, change, coalesce(band, 'outside') AS band,
+    row_number() OVER (PARTITION BY document_id ORDER BY first NULLS LAST, position NULLS LAST, section_id) AS place FROM j""")
+def _(spark, d):
+    """The outline is the draft's, read from its end, with every third section in the front."""
+    draft, pub = sides(spark, d)
+    n = F.col("section_id")
+    return O.edition_changes(pub, draft, draft.select("document_id", "section_id", F.when(n % 3 == 0, "front").otherwise("body").alias("band"), (-n).alias("position")))
+
+
 @register("compose", _V + """, a AS (SELECT document_id AS pair, section_id AS address, order_index FROM pub), b AS (SELECT document_id AS pair, section_id AS address, order_index, hidden FROM draft),
   r AS (SELECT pair, address, order_index AS at, 'a' AS source, NULL AS own FROM a UNION ALL SELECT b.pair, b.address, a.order_index, 'b', b.order_index FROM b LEFT JOIN a USING (pair, address) WHERE b.hidden)
   SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY \"at\" NULLS LAST, source, own, address) AS place, address, source FROM r""")
@@ -335,9 +351,10 @@ def _(spark, d):
     return O.diverged_from(shared(spark, d)[0])
 
 
-@register("publish_readiness", _VP + "," + _CHANGES + "," + _DOCS + """, g AS (SELECT document_id, 'changes' AS gate, 'warn' AS bad, count(*) AS n FROM changes GROUP BY 1 UNION ALL SELECT document_id, 'review', 'block', count(*) FROM dpins WHERE decision = 'changes_requested' GROUP BY 1
-  UNION ALL SELECT document_id, 'placeholders', 'block', count(*) FROM draft WHERE body = 'q0' AND section_id = 1 GROUP BY 1), k AS (SELECT * FROM (VALUES ('changes'), ('review'), ('placeholders')) v(gate))
-  SELECT d.document_id, k.gate, CASE WHEN n > 0 THEN bad ELSE 'ok' END AS level, coalesce(n, 0) AS n, max(coalesce(n > 0 AND bad = 'block', false)) OVER (PARTITION BY d.document_id) AS blocked FROM docs d CROSS JOIN k LEFT JOIN g ON g.document_id = d.document_id AND g.gate = k.gate""")
+@register("publish_readiness", _VP + "," + _CHANGES + "," + _DOCS + """, f AS (SELECT document_id, 'changes' AS gate, 'warn' AS bad, section_id FROM changes UNION ALL SELECT document_id, 'review', 'block', section_id FROM dpins WHERE decision = 'changes_requested'
+  UNION ALL SELECT document_id, 'placeholders', 'block', section_id FROM draft WHERE body = 'q0' AND section_id = 1),
+  g AS (SELECT document_id, gate, bad, count(*) AS n, string_agg(DISTINCT CAST(section_id AS VARCHAR), ',' ORDER BY CAST(section_id AS VARCHAR)) AS sections FROM f GROUP BY 1, 2, 3), k AS (SELECT * FROM (VALUES ('changes'), ('review'), ('placeholders')) v(gate))
+  SELECT d.document_id, k.gate, CASE WHEN n > 0 THEN bad ELSE 'ok' END AS level, coalesce(n, 0) AS n, coalesce(sections, '') AS sections, max(coalesce(n > 0 AND bad = 'block', false)) OVER (PARTITION BY d.document_id) AS blocked FROM docs d CROSS JOIN k LEFT JOIN g ON g.document_id = d.document_id AND g.gate = k.gate""")
 def _(spark, d):
     draft, _p = sides(spark, d)
     gates = [("changes", "warn", changes(spark, d)), ("review", "block", pins(draft).filter("decision = 'changes_requested'")), ("placeholders", "block", draft.filter("body = 'q0' and section_id = 1"))]

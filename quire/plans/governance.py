@@ -197,6 +197,17 @@ def _(spark, d):
     return A.live_links(links, m, F.lit("c5")).select("made_by", "org_id")
 
 
+@register("newly_decided", _DEC + """, ok AS (SELECT review_id, section_id FROM j WHERE superseded = false AND there),
+  open AS (SELECT review_id, section_id, CASE WHEN section_id % 3 = 0 THEN NULL ELSE 'approved' END AS decision FROM pins),
+  two AS (SELECT o.review_id, o.decision AS was, coalesce(CASE WHEN ok.section_id IS NOT NULL THEN 'approved' END, o.decision) AS now FROM open o LEFT JOIN ok USING (review_id, section_id))
+  SELECT review_id, 'approved' AS decision FROM two GROUP BY 1 HAVING count(was) < count(*) AND count(now) = count(*)""")
+def _(spark, d):
+    """Every third pin is still open; the decisions are those of apply_decisions."""
+    rev, pins = B.reviews(spark, d)
+    open_ = pins.withColumn("decision", F.when(F.col("section_id") % 3 == 0, None).otherwise("approved"))
+    return O.newly_decided(rev, open_, _decide(spark, d)[0])
+
+
 @register("leadless_teams", _MEM + "SELECT org_id, count(*) AS members FROM (SELECT * FROM memberships WHERE user_id LIKE 's%') GROUP BY 1 HAVING count(*) FILTER (role = 'owner') = 0")
 def _(spark, d):
     return A.leadless_teams(B.memberships(spark, d).filter("user_id like 's%'"))
@@ -208,6 +219,31 @@ def _(spark, d):
     return A.notification_recipients(doc, B.memberships(spark, d), "admin")
 
 
+@register("mentioned_recipients", _MEM + """, docs AS (SELECT o_orderkey AS document_id, o_custkey % 25 AS org_id FROM orders),
+  said AS (SELECT document_id, 'c' || (document_id % 1000) AS user_id FROM docs UNION ALL SELECT document_id, 's' || (document_id % 50) FROM docs)
+  SELECT DISTINCT document_id, s.user_id FROM said s JOIN docs d USING (document_id)
+  WHERE EXISTS (SELECT 1 FROM memberships m WHERE m.user_id = s.user_id AND m.org_id IN (d.org_id, 0))""")
+def _(spark, d):
+    doc = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 25).alias("org_id"))
+    users = F.array(F.concat(F.lit("c"), F.col("document_id") % 1000), F.concat(F.lit("s"), F.col("document_id") % 50))
+    return A.mentioned_recipients(doc.select("document_id", F.explode(users).alias("user_id")), doc, B.memberships(spark, d), 0)
+
+
+@register("team_view", _MEM + """, h AS (SELECT c_nationkey AS org_id, c_custkey AS home, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey) AS n FROM customer),
+  asks AS (SELECT org_id, min(user_id) AS viewer FROM memberships GROUP BY 1 UNION SELECT org_id, (SELECT min(user_id) FROM memberships WHERE org_id = 0) FROM memberships UNION SELECT org_id, 'nobody' FROM memberships),
+  standing AS (SELECT a.*, coalesce(m.role, CASE WHEN EXISTS (SELECT 1 FROM memberships c WHERE c.user_id = a.viewer AND c.org_id = 0) THEN 'steward' END) AS standing FROM asks a LEFT JOIN memberships m ON m.org_id = a.org_id AND m.user_id = a.viewer)
+  SELECT s.viewer, s.org_id, s.standing, h.home, row_number() OVER (PARTITION BY s.viewer, s.org_id ORDER BY list_position(['viewer', 'member', 'admin', 'owner'], m.role) DESC, m.name, m.user_id) AS place, m.user_id, m.role
+  FROM standing s JOIN memberships m ON m.org_id = s.org_id LEFT JOIN h ON h.org_id = s.org_id AND h.n = 1 WHERE s.standing IS NOT NULL""")
+def _(spark, d):
+    """Each team is looked at by its first member, by the central team's first member and by somebody unknown."""
+    mem = B.memberships(spark, d)
+    doc = B.read(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("org_id"), F.col("c_custkey").alias("document_id"), F.when(F.col("c_mktsegment") == "BUILDING", "pathway").alias("kind"))
+    own = mem.groupBy("org_id").agg(F.min("user_id").alias("viewer"))
+    central = own.filter("org_id = 0").select("viewer")
+    asks = own.unionByName(own.select("org_id").join(F.broadcast(central))).unionByName(own.select("org_id", F.lit("nobody").alias("viewer"))).distinct()
+    return A.team_view(asks, mem, doc, 0)
+
+
 @register("roster_order", _MEM + "SELECT org_id, user_id, row_number() OVER (PARTITION BY org_id ORDER BY list_position(['viewer', 'member', 'admin', 'owner'], role) DESC, name, user_id) AS place FROM memberships")
 def _(spark, d):
     return A.roster_order(B.memberships(spark, d)).select("org_id", "user_id", "place")

@@ -127,6 +127,21 @@ def _(spark, d):
     return O.weighted_mode(_sizes(spark, d), ["lang"], "size", "size")
 
 
+@register("recurring_above", "WITH " + _WL + ", b AS (SELECT lang, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY size * n DESC, size) AS r FROM w) WHERE r = 1) SELECT lang, size, n FROM w JOIN b USING (lang) WHERE size > body AND n >= 8")
+def _(spark, d):
+    return O.recurring_above(_sizes(spark, d), ["lang"], "size", "size")
+
+
+@register("link_span_targets", """SELECT p_partkey AS span_id, 'https://Example.org/' || p_size || '/' AS address, CAST(length(p_name) + 1 AS BIGINT) AS start,
+  CASE WHEN p_size % 2 = 0 THEN 'http://www.example.org/' || p_size END AS target FROM part
+  UNION ALL SELECT p_partkey, 'http://other.net/x', CAST(length(p_name || ' https://Example.org/' || p_size || '/ and ') AS BIGINT), NULL FROM part""")
+def _(spark, d):
+    p = B.read(spark, d, "part")
+    spans = p.select(F.col("p_partkey").alias("span_id"), F.concat("p_name", F.lit(" https://Example.org/"), "p_size", F.lit("/ and http://other.net/x.")).alias("text"))
+    named = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("span_id"), F.concat(F.lit("http://www.example.org/"), "p_size").alias("target"))
+    return O.link_span_targets(spans, named.unionByName(p.select(F.col("p_partkey").alias("span_id"), F.lit("https://unrelated.org").alias("target"))))
+
+
 @register("body_values", "WITH " + _WL + ", c AS (SELECT *, coalesce(sum(size * n) OVER (PARTITION BY lang ORDER BY size * n DESC, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(size * n) OVER (PARTITION BY lang) AS t FROM w) SELECT lang, size, CAST(size * n AS BIGINT) AS weight FROM c WHERE b < 0.85 * t")
 def _(spark, d):
     return O.body_values(_sizes(spark, d), "lang", "size", "size")

@@ -117,6 +117,26 @@ def _(spark, d):
     return R.render_markdown(nodes, _cited(nodes))
 
 
+#: Pairs of types that are not in the schema here: tables of nothing, breaks, and lists in lists.
+_ALLOWED = [
+    (None, "doc"), *(("doc", t) for t in ("heading", "list", "table", "box", "paragraph", "variants")), ("heading", "text"), ("list", "paragraph"), ("table", "tableRow"), ("tableRow", "tableCell"),
+    ("tableCell", "paragraph"), ("box", "banner"), ("box", "guidance"), ("box", "paragraph"), ("guidance", "paragraph"), ("banner", "text"), ("variants", "variant"), ("paragraph", "text"), ("paragraph", "citation"),
+]
+
+
+@register("schema_problems", _BLOCKS.rstrip() + """, found AS (
+  SELECT document_id, k, unnest(CASE k % 8
+    WHEN 0 THEN [('', 'heading', 'lacks id')]
+    WHEN 1 THEN [('.1', 'list', 'not under list'), ('.1', 'list', 'lacks order'), ('.1.1', 'list', 'not under list'), ('.1.1', 'list', 'lacks kind'), ('.1.1', 'list', 'lacks order'), ('.1.1.0.1', 'hardBreak', 'unknown type')]
+    WHEN 5 THEN [('.0.0', 'paragraph', 'not under variant'), ('.1.0', 'paragraph', 'not under variant')] ELSE [] END) AS t FROM placed)
+  SELECT document_id, k || t[1] AS path, t[2] AS type, t[3] AS problem FROM found""")
+def _(spark, d):
+    rules = spark.createDataFrame(_ALLOWED, "parent_type string, type string")
+    required = spark.createDataFrame([("heading", "level"), ("heading", "id"), ("list", "kind"), ("list", "order"), ("citation", "referenceId")], "type string, attribute string")
+    out = O.schema_problems(O.explode_body(_bodies(spark, d)), rules, required)
+    return out.select("document_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type", "problem")
+
+
 #: (sub, text) of each block's texts, as they stand and as published.
 _TEXTS = rf"""texts AS (
   SELECT document_id, template, k, unnest(CASE k % 8

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .settled import release, settle
+
 #: Columns of the corpus tables, as DDL; nested bodies stay text until an operator asks for them.
 TABLES = {
     "documents": "document_id string, kind string, org_id string, slug string, partner_slug string, title string, subject string, audience string",
@@ -34,8 +36,9 @@ def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     level = files.select("file", F.array().cast("array<int>").alias("path"), F.posexplode(F.try_variant_get("v", "$.sections", "array<variant>")).alias("at", "s")).select("file", F.concat("path", F.array("at")).alias("path"), "s")
     found = []
     while True:
-        level = level.persist()
+        level = settle(level)
         if level.isEmpty():
+            release(level)
             break
         found.append(level)
         level = level.select("file", "path", F.posexplode(F.try_variant_get("s", "$.sections", "array<variant>")).alias("at", "t")).select("file", F.concat("path", F.array("at")).alias("path"), F.col("t").alias("s"))
