@@ -220,3 +220,41 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, snapshots: DataFrame |
         if below is not None:
             release(below)
     return done.select(key, F.regexp_replace("body", r"^\s+|\s+$", "").alias("markdown"))
+
+
+def timeframe_rows(nodes: DataFrame, sections: DataFrame, key: str = "section_id") -> DataFrame:
+    """(document_id, position, place, step, section, care_point, statements) of the timeframe boxes of bodies, in reading order:
+    the care point is the box's own heading; each other block of the box is a statement, and where it offers variants, its
+    alternatives. statements holds an array of alternatives for each.
+
+    nodes: of explode_body(), by `key`; sections: (key, document_id, position, step, title). A text is told where it belongs
+    by its own path and the types above it, so boxes are grouped and never walked."""
+    box = F.array_position("above", "timeframe") - 1
+    said = nodes.filter((F.col("type") == "text") & F.array_contains("above", "timeframe") & ~F.array_contains("above", "guidance")).withColumn("_d", box.cast("int"))
+    child = F.get("above", F.col("_d") + 1)
+    x = said.select(
+        key, "path", F.coalesce("text", F.lit("")).alias("text"), F.slice("path", F.lit(1), F.col("_d")).alias("_box"), F.get("path", F.col("_d")).alias("_child"), child.alias("_kind"),
+        F.when(child == "variants", F.get("path", F.col("_d") + 1)).otherwise(-1).alias("_way"), F.slice("path", 1, F.size("path") - 1).alias("_block"),
+    )
+    joined = lambda at, piece, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, piece))), lambda v: v[piece]), by)
+    lines = x.groupBy(key, "_box", "_child", "_kind", "_way", "_block").agg(F.trim(F.regexp_replace(joined("path", "text", ""), r"\s+", " ")).alias("line"))
+    ways = lines.filter("line <> ''").groupBy(key, "_box", "_child", "_kind", "_way").agg(joined("_block", "line", " ").alias("way"))
+    blocks = ways.groupBy(key, "_box", "_child", "_kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("_way", "way"))), lambda v: v["way"]).alias("ways"))
+    care = F.max(F.when(F.col("_kind") == "carePoint", F.col("ways")[0]))
+    told = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("_kind") != "carePoint", F.lit(True)), F.struct("_child", "ways"))))
+    boxes = blocks.groupBy(key, "_box").agg(F.coalesce(care, F.lit("")).alias("care_point"), F.transform(told, lambda v: v["ways"]).alias("statements"))
+    order = Window.partitionBy("document_id").orderBy("position", key, "_box")
+    placed = boxes.join(sections.select(key, "document_id", "position", "step", F.col("title").alias("section")), key)
+    return placed.withColumn("place", F.row_number().over(order).cast("long")).select("document_id", "position", "place", "step", "section", "care_point", "statements")
+
+
+def snapshot_tables(rows: DataFrame) -> DataFrame:
+    """(document_id, snapshot): timeframe_rows() as a Markdown table for each document, as a timeframeSnapshot node shows it:
+    alternatives apart by "or", statements by semicolons."""
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    step = F.when(F.col("step").isNull(), "").otherwise(F.concat(F.lit("Step "), F.col("step").cast("string")))
+    told = F.array_join(F.transform("statements", lambda ways: F.array_join(ways, " or ")), "; ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", step, cell(F.col("section")), cell(F.col("care_point")), cell(told)), F.lit(" |"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "_line"))), lambda v: v["_line"])
+    head = F.array(F.lit("| Step | Section | Care point | Timeframe |"), F.lit("| --- | --- | --- | --- |"))
+    return rows.withColumn("_line", line).groupBy("document_id").agg(F.array_join(F.concat(head, listed), "\n").alias("snapshot"))

@@ -182,3 +182,39 @@ def _(spark, d):
     first = L.freeze_bodies(sections, documents.withColumn("version_no", F.lit(1).cast("long")), empty)
     before = first.select("document_id", "section_id", F.when(F.col("section_id") % 3 == 0, F.col("body_hash")).otherwise("other").alias("body_hash"), F.lit(False).alias("hidden"), "last_changed_version_no")
     return L.freeze_bodies(sections, documents, before).select("document_id", "section_id", "hidden", "last_changed_version_no", "markdown")
+
+
+def _boxed(spark, d):
+    """(section_id, document_id, position, step, title, body_json): every line as a section with a timeframe box."""
+    from pyspark.sql import Window
+
+    line, word = B.quoted("line"), B.quoted(F.substring_index("line", " ", 1))
+    p = lambda value: _node("paragraph", _node("text", text=value))
+    ways = _node("variants", _node("variant", p(line)), _node("variant", p(word), p(word)))
+    box = _node("timeframe", _node("carePoint", _node("text", text=word), _node("text", text=F.lit('" care"'))), p(line), _node("guidance", p(word)), ways)
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")
+    at = B.lines(spark, d).withColumn("k", k)
+    return at.select(
+        F.concat_ws("/", "doc_id", "k").alias("section_id"), F.col("doc_id").alias("document_id"), F.col("k").alias("position"), F.when(F.col("k") % 4 > 0, F.col("k") % 4).alias("step"), F.col("line").alias("title"),
+        _node("doc", p(word), box).alias("body_json"),
+    )
+
+
+_FRAMES = B.with_clauses(B.LINES, r"""told AS (
+  SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, line, trim(regexp_replace(line, '\s+', ' ', 'g')) AS l, split_part(line, ' ', 1) AS w
+  FROM lines)""")
+
+
+@register("timeframe_rows", _FRAMES + """SELECT document_id, k AS place, CASE WHEN k % 4 > 0 THEN k % 4 END AS step, line AS section, w || ' care' AS care_point, l || '; ' || l || ' or ' || w || ' ' || w AS statements FROM told""")
+def _(spark, d):
+    sections = _boxed(spark, d)
+    rows = R.timeframe_rows(O.explode_body(sections, key="section_id"), sections)
+    return rows.select("document_id", "place", "step", "section", "care_point", F.array_join(F.transform("statements", lambda w: F.array_join(w, " or ")), "; ").alias("statements"))
+
+
+@register("snapshot_tables", _FRAMES + r"""SELECT document_id, '| Step | Section | Care point | Timeframe |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) ||
+  string_agg('| ' || CASE WHEN k % 4 > 0 THEN 'Step ' || k % 4 ELSE '' END || ' | ' || replace(line, '|', '\|') || ' | ' || replace(w, '|', '\|') || ' care | '
+    || replace(l || '; ' || l || ' or ' || w || ' ' || w, '|', '\|') || ' |', chr(10) ORDER BY k) AS snapshot FROM told GROUP BY 1""")
+def _(spark, d):
+    sections = _boxed(spark, d)
+    return R.snapshot_tables(R.timeframe_rows(O.explode_body(sections, key="section_id"), sections))
