@@ -29,7 +29,8 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
     while True:
         level = settle(level)
         if level.isEmpty():
-            release(level)
+            if levels:  # else the empty level is the result
+                release(level)
             break
         levels.append(level)
         if len(levels) > DEEPEST:

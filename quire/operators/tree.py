@@ -27,7 +27,8 @@ def outline(sec: DataFrame, parent_key: str = "parent_id", order: str = "order_i
     while True:
         level = settle(level)
         if level.isEmpty():
-            release(level)
+            if levels:  # else the empty level is the result
+                release(level)
             break
         levels.append(level)
         if len(levels) > DEEPEST:

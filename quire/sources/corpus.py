@@ -38,7 +38,8 @@ def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     while True:
         level = settle(level)
         if level.isEmpty():
-            release(level)
+            if found:  # else the empty level is the result
+                release(level)
             break
         found.append(level)
         level = level.select("file", "path", F.posexplode(F.try_variant_get("s", "$.sections", "array<variant>")).alias("at", "t")).select("file", F.concat("path", F.array("at")).alias("path"), F.col("t").alias("s"))
