@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import intext
 from ..operators import citations as C
 from ..operators import nodes as O
 from ..operators import render as R
@@ -250,3 +251,41 @@ def _(spark, d):
 def _(spark, d):
     t = B.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("list_id"), F.col("l_linenumber").cast("long").alias("number"), "l_returnflag", "l_quantity")
     return C.undefined_markers(t.filter("l_returnflag = 'R'").select("list_id", "number").distinct(), t.filter("l_quantity > 48"))
+
+
+#: Fixed values of the SQL: what a document's text is followed by, so that every form of in-text citation occurs.
+_SAID = """said AS (SELECT doc_id, text || ' As ' || n || '’s (' || y || ') model and the plan (' || y || ') say (see ' || n || ' et al. ' || y || 'a, ' || y || 'b; ' || m || ' & Wu ' || (y + 1)
+  || ', ' || n || ' ' || (y + 2) || '; ' || (y + 3) || ') [adapted from ' || m || ' ' || y || ' ' || n || ' ' || (y + 4) || ', table 3, ' || (y + 5) || '] (March ' || y || ') (palliage ' || y || ' (' || m || '; ' || y || '))' AS text
+  FROM (SELECT doc_id, text, 1990 + doc_id % 31 AS y, ['Smith', 'Müller', 'O’Neil', 'World Health Organization', 'van der Berg', 'Laidsaar-Powell'][1 + doc_id % 6] AS n, ['Lee', 'Garcia', 'Éluard', 'AIHW'][1 + doc_id % 4] AS m FROM documents))"""
+
+
+@register("citation_parts", "WITH " + _SAID + r""",
+found AS MATERIALIZED (SELECT doc_id, generate_subscripts(m, 1) AS bracket, unnest(m) AS m FROM (SELECT doc_id, regexp_extract_all(text,
+  '(?:(\p{Lu}[\p{L}’''-]*(?: (?:&|and) \p{Lu}[\p{L}’''-]*)?(?: et al\.?)?)\s*)?(?:\[([^()\[\]]*)\]|\(([^()\[\]]*)\))') AS m FROM said)),
+one AS (SELECT doc_id, bracket, regexp_extract(m, '^(.*?)\s*[(\[]', 1) AS before, trim(m[length(regexp_extract(m, '^[^(\[]*')) + 2:-2]) AS held FROM found),
+good AS (SELECT *, regexp_full_match(held, '(?:19|20)[0-9]{2}[a-z]?(?:, *(?:19|20)[0-9]{2}[a-z]?)*') AS alone FROM one
+  WHERE regexp_matches(held, '\b(?:19|20)[0-9]{2}[a-z]?\b') AND NOT regexp_full_match(held, '(?i:january|february|march|april|may|june|july|august|september|october|november|december) (?:19|20)[0-9]{2}')),
+piece AS (SELECT doc_id, bracket, before, alone, generate_subscripts(string_split(held, ';'), 1) AS p, unnest(string_split(held, ';')) AS piece FROM good),
+parted AS (SELECT *, regexp_split_to_array(piece, '\b(?:19|20)[0-9]{2}[a-z]?\b(?:, *\b(?:19|20)[0-9]{2}[a-z]?\b)*') AS heads,
+  regexp_extract_all(piece, '\b(?:19|20)[0-9]{2}[a-z]?\b(?:, *\b(?:19|20)[0-9]{2}[a-z]?\b)*') AS years FROM piece),
+head AS (SELECT doc_id, bracket, before, alone, p, generate_subscripts(heads, 1) AS k, trim(unnest(heads), ', ') AS head, unnest(years) AS years FROM parted),
+named AS (SELECT *, CASE WHEN head <> '' AND (k = 1 OR regexp_full_match(head, '(?:\p{Lu}[\p{L}’''-]*|de|del|den|der|da|di|la|le|van|von|&|and|et al\.?)(?: (?:\p{Lu}[\p{L}’''-]*|de|del|den|der|da|di|la|le|van|von|&|and|et al\.?))*')) THEN head END AS new FROM head WHERE head IS NOT NULL),
+carried AS (SELECT *, coalesce(last_value(new IGNORE NULLS) OVER (PARTITION BY doc_id, bracket ORDER BY p, k), CASE WHEN alone AND before <> '' THEN before END) AS name FROM named),
+worded AS (SELECT doc_id, bracket, p, k, years, list_filter(string_split(trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(regexp_replace(name,
+    '^(?i:see table [0-9]+ in|adapted from|summarised in|reviewed in|from|see|e\.g\.|cf\.|source|in)(?: *:)? +', ''), '(?i)\b(?:et|el|at) al\b\.?', ' ', 'g'), '’s?$|''s?$', ''))), '[^a-z0-9]+', ' ', 'g')), ' '),
+    lambda w: w NOT IN ('', 'and')) AS words FROM carried WHERE years IS NOT NULL AND name IS NOT NULL),
+dated AS (SELECT doc_id, bracket, p, k, array_to_string(CASE WHEN len(words) > 1 THEN list_filter(words, lambda w: length(w) > 1) ELSE words END, ' ') AS name,
+  unnest(regexp_extract_all(years, '(?:19|20)[0-9]{2}[a-z]?')) AS year, generate_subscripts(regexp_extract_all(years, '(?:19|20)[0-9]{2}[a-z]?'), 1) AS j FROM worded)
+SELECT doc_id, bracket, j AS at, name, year FROM dated WHERE name <> ''""")
+def _(spark, d):
+    """Whole texts of documents, each followed by every form in which print cites."""
+    t = B.read(spark, d, "documents")
+    key = F.col("doc_id")
+    name = F.get(F.array(*map(F.lit, ("Smith", "Müller", "O’Neil", "World Health Organization", "van der Berg", "Laidsaar-Powell"))), (key % 6).cast("int"))
+    other = F.get(F.array(*map(F.lit, ("Lee", "Garcia", "Éluard", "AIHW"))), (key % 4).cast("int"))
+    said = F.format_string(
+        " As %1$s’s (%3$d) model and the plan (%3$d) say (see %1$s et al. %3$da, %3$db; %2$s & Wu %4$d, %1$s %5$d; %6$d) [adapted from %2$s %3$d %1$s %7$d, table 3, %8$d] (March %3$d) (palliage %3$d (%2$s; %3$d))",
+        name, other, *((1990 + key % 31 + n).cast("long") for n in (0, 1, 2, 3, 4, 5)),
+    )
+    parts = intext.citation_parts(t.select("doc_id", F.concat("text", said).alias("text")))
+    return parts.select("doc_id", F.col("bracket").cast("long").alias("bracket"), F.col("at").cast("long").alias("at"), "name", "year")

@@ -291,3 +291,23 @@ def test_only_the_topmost_hidden_section_is_a_removal(spark):
     d = spark.createDataFrame([(1, s, p, float(s), h, a, f"h{s}") for s, p, h, a in draft], "document_id long, section_id long, parent_id long, order_index double, hidden boolean, apparatus boolean, body_hash string")
     p = spark.createDataFrame([(1, s, "h1" if s == 1 else "old", s == 7) for s in range(1, 8)], "document_id long, section_id long, body_hash string, hidden boolean")
     assert rows(versions.reviewable_changes(d, p).select("section_id", "change")) == [(2, "removed"), (6, "changed"), (8, "new")]
+
+
+def test_parts_of_printed_citations(spark):
+    from quire.functions import intext
+
+    said = {
+        1: "(COSA 2013; palliAGED 2018)", 2: "(they may also be malnourished [WHO 2018])", 3: "Fitch’s (2000) model", 4: "Smith and Jones (2019a, 2019b) say", 5: "(May 2019)", 6: "the plan (2021)",
+        7: "(AIHW 2018, Brewster et al. 2014)", 8: "(Jaenke et al. 2021 Whop et al. 2022 Wu 2023)", 9: "(adapted from Fizazi et al. 2015)", 10: "(Laidsaar-Powell et al; 2018a, 2018b)",
+        11: "(Royal College of Pathologists 2013; 2017)", 12: "(Simms K T 2010)", 13: "(12018; 2018ab)", 14: None, 15: "", 16: "[x (a 2001) y", 17: "(Smith 2018, table 3, 2019)",
+        18: "(" * 20000 + "A" * 200000 + "(2001", 19: "(" + "no year; " * 50000 + "Lee 2001)",
+    }
+    df = spark.createDataFrame(list(said.items()), "id int, text string").withColumn("name", F.lit("other"))
+    got = {}
+    for r in intext.citation_parts(df).orderBy("id", "bracket", "entry", "at").collect():
+        got.setdefault(r["id"], []).append(f"{r['name']} {r['year']}")
+    assert got == {
+        1: ["cosa 2013", "palliaged 2018"], 2: ["who 2018"], 3: ["fitch 2000"], 4: ["smith jones 2019a", "smith jones 2019b"], 7: ["aihw 2018", "brewster 2014"],
+        8: ["jaenke 2021", "whop 2022", "wu 2023"], 9: ["fizazi 2015"], 10: ["laidsaar powell 2018a", "laidsaar powell 2018b"], 11: ["royal college of pathologists 2013", "royal college of pathologists 2017"],
+        12: ["simms 2010"], 16: ["a 2001"], 17: ["smith 2018", "smith 2019"], 19: ["lee 2001"],
+    }
