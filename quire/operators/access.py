@@ -47,11 +47,16 @@ def effective_role(asks: DataFrame, mem: DataFrame, central_org: int) -> DataFra
 
 
 def visible_documents(doc: DataFrame, mem: DataFrame, central_org: int) -> DataFrame:
-    """(user_id, document_id, role): documents of one's own teams, and all of them for the central team."""
+    """(user_id, document_id, role): documents of one's own teams, and all of them for the central team.
+
+    A document is claimed by its own team and by the central one, and members meet it by the team, so that the central
+    team is one key of an equal join (a large one, which adaptive execution splits) and nothing is joined without a key."""
     own = mem.join(doc, "org_id").select("user_id", "document_id", "role")
-    central = mem.filter(F.col("org_id") == central_org).select("user_id").distinct()
-    every = central.join(doc.select("document_id", "org_id")).join(mem.select("user_id", "org_id"), ["user_id", "org_id"], "left_anti").select("user_id", "document_id", F.lit("admin").alias("role"))
-    return own.unionByName(every)
+    claims = doc.select("document_id", F.col("org_id").alias("home"), F.explode(F.array_distinct(F.array("org_id", F.lit(central_org).cast(doc.schema["org_id"].dataType)))).alias("org_id"))
+    stewards = mem.filter(F.col("org_id") == central_org).select("user_id", "org_id").distinct()
+    every = claims.filter(~F.col("home").eqNullSafe(F.col("org_id"))).join(stewards, "org_id")
+    every = every.join(mem.select("user_id", F.col("org_id").alias("home")), ["user_id", "home"], "left_anti")
+    return own.unionByName(every.select("user_id", "document_id", F.lit("admin").alias("role")))
 
 
 def may_change(requests: DataFrame, mem: DataFrame) -> DataFrame:

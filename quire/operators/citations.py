@@ -24,6 +24,24 @@ def where_cited(mentions: DataFrame, ref: DataFrame) -> DataFrame:
     return ref.select(F.col("id").alias("reference_id")).join(n, "reference_id", "left").na.fill(0, ["documents", "mentions"])
 
 
+def citing_places(asked: DataFrame, sections: DataFrame, nodes: DataFrame, versions: DataFrame) -> DataFrame:
+    """(reference_id, document_id, version_no, address, in_heading, in_body): where the asked-for references are cited, a row
+    for each section, in drafts (no version_no) and in every frozen edition, so that an entry which an edition still prints
+    is found though no draft cites it.
+
+    asked: (reference_id); sections: (section_id, document_id, version_id or null for a draft, address, title_citations);
+    nodes: exploded bodies by section_id; versions: (version_id, version_no, status). A version that is itself a draft
+    counts as none, as its sections are the draft's. Ids that nothing cites have no row."""
+    body = nodes.filter("type = 'citation'").select("section_id", F.get_json_object("attrs", "$.referenceId").alias("reference_id"), F.lit(False).alias("_head"))
+    head = sections.select("section_id", F.explode("title_citations").alias("reference_id"), F.lit(True).alias("_head"))
+    wanted = asked.select("reference_id").distinct()
+    said = head.unionByName(body).join(wanted, "reference_id", "left_semi")
+    found = said.groupBy("section_id", "reference_id").agg(F.bool_or("_head").alias("in_heading"), F.bool_or(~F.col("_head")).alias("in_body"))
+    frozen = versions.filter("status <> 'draft'").select("version_id", "version_no")
+    at = sections.select("section_id", "document_id", "version_id", "address").join(frozen, "version_id", "left").filter("version_id is null or version_no is not null")
+    return found.join(at, "section_id").select("reference_id", "document_id", "version_no", "address", "in_heading", "in_body")
+
+
 def reference_successors(ref: DataFrame) -> DataFrame:
     """(id, latest, steps): the end of each reference's chain of successors. ref: (id, supersedes).
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import step_of_address
 from ..sources.settled import release, settle
 from .render import SUBJECTS, has_mark, placeholder_label, subject_form
 
@@ -189,3 +190,29 @@ def guide(sections: DataFrame, nodes: DataFrame, kinds: list[str], key: str = "d
     whole = sections.filter("point_of_care").select(key, F.lit("section").alias("kind"), F.array().cast("array<int>").alias("path"))
     inside = nodes.filter(F.col("type").isin(kinds)).join(sections.filter("not point_of_care").select(key), key)
     return whole.unionByName(inside.select(key, F.lit("item").alias("kind"), "path"))
+
+
+def guide_page(sections: DataFrame, nodes: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, references) of each document's quick reference: whole sections that are marked point_of_care, and in the
+    others the check lists that are, each with its section and the step that it belongs to; and the references that these
+    cite, numbered as the whole document numbers them.
+
+    sections: (document_id, section_id, address, title, point_of_care, place) in reading order; nodes: exploded bodies by
+    section_id; numbers: (document_id, reference_id, number). entries: (document_id, place, section_id, path, kind, address,
+    title, step, step_title), sorted by place and path; step is null outside the steps, step_title where the step has no
+    section of its own. A citation finds its list by the beginnings of its path, so no list meets every citation."""
+    steps = sections.select("document_id", step_of_address("address").alias("step"), "address", "title").filter(F.col("address") == F.concat(F.lit("step-"), "step"))
+    steps = steps.groupBy("document_id", "step").agg(F.min("title").alias("step_title"))
+    at = sections.withColumn("step", step_of_address("address")).join(steps, ["document_id", "step"], "left")
+    told = ["document_id", "place", "section_id", "path", "kind", "address", "title", "step", "step_title"]
+    marked = F.coalesce("point_of_care", F.lit(False))
+    whole = at.filter(marked).withColumns({"path": F.array().cast("array<int>"), "kind": F.lit("section")})
+    flagged = (F.get_json_object("attrs", "$.kind") == "check") & (F.get_json_object("attrs", "$.pointOfCare") == "true")
+    lists = nodes.filter((F.col("type") == "list") & flagged).select("section_id", "path")
+    items = at.filter(~marked).join(lists, "section_id").withColumn("kind", F.lit("item"))
+    entries = whole.select(told).unionByName(items.select(told))
+
+    starts = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    said = nodes.filter("type = 'citation'").select("section_id", F.get_json_object("attrs", "$.referenceId").alias("reference_id"), F.explode(starts).alias("path"))
+    cited = said.join(entries.select("document_id", "section_id", "path"), ["section_id", "path"]).select("document_id", "reference_id").distinct()
+    return entries, numbers.join(cited, ["document_id", "reference_id"], "left_semi")

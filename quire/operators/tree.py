@@ -16,7 +16,9 @@ def outline(sec: DataFrame, parent_key: str = "parent_id", order: str = "order_i
     row's own last), off (hidden itself or below a hidden row) and position (from 1, within the root).
 
     One join for each level, so a corpus of any number of documents takes as many joins as its deepest tree has levels.
-    Levels are kept in files. The position is counted within a root in one task, as reading order is a sort of the root's rows.
+    Levels are kept in files. Positions need no sort of a root's rows: a row stands one place after its parent and after the
+    subtrees of the siblings before it, so only siblings share a window. Siblings of one order keep the order of their ids,
+    each with all that is below it.
     """
     hidden = F.col("hidden") if "hidden" in sec.columns else F.lit(False)
     own = sec.withColumn("_hidden", F.coalesce(hidden, F.lit(False)))
@@ -41,8 +43,18 @@ def outline(sec: DataFrame, parent_key: str = "parent_id", order: str = "order_i
     out = levels[0] if levels else level
     for x in levels[1:]:
         out = out.unionByName(x)
-    w = Window.partitionBy("root").orderBy("path", "id")
-    return out.withColumn("position", F.row_number().over(w).cast("long")).drop("_hidden")
+    return out.join(_positions(out, parent_key, order), "id", "left").select(*out.columns, "position").drop("_hidden")
+
+
+def _positions(out: DataFrame, parent_key: str, order: str) -> DataFrame:
+    """(id, position): 1 for a root, and for other rows the steps of their ancestors and themselves added to it. A row's step
+    is 1 and the sizes of the subtrees of the siblings before it."""
+    size = out.select(F.explode("ancestors").alias("id")).groupBy("id").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("root", parent_key).orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = out.filter("depth > 0").select("id", "root", parent_key, order).join(size, "id")
+    step = sized.select(F.col("id").alias("_a"), (F.coalesce(F.sum("_size").over(before), F.lit(0)) + 1).alias("_step"))
+    up = out.select("id", F.explode_outer(F.slice("ancestors", 2, DEEPEST)).alias("_a")).join(step, "_a", "left")
+    return up.groupBy("id").agg((F.coalesce(F.sum("_step"), F.lit(0)) + 1).cast("long").alias("position"))
 
 
 def orphans_last(outlined: DataFrame, sec: DataFrame, document: Column | str = "document_id") -> DataFrame:

@@ -145,6 +145,25 @@ def _(spark, d):
     return C.where_cited(B.mentions(spark, d), B.references(spark, d))
 
 
+@register("citing_places", _M + """, said AS (SELECT DISTINCT document_id, reference_id FROM mentions), head AS (SELECT document_id, arg_min(reference_id, pos) AS reference_id FROM mentions GROUP BY 1)
+  SELECT s.reference_id, d.source AS document_id, v.version_no, s.document_id AS address, v.version_no IS NULL AND h.reference_id = s.reference_id AS in_heading, true AS in_body
+  FROM said s JOIN documents d ON d.doc_id = s.document_id JOIN head h ON h.document_id = s.document_id, (SELECT NULL::BIGINT AS version_no UNION ALL SELECT 2 UNION ALL SELECT 1) v
+  WHERE s.reference_id >= '3'""")
+def _(spark, d):
+    """Sources are documents whose sections are their texts. Each has a draft, whose headings cite what the text cites first,
+    two frozen editions without headings, and a version that is still a draft."""
+    said = B.mentions(spark, d)
+    head = said.groupBy(F.col("document_id").alias("doc_id")).agg(F.array(F.min_by("reference_id", "pos")).alias("head"))
+    states = F.array(*(F.struct(F.lit(v).cast("long").alias("no"), F.lit(status).alias("status")) for v, status in ((None, "none"), (1, "archived"), (2, "published"), (3, "draft"))))
+    docs = B.read(spark, d, "documents").select("doc_id", "source").join(head, "doc_id", "left")
+    x = docs.select("*", F.explode(states).alias("v")).withColumn("section_id", F.concat_ws("/", "doc_id", F.coalesce("v.no", F.lit(0))))
+    version = F.when(F.col("v.no").isNotNull(), F.concat_ws("/", "source", "v.no"))
+    sections = x.select("section_id", F.col("source").alias("document_id"), version.alias("version_id"), F.col("doc_id").alias("address"), F.when(F.col("v.no").isNull(), F.col("head")).alias("title_citations"))
+    versions = x.filter("v.no is not null").select(version.alias("version_id"), F.col("v.no").alias("version_no"), F.col("v.status").alias("status")).distinct()
+    copies = nodes(spark, d).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("no"))
+    return C.citing_places(B.references(spark, d).filter("id >= '3'").select(F.col("id").alias("reference_id")), sections, copies.withColumn("section_id", F.concat_ws("/", "document_id", "no")), versions)
+
+
 @register("reference_successors", """WITH RECURSIVE v AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
   c AS (SELECT id, id AS latest, 0 AS steps FROM v UNION ALL SELECT c.id, v.nxt, steps + 1 FROM c JOIN v ON v.id = c.latest WHERE v.nxt IS NOT NULL)
   SELECT id, arg_max(latest, steps) AS latest, CAST(max(steps) AS BIGINT) AS steps FROM c GROUP BY 1""")

@@ -311,3 +311,71 @@ def test_parts_of_printed_citations(spark):
         8: ["jaenke 2021", "whop 2022", "wu 2023"], 9: ["fizazi 2015"], 10: ["laidsaar powell 2018a", "laidsaar powell 2018b"], 11: ["royal college of pathologists 2013", "royal college of pathologists 2017"],
         12: ["simms 2010"], 16: ["a 2001"], 17: ["smith 2018", "smith 2019"], 19: ["lee 2001"],
     }
+
+
+def test_siblings_of_one_order_keep_their_subtrees(spark):
+    sec = spark.createDataFrame([("a", None, 1.0), ("b", "a", 1.0), ("c", "a", 1.0), ("d", "b", 2.0), ("e", "c", 1.0), ("f", "a", 0.5), ("g", "f", None), ("h", None, 9.0)], "id string, parent_id string, order_index double")
+    got = tree.outline(sec).filter("root = 'a'").orderBy("position").select("id", "position").collect()
+    assert [tuple(r) for r in got] == [("a", 1), ("f", 2), ("g", 3), ("b", 4), ("d", 5), ("c", 6), ("e", 7)]
+    assert rows(tree.outline(sec).filter("root = 'h'").select("position")) == [(1,)]
+
+
+def test_positions_against_a_walk(spark):
+    import random
+
+    dice = random.Random(7)
+    pairs = [(i, None if i < 3 else dice.randrange(i), float(dice.randrange(4))) for i in range(300)]
+    below, want = {}, {}
+    for i, up, order in pairs:
+        below.setdefault(up, []).append((order, i))
+
+    def walk(i, root):
+        want.setdefault(root, []).append(i)
+        for _, k in sorted(below.get(i, [])):
+            walk(k, root)
+
+    for _, i in below[None]:
+        walk(i, i)
+    got = tree.outline(spark.createDataFrame(pairs, "id long, parent_id long, order_index double")).select("id", "root", "position")
+    assert rows(got) == sorted((i, root, n) for root, ids in want.items() for n, i in enumerate(ids, 1))
+
+
+def test_central_members_see_documents_of_no_team(spark):
+    doc = spark.createDataFrame([(1, 5), (2, 0), (3, None)], "document_id long, org_id long")
+    mem = spark.createDataFrame([("c", 0, "member"), ("c", 5, "viewer"), ("d", 0, "owner"), ("e", 5, "owner")], "user_id string, org_id long, role string")
+    seen = access.visible_documents(doc, mem, 0)
+    assert rows(seen) == [("c", 1, "viewer"), ("c", 2, "member"), ("c", 3, "admin"), ("d", 1, "admin"), ("d", 2, "owner"), ("d", 3, "admin"), ("e", 1, "owner")]
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and all("=" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_places_that_cite(spark):
+    sections = spark.createDataFrame(
+        [("s1", 1, None, "a", ["r1", "r1"]), ("s2", 1, None, "b", None), ("f1", 1, "v1", "a", ["r2"]), ("f2", 1, "v2", "a", ["r1"])],
+        "section_id string, document_id long, version_id string, address string, title_citations array<string>",
+    )
+    n = spark.createDataFrame([("s1", "citation", '{"referenceId":"r1"}'), ("s2", "citation", '{"referenceId":"r3"}'), ("f1", "text", None), ("f1", "citation", '{"referenceId":"r1"}')], "section_id string, type string, attrs string")
+    v = spark.createDataFrame([("v1", 4, "archived"), ("v2", 5, "draft")], "version_id string, version_no long, status string")
+    asked = spark.createDataFrame([("r1",), ("r2",), ("r9",), ("r1",)], "reference_id string")
+    got = citations.citing_places(asked, sections, n, v).collect()
+    want = [("r1", 1, None, "a", True, True), ("r1", 1, 4, "a", False, True), ("r2", 1, 4, "a", True, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_guide_of_a_document(spark):
+    sections = spark.createDataFrame(
+        [(1, "s1", "step-2", "Second", False, 1), (1, "s2", "step-2/a", "Doses", True, 2), (1, "s3", "step-3/b", "Notes", False, 3), (1, "s4", "about", "About", False, 4), (2, "t1", "step-2", "Other", False, 1)],
+        "document_id long, section_id string, address string, title string, point_of_care boolean, place long",
+    )
+    flagged, plain = '{"kind":"check","pointOfCare":true}', '{"kind":"check","pointOfCare":false}'
+    n = spark.createDataFrame(
+        [
+            ("s1", [0], "list", flagged), ("s1", [0, 0], "listItem", None), ("s1", [0, 0, 0], "citation", '{"referenceId":"r1"}'), ("s1", [1], "citation", '{"referenceId":"r2"}'),
+            ("s2", [0], "citation", '{"referenceId":"r3"}'), ("s2", [1], "list", flagged), ("s3", [0], "list", plain), ("s4", [2], "list", flagged), ("t1", [0], "citation", '{"referenceId":"r1"}'),
+        ], "section_id string, path array<int>, type string, attrs string",
+    )
+    numbers = spark.createDataFrame([(1, "r1", 7), (1, "r2", 8), (1, "r3", 9), (2, "r1", 1)], "document_id long, reference_id string, number long")
+    entries, cited = nodes.guide_page(sections, n, numbers)
+    got = entries.orderBy("place", "path").select("section_id", "path", "kind", "step", "step_title").collect()
+    assert [tuple(r) for r in got] == [("s1", [0], "item", 2, "Second"), ("s2", [], "section", 2, "Second"), ("s4", [2], "item", None, None)]
+    assert rows(cited) == [(1, "r1", 7), (1, "r3", 9)]
