@@ -110,3 +110,43 @@ def _(spark, d):
     bodies = B.bodies(spark, d)
     marked = bodies.select("document_id", (F.col("document_id") % 3 == 0).alias("point_of_care"))
     return nodes.guide(marked, nodes.explode_body(bodies), ["citation"]).select("document_id", "kind", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+_GUIDE = B.with_clauses(B.MENTIONS, _LEAF, """sec AS (
+  SELECT doc_id, source, lang || ' ' || doc_id AS title, coalesce(lang = 'en', false) AS marked, doc_id % 4 + 1 AS step, min(doc_id) OVER (PARTITION BY source, doc_id % 4) = doc_id AS opens FROM documents)""", """entries AS (
+  SELECT s.*, 'section' AS kind, '' AS path, NULL::BIGINT AS k FROM sec s WHERE marked
+  UNION ALL SELECT s.*, 'item', CAST(k AS VARCHAR), k FROM sec s JOIN leaf ON document_id = doc_id WHERE reference_id IS NOT NULL AND NOT marked)""")
+
+
+def _guide(spark, d):
+    """Sources are documents whose sections are their texts, by steps; the texts' citations stand in check lists for use at
+    the point of care, their other lines in lists that are not."""
+    from pyspark.sql import Window
+
+    from ..operators import nodes
+
+    key = F.col("doc_id")
+    opens = F.min("doc_id").over(Window.partitionBy("source", key % 4)) == key
+    step = F.concat(F.lit("step-"), (key % 4 + 1).cast("string"))
+    docs = B.read(spark, d, "documents").withColumn("address", F.when(opens, step).otherwise(F.concat_ws("/", step, key.cast("string"))))
+    sections = docs.select(
+        F.col("source").alias("document_id"), key.alias("section_id"), "address", F.concat("lang", F.lit(" "), key.cast("string")).alias("title"), (F.col("lang") == "en").alias("point_of_care"), key.alias("place")
+    )
+    as_list = lambda text, leaf, flag: F.replace(text, F.lit('{"type":"paragraph","content":[{"type":"%s"' % leaf), F.lit('{"type":"list","attrs":{"kind":"check","pointOfCare":%s},"content":[{"type":"%s"' % (flag, leaf)))
+    body = B.bodies(spark, d).select(F.col("document_id").alias("section_id"), as_list(as_list(F.col("body_json"), "text", "false"), "citation", "true").alias("body_json"))
+    said = B.mentions(spark, d).withColumnRenamed("document_id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    numbers = C.citation_numbers(said.select(F.col("source").alias("document_id"), "reference_id", (key * 10**9 + F.col("pos")).alias("pos")))
+    return nodes.guide_page(sections, nodes.explode_body(body, key="section_id"), numbers)
+
+
+@register("guide_page", _GUIDE + """SELECT e.source AS document_id, e.doc_id AS section_id, e.kind, e.path, e.title, e.step, o.title AS step_title FROM entries e LEFT JOIN sec o ON o.source = e.source AND o.step = e.step AND o.opens""")
+def _(spark, d):
+    path = F.array_join(F.col("path").cast("array<string>"), ".").alias("path")
+    return _guide(spark, d)[0].select("document_id", "section_id", "kind", path, "title", F.col("step").cast("long").alias("step"), "step_title")
+
+
+@register("guide_references", _GUIDE + """, m AS (SELECT source, doc_id, reference_id, doc_id * 1000000000 + pos AS place FROM mentions JOIN documents ON doc_id = document_id),
+  n AS (SELECT source, reference_id, row_number() OVER (PARTITION BY source ORDER BY min(place), reference_id) AS number FROM m GROUP BY 1, 2)
+  SELECT DISTINCT n.source AS document_id, n.reference_id, n.number FROM n JOIN m USING (source, reference_id) WHERE m.doc_id IN (SELECT doc_id FROM entries)""")
+def _(spark, d):
+    return _guide(spark, d)[1].select("document_id", "reference_id", "number")
