@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from .render import SUBJECTS, has_mark, placeholder_label, subject_form
 
 #: Levels beyond which a body is taken to be broken.
 DEEPEST = 64
+#: What stands between words, as in the SQL of the queries.
+_BLANKS = re.compile(r"[\t\n\f\r ]+")
 
 
 def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id") -> DataFrame:
@@ -166,7 +169,14 @@ def timeframe_snapshot(nodes: DataFrame, key: str = "document_id") -> DataFrame:
 def _word_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(old.fillna(""), new.fillna("")):
-        x, y = a.split(), b.split()
+        x, y = (list(filter(None, _BLANKS.split(t))) for t in (a, b))
+        # What stands in both at the beginning and at the end is equal, wherever a longer block would fit.
+        least, head, tail = min(len(x), len(y)), 0, 0
+        while head < least and x[head] == y[head]:
+            head += 1
+        while tail < least - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
         ins = dele = 0
         for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
             if tag != "equal":
@@ -177,7 +187,8 @@ def _word_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
 
 
 def diff_sizes(pairs: DataFrame) -> DataFrame:
-    """Adds inserted and deleted characters of a word diff of old and new; equal texts never reach Python."""
+    """Adds inserted and deleted characters of a word diff of old and new; equal texts never reach Python. Words are apart by
+    ASCII blanks; the beginning and the end that both share are equal, what is between them is aligned."""
     same = F.col("old").eqNullSafe(F.col("new"))
     kept = pairs.filter(same).withColumns({"inserted": F.lit(0).cast("long"), "deleted": F.lit(0).cast("long"), "changed": F.lit(False)})
     moved = pairs.filter(~same).withColumn("_d", _word_diff("old", "new")).withColumns({"inserted": F.col("_d.inserted"), "deleted": F.col("_d.deleted"), "changed": F.lit(True)}).drop("_d")

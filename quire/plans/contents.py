@@ -127,7 +127,7 @@ def _(spark, d):
   FROM (SELECT doc_id, w, coalesce(doc_id % 3 = 0 AND w <> '' AND w <> 'other', false) AS c FROM (SELECT doc_id, regexp_extract(text, '^(\S+) (\S+)', 2) AS w FROM documents))""")
 def _(spark, d):
     t = B.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 10**9).alias("old"))
-    return O.diff_sizes(t.select("doc_id", "old", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("old", r"^(\S+) \S+", "$1 other")).otherwise(F.col("old")).alias("new"))).select("doc_id", "inserted", "deleted", "changed")
+    return O.diff_sizes(t.select("doc_id", "old", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("old", r"^([^\t\n\f\r ]+) [^\t\n\f\r ]+", "$1 other")).otherwise(F.col("old")).alias("new"))).select("doc_id", "inserted", "deleted", "changed")
 
 
 @register("citation_numbers", _M + "," + _NUM + " SELECT * FROM num")
