@@ -51,3 +51,8 @@ def test_diff_sizes_of_repeated_and_oddly_spaced_words(spark, changed):
     texts = "'a a a a a a', 'x y' || chr(160) || 'z w', 'x y' || chr(11) || 'z w', 'b c b c b c b c', 'a other x'"
     path = changed("documents", f"SELECT * REPLACE ([{texts}][1 + doc_id % 5] AS text) FROM documents WHERE doc_id < 60")
     assert compare(spark, path, QUERIES["diff_sizes"], SQL["diff_sizes"]) == "ok"
+
+
+def test_upsert_beside_rows_of_shifted_numbers(spark, changed):
+    path = changed("part", "SELECT * FROM part UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part")
+    assert compare(spark, path, QUERIES["upsert"], SQL["upsert"]) == "ok"
