@@ -53,21 +53,34 @@ def nearest_documents(q: DataFrame, names: DataFrame, synonyms: DataFrame | None
     three letters, .5 for a beginning over four; summed; ties by title. q: (query_id, word), names: (document_id, title, word).
 
     Edits are looked for only among words that share the beginning or the end, and whose lengths differ by at most one.
+    Queries of one set of words are answered once. Documents of one title and set of words score alike, so each such group is
+    scored once, and its first k documents are all that can be shown.
     """
     if synonyms is not None:
         q = q.unionByName(q.join(synonyms, "word").select("query_id", F.col("to").alias("word"))).distinct()
     known = names.select("word").distinct().withColumnRenamed("word", "w")
     # One edit leaves the first or the second half of a word as it was.
     half = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.expr(f"right({c}, 2)")))
+    sets = F.array_sort(F.collect_set("word"))
+    each = q.groupBy("query_id").agg(sets.alias("words")).withColumn("class", F.sha2(F.to_json("words"), 256))
+    classes = each.groupBy("class").agg(F.first("words").alias("words")).select("class", F.explode("words").alias("word"))
+    told = names.groupBy("document_id", "title").agg(sets.alias("words"))
+    rows = told.withColumn("_n", F.row_number().over(Window.partitionBy("title", "words").orderBy("document_id"))).filter(F.col("_n") <= k)
+    rows = rows.withColumn("group", F.sha2(F.to_json(F.struct("title", "words"), {"ignoreNullFields": "false"}), 256))
+    groups = rows.filter("_n = 1").select("group", "title", F.explode("words").alias("w"))
+
     asked = q.select("word").distinct()
     pairs = asked.select("word", F.explode(half("word")).alias("b")).join(known.select("w", F.explode(half("w")).alias("b")), "b").select("word", "w").distinct()
     near = F.when(F.col("word") == F.col("w"), 1.0).when((F.length("word") > 3) & (F.abs(F.length("word") - F.length("w")) <= 1) & (F.levenshtein("word", "w", 1) == 1), 0.75)
     near = near.when((F.length("word") > 4) & F.col("w").startswith(F.col("word")), 0.5)
     scored = pairs.withColumn("s", near).filter("s is not null")
-    per = q.join(scored, "word").join(names.withColumnRenamed("word", "w"), "w").groupBy("query_id", "document_id", "title", "word").agg(F.max("s").alias("s"))
-    total = per.groupBy("query_id", "document_id", "title").agg(F.round(F.sum("s"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "document_id")
-    return total.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k).select("query_id", "place", "document_id", "score")
+    per = classes.join(scored, "word").join(groups, "w").groupBy("class", "group", "title", "word").agg(F.max("s").alias("s"))
+    total = per.groupBy("class", "group", "title").agg(F.round(F.sum("s"), 6).alias("score"))
+    # Each group before another has a document, so those of a rank beyond k show none.
+    w = Window.partitionBy("class").orderBy(F.desc("score"), "title")
+    best = total.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k).join(rows.select("group", "document_id"), "group")
+    best = best.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "title", "document_id")).cast("long")).filter(F.col("place") <= k)
+    return each.select("query_id", "class").join(best, "class").select("query_id", "place", "document_id", "score")
 
 
 def apply_placements(sections: DataFrame, rules: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -56,3 +56,14 @@ def test_diff_sizes_of_repeated_and_oddly_spaced_words(spark, changed):
 def test_upsert_beside_rows_of_shifted_numbers(spark, changed):
     path = changed("part", "SELECT * FROM part UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part")
     assert compare(spark, path, QUERIES["upsert"], SQL["upsert"]) == "ok"
+
+
+def test_nearest_documents_of_copies(spark):
+    names = spark.range(3000).select((F.col("id") + 1).alias("document_id"), F.lit("red dog").alias("title"), F.explode(F.array(F.lit("red"), F.lit("dog"))).alias("word"))
+    names = names.unionByName(spark.createDataFrame([(0, "red cat", "red"), (0, "red cat", "cat")], names.schema))
+    asked = spark.range(500).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("red"), F.lit("dig"))).alias("word"))
+    asked = asked.unionByName(spark.createDataFrame([(900, "rod"), (900, "cat")], asked.schema))
+    out = matching.nearest_documents(asked.withColumn("word", F.when(F.col("word") == "dig", "dog").otherwise(F.col("word"))), names)
+    got = rows(out)
+    assert got[:3] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, 2.0)] and got[-1:] == [(900, 1, 0, 1.0)] and len(got) == 1501
+    assert most_rows(out) <= 10000
