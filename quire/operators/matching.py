@@ -38,14 +38,20 @@ def match_titles(titles: DataFrame, candidates: DataFrame, by: str, min_containm
     """(title_id, candidate_id, jaccard): each title's best candidate within `by`, by shared tokens.
 
     titles: (title_id, by, tokens), candidates: (candidate_id, by, title, tokens); tokens are sets. A title of one word
-    needs that word and a candidate of at most two. Best Jaccard, then the shorter title, then the smaller id."""
-    a = titles.select(F.col("title_id").alias("a"), by, "tokens")
-    b = candidates.select(F.col("candidate_id").alias("b"), by, "tokens")
-    pairs = shared_tokens(a, b, by, min_containment).join(candidates.select(F.col("candidate_id").alias("b"), F.length("title").alias("len")), "b")
+    needs that word and a candidate of at most two. Best Jaccard, then the shorter title, then the smaller id.
+
+    Titles of one set are matched once, and of the candidates of one set only the first by length and id can be the best, so
+    pairs grow with the different sets and not with their copies."""
+    sets = lambda df: df.withColumn("tokens", F.array_sort("tokens"))
+    name = F.sha2(F.to_json(F.struct(F.col(by).alias("by"), "tokens")), 256)
+    asked = sets(titles).select(name.alias("a"), "title_id", by, "tokens")
+    known = sets(candidates).groupBy(by, "tokens").agg(F.min(F.struct(F.length("title").alias("len"), F.col("candidate_id").alias("id"))).alias("first"))
+    known = known.select(name.alias("b"), by, "tokens", "first")
+    pairs = shared_tokens(asked.select("a", by, "tokens").distinct(), known.drop("first"), by, min_containment).join(known.select("b", "first"), "b")
     j = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     good = pairs.withColumn("jaccard", j).filter((j >= min_jaccard) & ((F.col("na") > 1) | (F.col("nb") <= 2)))
-    best = good.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "len", "b")).alias("x"))
-    return best.select(F.col("a").alias("title_id"), F.col("x.b").alias("candidate_id"), F.round(-F.col("x.j"), 9).alias("jaccard"))
+    best = good.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "first")).alias("x"))
+    return asked.select("a", "title_id").join(best, "a").select("title_id", F.col("x.first.id").alias("candidate_id"), F.round(-F.col("x.j"), 9).alias("jaccard"))
 
 
 def nearest_documents(q: DataFrame, names: DataFrame, synonyms: DataFrame | None = None, k: int = 3) -> DataFrame:

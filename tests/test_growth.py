@@ -67,3 +67,12 @@ def test_nearest_documents_of_copies(spark):
     got = rows(out)
     assert got[:3] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, 2.0)] and got[-1:] == [(900, 1, 0, 1.0)] and len(got) == 1501
     assert most_rows(out) <= 10000
+
+
+def test_match_titles_of_copies(spark):
+    of = lambda n, first, words: spark.range(n).select((F.col("id") + first).alias("id"), F.lit("b").alias("brand"), F.array(*map(F.lit, words)).alias("tokens"))
+    known = of(2000, 10, ["red", "dog"]).unionByName(of(1, 1, ["dog", "red"])).withColumn("title", F.when(F.col("id") == 1, "dog,  red").otherwise("red dog"))
+    asked = of(500, 0, ["dog", "red"]).unionByName(of(1, 700, ["cat"]))
+    out = matching.match_titles(asked.withColumnRenamed("id", "title_id"), known.withColumnRenamed("id", "candidate_id"), "brand")
+    assert rows(out) == [(i, 10, 1.0) for i in range(500)]
+    assert most_rows(out) <= 10000
