@@ -25,33 +25,37 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
     own is empty, so that it sorts in document order; above holds the types of a node's ancestors from the root. attrs and
     marks are JSON text. Bodies that are no JSON have no nodes.
 
-    One generator for each level, over the nodes that have children; each level is settled in files.
+    Every level is a generator over the children of the one before, in the same task, so nodes are not moved, and each is
+    written once, without what is below it; brackets in the text bound the number of levels.
     """
-    nothing = F.array().cast("array<string>").alias("above")
-    level = df.select(key, F.array().cast("array<int>").alias("path"), nothing, F.try_parse_json(body).alias("node")).filter("node is not null")
-    levels = []
-    while True:
-        level = settle(level)
-        if level.isEmpty():
-            if levels:  # else the empty level is the result
-                release(level)
-            break
-        levels.append(level)
-        if len(levels) > DEEPEST:
-            raise ValueError(f"bodies nest deeper than {DEEPEST} levels")
-        kids = F.posexplode(F.try_variant_get("node", "$.content", "array<variant>")).alias("at", "child")
-        up = F.coalesce(F.try_variant_get("node", "$.type", "string"), F.lit(""))
-        level = level.select(key, "path", F.concat("above", F.array(up)).alias("above"), kids)
-        level = level.select(key, F.concat("path", F.array("at")).alias("path"), "above", F.col("child").alias("node"))
-    out = levels[0] if levels else level
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    get = lambda p: F.try_variant_get("node", p, "string")
-    json = lambda p: F.to_json(F.try_variant_get("node", p, "variant"))
-    parent = F.get("above", F.size("above") - 1)
-    return out.select(
-        key, "path", get("$.type").alias("type"), get("$.text").alias("text"), json("$.attrs").alias("attrs"), parent.alias("parent_type"), json("$.marks").alias("marks"), "above"
-    )
+    strings = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*"', "")
+    step = lambda a, c: F.when(c == "[", a["n"] + 1).otherwise(a["n"] - 1)
+    nest = F.aggregate(
+        F.split(F.regexp_replace(strings, r"[^\[\]]+", ""), "(?<=.)(?=.)"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("most")),
+        lambda a, c: F.struct(step(a, c).alias("n"), F.greatest(a["most"], step(a, c)).alias("most")),
+    )["most"]
+    whole = settle(df.select(key, F.try_parse_json(body).alias("node"), nest.alias("nest")).filter("node is not null"))
+    bound = whole.agg(F.max("nest")).first()[0] or 0
+
+    get = lambda node, p: F.try_variant_get(node, p, "string")
+    json = lambda node, p: F.to_json(F.try_variant_get(node, p, "variant"))
+    told = lambda n: {"type": get(n, "$.type"), "text": get(n, "$.text"), "attrs": json(n, "$.attrs"), "marks": json(n, "$.marks"), "kids": F.try_variant_get(n, "$.content", "array<variant>")}
+    root = {"path": F.array().cast("array<int>"), "parent_type": F.lit(None).cast("string"), "above": F.array().cast("array<string>")}
+    at = whole.select(key, *(c.alias(n) for n, c in (root | told("node")).items()))
+    itself = F.array(F.lit(None).cast("variant"))  # stands before the children, for the node that has them
+    for level in range(1, min(bound, DEEPEST) + 1):
+        at = at.select(*at.columns, F.posexplode(F.concat(itself, F.coalesce("kids", F.array().cast("array<variant>")))).alias("_at", "_kid"))
+        kind = F.coalesce("type", F.lit(""))
+        new = {"path": F.concat("path", F.array(F.col("_at") - 1)), "parent_type": kind, "above": F.concat("above", F.array(kind))} | told("_kid")
+        kept = {n: F.when(F.col("_at") == 0, F.col(n)) for n in new if n != "kids"}
+        at = at.select(key, *(kept[n].otherwise(c).alias(n) if n in kept else F.when(F.col("_at") > 0, c).alias(n) for n, c in new.items()))
+        if level % 16 == 0:
+            at = settle(at)
+    if bound >= DEEPEST and not at.filter(F.size("path") >= DEEPEST).isEmpty():
+        raise ValueError(f"bodies nest deeper than {DEEPEST} levels")
+    out = settle(at.select(key, "path", "type", "text", "attrs", "parent_type", "marks", "above"))
+    release(whole)
+    return out
 
 
 def _block(path="path"):

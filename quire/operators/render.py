@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.settled import release, settle
+from ..sources.settled import settle
 
 #: Subjects that stand in brackets until the publisher fills them in.
 SUBJECTS = ("cancer type", "population group")
@@ -201,24 +201,30 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, snapshots: DataFrame |
     escapes; citations as footnote marks by numbers (key, reference_id, number), those without a number left out. A
     timeframeSnapshot node shows snapshots (key, snapshot). Guidance is not shown.
 
-    Folded from the deepest level upwards: in each step the texts of a level are collected by their parents."""
-    have = nodes.withColumn("reference_id", _attribute("referenceId")).join(numbers.select(key, "reference_id", "number"), [key, "reference_id"], "left")
+    Folded from the deepest level upwards: in each step the texts of a level are collected by their parents. Nodes are dealt
+    by bodies once, so that the steps that follow move and write nothing."""
+    spark = nodes.sparkSession
+    number = numbers.select(key, "reference_id", "number")
+    cited = nodes.filter("type = 'citation'").withColumn("reference_id", _attribute("referenceId")).join(number, [key, "reference_id"], "left").drop("reference_id")
+    have = nodes.filter("type is null or type <> 'citation'").withColumn("number", F.lit(None).cast(numbers.schema["number"].dataType)).unionByName(cited)
     have = have.join(snapshots.select(key, "snapshot"), key, "left") if snapshots is not None else have.withColumn("snapshot", F.lit(None).cast("string"))
-    have = settle(have.select(key, "path", "type", "text", "attrs", "marks", "number", "snapshot", F.size("path").alias("depth")))
+    told = ["type", "text", "attrs", "marks", "number", "snapshot"]
+    have = settle(have.select(key, "path", F.struct(*told).alias("own"), F.size("path").alias("depth")))
     first, second = _texts()
-    none = F.array().cast("array<struct<at:int,type:string,inline:string,block:string,body:string,cells:array<string>>>")
+    kid = F.struct(F.element_at("path", -1).alias("at"), "type", "inline", "block", "body", "cells")
+    kind = "struct<at:int,type:string,inline:string,block:string,body:string,cells:array<string>>"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done = None
     for depth in range(have.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        level = have.filter(F.col("depth") == depth)
+        level = have.filter(F.col("depth") == depth).select(key, "path", "own").repartition(parts, key)
         if done is None:
-            level = level.withColumn("kids", none)
+            level = level.withColumn("kids", F.array().cast(f"array<{kind}>"))
         else:
-            kid = F.struct(F.element_at("path", -1).alias("at"), "type", "inline", "block", "body", "cells")
-            up = done.groupBy(key, F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(kid)).alias("kids"))
-            level = level.join(up, [key, "path"], "left").withColumn("kids", F.coalesce("kids", none))
-        below, done = done, settle(level.withColumns(first).withColumns(second).select(key, "path", "type", "inline", "block", "body", "cells"))
-        if below is not None:
-            release(below)
+            up = done.select(key, F.slice("path", 1, F.size("path") - 1).alias("path"), F.lit(None).cast(level.schema["own"].dataType).alias("own"), kid.alias("kid"))
+            level = level.withColumn("kid", F.lit(None).cast(kind)).unionByName(up)
+            level = level.groupBy(key, "path").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("kid")).alias("kids")).filter("own is not null")
+        level = level.select(key, "path", "kids", *(F.col(f"own.{c}").alias(c) for c in told))
+        done = level.withColumns(first).withColumns(second).select(key, "path", "type", "inline", "block", "body", "cells")
     return done.select(key, F.regexp_replace("body", r"^\s+|\s+$", "").alias("markdown"))
 
 

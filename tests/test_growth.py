@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from oracle import TABLES, compare
 from pyspark.sql import functions as F
-from quire.operators import matching, nodes
+from quire.operators import matching, nodes, render
 from quire.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -76,3 +76,16 @@ def test_match_titles_of_copies(spark):
     out = matching.match_titles(asked.withColumnRenamed("id", "title_id"), known.withColumnRenamed("id", "candidate_id"), "brand")
     assert rows(out) == [(i, 10, 1.0) for i in range(500)]
     assert most_rows(out) <= 10000
+
+
+def test_bodies_are_written_once_whatever_their_depth(spark, monkeypatch):
+    written = []
+    keep = lambda module: monkeypatch.setattr(module, "settle", lambda df, own=module.settle: written.append(1) or own(df))
+    keep(nodes), keep(render)
+    leaf = r'{"type":"text","text":"a \\ [[ \" ]] b"}'
+    body = '{"type":"doc","content":[%s]}' % ('{"type":"box","content":[' * 9 + '{"type":"paragraph","content":[%s]}' % leaf + "]}" * 9)
+    made = nodes.explode_body(spark.createDataFrame([(1, body), (2, "{"), (3, '{"type":"doc"}')], "document_id long, body_json string"))
+    assert rows(made.groupBy("document_id").agg(F.count("*"), F.max(F.size("path")))) == [(1, 12, 11), (3, 1, 0)]
+    out = render.render_markdown(made, spark.createDataFrame([], "document_id long, reference_id string, number int"))
+    assert rows(out) == [(1, "> " * 9 + r'a \\ \[\[ " \]\] b'), (3, "")]
+    assert len(written) == 3
