@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from oracle import TABLES, compare
 from pyspark.sql import functions as F
-from quire.operators import matching, nodes, render
+from quire.operators import access, matching, nodes, render
 from quire.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -89,3 +89,16 @@ def test_bodies_are_written_once_whatever_their_depth(spark, monkeypatch):
     out = render.render_markdown(made, spark.createDataFrame([], "document_id long, reference_id string, number int"))
     assert rows(out) == [(1, "> " * 9 + r'a \\ \[\[ " \]\] b'), (3, "")]
     assert len(written) == 3
+
+
+def test_one_large_team_is_shared_among_tasks(spark):
+    doc = spark.range(400).select(F.col("id").alias("document_id"), F.lit(1).alias("org_id"))
+    mem = spark.range(5).select(F.col("id").alias("user_id"), F.lit(1).alias("org_id"), F.when(F.col("id") < 3, "owner").otherwise("viewer").alias("role"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = access.notification_recipients(doc, mem, "admin")
+        assert rows(out) == [(d, u) for d in range(400) for u in range(3)]
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
