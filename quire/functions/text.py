@@ -28,6 +28,11 @@ def fold_accents(text) -> Column:
     return F.translate(F.lower(c(text)), ACCENTED, PLAIN)
 
 
+def fold_word(word: Column) -> Column:
+    """fold_accents() of a lower-case word: what holds nothing but ASCII stays as it is, without a look at each letter."""
+    return F.when(F.octet_length(word) > F.length(word), F.translate(word, ACCENTED, PLAIN)).otherwise(word)
+
+
 def slugify(text, most: int = 64) -> Column:
     """Letters and digits with single hyphens, at most `most` long, cut at the last hyphen before that."""
     s = F.regexp_replace(F.regexp_replace(fold_accents(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -50,7 +55,9 @@ def normalise_key(text) -> Column:
 
 def stem_title(word: Column) -> Column:
     """A light stem: plural and participle endings of longer words go."""
-    return F.when(F.length(word) > 5, F.regexp_replace(word, "(?:ing|ed|es|s)$", "")).when(F.length(word) > 3, F.regexp_replace(word, "s$", "")).otherwise(word)
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    long = F.when(F.endswith(word, F.lit("ing")), cut(3)).when(F.endswith(word, F.lit("ed")) | F.endswith(word, F.lit("es")), cut(2)).when(F.endswith(word, F.lit("s")), cut(1)).otherwise(word)
+    return F.when(F.length(word) > 5, long).when((F.length(word) > 3) & F.endswith(word, F.lit("s")), cut(1)).otherwise(word)
 
 
 def title_tokens(text, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.settled import settle
-from ..functions.text import fold_accents, stem_title
+from ..functions.text import fold_accents, fold_word, stem_title
 from .versions import diversify
 
 K1, B, TITLE, BODY = 1.2, 0.75, 3.0, 1.0
@@ -20,10 +20,13 @@ def tokens(text) -> Column:
 def build_index(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings (section_id, term, title_tf, body_tf), lengths (section_id, length)) of sections (section_id, title, body).
 
-    Terms are folded and stemmed; a section's length counts all its tokens. Null texts have none. The texts are read once:
-    postings are kept in files, and lengths are sums over them."""
-    two = sections.select("section_id", F.explode(F.array(F.struct(F.lit(1).alias("t"), tokens("title").alias("w")), F.struct(F.lit(0).alias("t"), tokens("body").alias("w")))).alias("x"))
-    words = two.select("section_id", "x.t", F.explode("x.w").alias("term"))
+    Terms are folded and stemmed; a section's length counts all its tokens. Null texts have none. The texts are read once and
+    dealt by section before they are cut into words, so that no word is shuffled; postings are kept in files, and lengths are
+    sums over them."""
+    found = lambda text: F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), 0)
+    dealt = sections.select("section_id", "title", "body").repartition("section_id")
+    two = dealt.select("section_id", F.explode(F.array(F.struct(F.lit(1).alias("t"), found("title").alias("w")), F.struct(F.lit(0).alias("t"), found("body").alias("w")))).alias("x"))
+    words = two.select("section_id", "x.t", F.explode("x.w").alias("w")).select("section_id", "t", fold_word(F.col("w")).alias("w")).select("section_id", "t", stem_title(F.col("w")).alias("term"))
     postings = settle(words.groupBy("section_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("body_tf")))
     sums = postings.groupBy("section_id").agg(F.sum(F.col("title_tf") + F.col("body_tf")).alias("length"))
     return postings, sections.select("section_id").join(sums, "section_id", "left").na.fill({"length": 0})
@@ -65,6 +68,7 @@ def search_published(q: DataFrame, postings: DataFrame, lengths: DataFrame, owne
 def snippet(hits: DataFrame, terms: DataFrame, sections: DataFrame, width: int = 24) -> DataFrame:
     """(query_id, section_id, snippet): the first window of `width` words with the most matches, matches in brackets."""
     stem = lambda w: stem_title(F.regexp_replace(fold_accents(w), r"[^\p{L}\p{N}]", ""))
+    hits = settle(hits.select("query_id", "section_id"))  # read four times
     some = sections.join(hits.select("section_id").distinct(), "section_id", "left_semi")
     some = settle(some.select("section_id", F.filter(F.split("body", r"\s+"), lambda w: w != "").alias("_w")))
     words = some.select("section_id", F.posexplode(F.transform("_w", stem)).alias("_at", "term"))

@@ -102,3 +102,14 @@ def test_one_large_team_is_shared_among_tasks(spark):
         assert out.select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_index_deals_texts_and_not_words(spark, monkeypatch):
+    from quire.operators import search
+
+    kept = []
+    monkeypatch.setattr(search, "settle", lambda df: kept.append(df) or df)
+    postings, _lengths = search.build_index(spark.createDataFrame([(1, "Éding cats", "Cats boxes ss"), (2, None, "straße wished")], "section_id long, title string, body string"))
+    assert rows(postings) == [(1, "boxe", 0, 1), (1, "cat", 1, 1), (1, "eding", 1, 0), (1, "ss", 0, 1), (2, "strase", 0, 1), (2, "wish", 0, 1)]
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(section_id" in plan and not [x for x in plan.split("\n") if "hashpartitioning(section_id" in x and "term" in x]
