@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_key
+from ..sources.settled import settle
 from .matching import fill_spanned, match_titles, shared_tokens
 
 #: Most characters of a heading.
 HEADING = 160
+#: Lines that are folded at once.
+BLOCK = 128
 
 
 def classify_lines(lines: DataFrame, styles: DataFrame, by: str = "document_id", tolerance: float = 0.5) -> DataFrame:
@@ -22,26 +25,40 @@ def classify_lines(lines: DataFrame, styles: DataFrame, by: str = "document_id",
     short line in a learned style: equal colour and weight, sizes at most `tolerance` apart. Of several levels its own tag
     decides; else the next level below that of the heading before it, or the shallowest where none is below.
 
-    Only lines with several levels depend on the heading before. They form runs, each after a line whose level is known,
-    so that a document is no unit of work."""
+    A line's level depends on the one before it, but only by way of the level where a block of lines is entered. So the lines
+    of a document are folded in blocks of BLOCK, from each level that a block's first line may have; a second fold over the
+    blocks tells which of them it was. Neither a document nor the lines between two known levels are a unit of work."""
     half = lambda size, move=0: (F.floor(F.col(size) / tolerance) + move).cast("long")
     short = F.length(F.trim("text")).between(1, HEADING)
-    near = styles.select(by, F.col("colour").alias("_c"), F.col("bold").alias("_b"), F.col("size").alias("_s"), "level", F.explode(F.array(half("size", -1), half("size"), half("size", 1))).alias("_h"))
+    near = styles.select(by, "colour", "bold", F.col("size").alias("_s"), "level", F.explode(F.array(half("size", -1), half("size"), half("size", 1))).alias("_h"))
     asked = lines.filter(short).withColumn("_h", half("size"))
-    fits = (F.col("colour") == F.col("_c")) & (F.col("bold") == F.col("_b")) & (F.abs(F.col("size") - F.col("_s")) <= tolerance)
-    met = asked.join(near, [by, "_h"]).filter(fits).groupBy(by, "line_no").agg(F.array_sort(F.collect_set("level")).alias("_levels"), F.first("tagged").alias("_tag"))
-    own = F.when(F.array_contains("_levels", F.col("_tag")), F.col("_tag")).when(F.size("_levels") == 1, F.col("_levels")[0])
-    order = Window.partitionBy(by).orderBy("line_no")
-    runs = met.withColumn("_own", own).withColumn("_run", F.count("_own").over(order))
-    steps = runs.groupBy(by, "_run").agg(F.array_sort(F.collect_list(F.struct("line_no", "_own", "_levels"))).alias("_x"))
-    start = F.struct(F.lit(0).cast("int").alias("now"), F.array().cast("array<struct<line_no:bigint,level:int>>").alias("out"))
+    fits = F.abs(F.col("size") - F.col("_s")) <= tolerance
+    met = asked.join(near, [by, "_h", "colour", "bold"]).filter(fits).groupBy(by, "line_no").agg(F.array_sort(F.collect_set("level")).alias("_levels"), F.first("tagged").alias("_tag"))
+    # A level that is known is the only one to choose from.
+    open_to = F.when(F.array_contains("_levels", F.col("_tag")), F.array("_tag")).otherwise(F.col("_levels")).cast("array<int>")
+    at = F.row_number().over(Window.partitionBy(by).orderBy("line_no"))
+    dealt = met.select(by, F.col("line_no").cast("bigint").alias("line_no"), open_to.alias("_levels"), F.floor((at - 1) / BLOCK).alias("_block")).repartition(by, "_block")
+    blocks = dealt.groupBy(by, "_block").agg(F.array_sort(F.collect_list(F.struct("line_no", "_levels"))).alias("_x"))
+    below = lambda levels, now: F.coalesce(F.get(F.filter(levels, lambda v: v > now), 0), levels[0])
+
+    # For every line a level for each way to enter its block, in the order of the first line's levels.
+    entered = F.col("_x")[0]["_levels"]
+    start = F.struct(entered.alias("now"), F.array(F.struct(F.col("_x")[0]["line_no"].alias("line_no"), entered.alias("now"))).alias("out"))
 
     def step(a, x):
-        deeper = F.filter(x["_levels"], lambda v: v > a["now"])
-        level = F.coalesce(x["_own"], F.get(deeper, 0), x["_levels"][0]).cast("int")
-        return F.struct(level.alias("now"), F.concat(a["out"], F.array(F.struct(x["line_no"].cast("bigint").alias("line_no"), level.alias("level")))).alias("out"))
+        now = F.transform(a["now"], lambda v: below(x["_levels"], v))
+        return F.struct(now.alias("now"), F.concat(a["out"], F.array(F.struct(x["line_no"].alias("line_no"), now.alias("now")))).alias("out"))
 
-    found = steps.select(by, F.inline(F.aggregate("_x", start, step)["out"]))
+    folded = settle(blocks.select(by, "_block", entered.alias("_in"), F.aggregate(F.slice("_x", F.lit(2), F.size("_x")), start, step)["out"].alias("_out")))
+    ends = folded.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_block", "_in", F.element_at("_out", -1)["now"].alias("_end")))).alias("_x"))
+    begin = F.struct(F.lit(0).alias("now"), F.array().cast("array<struct<_block:bigint,_way:int>>").alias("out"))
+
+    def enter(a, x):
+        way = F.array_position(x["_in"], below(x["_in"], a["now"])).cast("int")
+        return F.struct(F.element_at(x["_end"], way).alias("now"), F.concat(a["out"], F.array(F.struct(x["_block"].alias("_block"), way.alias("_way")))).alias("out"))
+
+    ways = ends.select(by, F.inline(F.aggregate("_x", begin, enter)["out"]))
+    found = folded.join(ways, [by, "_block"]).select(by, "_way", F.inline("_out")).select(by, "line_no", F.element_at("now", F.col("_way")).alias("level"))
     return lines.select(by, "line_no").join(found, [by, "line_no"], "left")
 
 

@@ -1,5 +1,7 @@
 """Rules of the migration that the given tables do not show."""
 
+import random
+
 from quire.operators import matching, migration
 from quire.operators.migration import LinkRule
 
@@ -19,6 +21,22 @@ def test_ties_between_levels_go_on_from_the_outline(spark):
     assert migration.classify_lines(df.limit(0), styles).count() == 0
 
 
+def test_levels_go_on_from_block_to_block(spark, monkeypatch):
+    monkeypatch.setattr(migration, "BLOCK", 7)
+    draw = random.Random(5)
+    style = {s: sorted(draw.sample(range(1, 7), draw.choice((1, 2, 3)))) for s in (10, 12, 14, 16)}
+    styles = spark.createDataFrame([(d, v, float(s), "#000", True) for d in (1, 2) for s, vs in style.items() for v in vs], "document_id long, level int, size double, colour string, bold boolean")
+    # Document 1 has tags, document 2 has no line whose level is known.
+    known = [(1, n, draw.choice(list(style)), draw.choice((None, None, None, 1, 4))) for n in range(100)]
+    loose = [(2, n, draw.choice([s for s, v in style.items() if len(v) > 1]), None) for n in range(100)]
+    want, now = {}, {1: 0, 2: 0}
+    for d, n, s, tag in known + loose:
+        levels = [tag] if tag in style[s] else style[s]
+        want[d, n] = now[d] = next((v for v in levels if v > now[d]), levels[0])
+    lines = spark.createDataFrame([(d, n, "A heading", float(s), "#000", True, tag) for d, n, s, tag in known + loose], "document_id long, line_no long, text string, size double, colour string, bold boolean, tagged int")
+    assert {(r.document_id, r.line_no): r.level for r in migration.classify_lines(lines, styles).collect()} == want
+
+
 def test_entries_without_an_honorific(spark):
     known = [("name", "Ann van Lee"), ("role", "Senior Physiotherapist"), ("role", "Medical Director"), ("entry", "Peter Mac Centre and The Royal Hospital, Sydney; Health Service of the North")]
     text = {
