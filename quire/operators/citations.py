@@ -121,8 +121,10 @@ def _last(words: Column, n: int) -> Column:
 
 
 def _listed(keys: DataFrame) -> DataFrame:
-    """(list_id, kind, form, n, r): for every form that an entry can be asked by, how many entries have it and the least of
-    them. Forms are counted before anything is joined with them."""
+    """(list_id, kind, form, n, r): for every form that an entry can be asked by, how many entries have it (0, 1, or 2 for
+    more) and the least of them. Entries of one name and year are one row before they are unfolded into forms, and forms
+    are counted before anything is joined with them; the least and the greatest entry tell one from several."""
+    keys = keys.groupBy("list_id", "name", "year").agg(F.min("reference_id").alias("r"), F.max("reference_id").alias("_most"))
     words = F.split("name", " ")
     form = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("form"))
     dated = lambda text: F.concat(text, F.lit("/"), F.col("year"))
@@ -130,8 +132,10 @@ def _listed(keys: DataFrame) -> DataFrame:
     some = [form("exact", dated(F.col("name"))), form("initials", dated(_initials(words))), form("tail 1", dated(_last(words, 1))), form("year slip", F.col("name"))]
     three = F.when(F.size(words) >= 3, F.array(form("tail 3", dated(_last(words, 3))))).otherwise(F.array(form("none", F.lit(""))))
     plain = F.array(form("year", F.concat("name", F.lit("/"), F.substring("year", 1, 4))))
-    forms = keys.select("list_id", "reference_id", F.explode(F.concat(F.array(*some), heads, three, plain)).alias("f")).select("list_id", "reference_id", "f.*")
-    return forms.filter("kind <> 'none'").groupBy("list_id", "kind", "form").agg(F.countDistinct("reference_id").alias("n"), F.min("reference_id").alias("r"))
+    forms = keys.select("list_id", "r", "_most", F.explode(F.concat(F.array(*some), heads, three, plain)).alias("f")).select("list_id", "r", "_most", "f.*")
+    held = forms.filter("kind <> 'none'").groupBy("list_id", "kind", "form").agg(F.min("r").alias("r"), F.max("_most").alias("_most"))
+    n = F.when(F.col("r").isNull(), 0).when(F.col("r") == F.col("_most"), 1).otherwise(2)
+    return held.select("list_id", "kind", "form", n.alias("n"), "r")
 
 
 def resolve_citations(mentions: DataFrame, keys: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from oracle import TABLES, compare
 from pyspark.sql import functions as F
-from quire.operators import access, matching, nodes, render
+from quire.operators import access, citations, matching, migration, nodes, render
 from quire.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -113,3 +113,11 @@ def test_index_deals_texts_and_not_words(spark, monkeypatch):
     assert rows(postings) == [(1, "boxe", 0, 1), (1, "cat", 1, 1), (1, "eding", 1, 0), (1, "ss", 0, 1), (2, "strase", 0, 1), (2, "wish", 0, 1)]
     plan = kept[0]._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(section_id" in plan and not [x for x in plan.split("\n") if "hashpartitioning(section_id" in x and "term" in x]
+
+
+def test_entries_of_one_name_are_unfolded_once(spark):
+    keys = spark.range(3000).select(F.col("id").alias("reference_id"), F.lit(1).alias("list_id"), F.when(F.col("id") == 7, "red ring of oslo").otherwise("old bolt of rome").alias("name"), F.lit("2018").alias("year"))
+    asked = spark.createDataFrame([(1, 1, "old bolt of rome", "2018"), (2, 1, "red ring", "2018"), (3, 1, "rro", "2018")], "mention long, list_id int, name string, year string")
+    df = citations.resolve_citations(asked, keys)
+    assert rows(df) == [(1, None, "several entries"), (2, 7, "prefix"), (3, 7, "initials")]
+    assert most_rows(df) <= 3000
