@@ -79,7 +79,9 @@ def entry_openings(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     capital, or by two to four capitalised words before a comma that are a known name, or that are no known role and stand
     before one (or before words that end like one, as "Senior Physiotherapist" does for "Physiotherapist"). Names of
     organisations are whole entries and the clauses of entries, which commas and semicolons part; they are compared without
-    case, accents and punctuation. Everything is an equal join on such keys: of clauses with all their beginnings."""
+    case, accents and punctuation. Everything is an equal join on such keys: of clauses with all their beginnings.
+
+    Each distinct text is looked up once; texts without a key meet nothing and are dealt by themselves."""
     known = lexicon.withColumn("key", normalise_key(F.col("text")))
     keys = lambda kind, name: known.filter(F.col("kind") == kind).select(F.col("key").alias(name)).distinct()
     roles = keys("role", "k")
@@ -90,7 +92,11 @@ def entry_openings(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     named = F.size(words).between(2, 4) & F.forall(words, lambda w: w.isin(*PARTICLES) | w.rlike(r"^\p{Lu}")) & rest.isNotNull()
     role = normalise_key(F.regexp_replace(rest, r"\s*\(.*$", ""))
     titled = F.lower(F.trim("text")).rlike(r"^(?:" + "|".join(HONORIFICS) + r")\.?\s") & F.trim("text").rlike(r"^(?:\p{L}+\.?\s+){1,2}\p{Lu}")
-    x = lines.select("line_id", normalise_key(F.col("text")).alias("_key"), F.coalesce(titled, F.lit(False)).alias("_titled"), F.when(named, normalise_key(head)).alias("_name"), F.when(named, role).alias("_role"), F.when(named, _last_word(role)).alias("_tail"))
+    texts = lines.filter("text is not null").select("text").distinct()
+    none = F.concat(F.lit("\0"), F.xxhash64("text").cast("string"))  # is no key, which holds letters, digits and blanks only
+    x = texts.select("text", normalise_key(F.col("text")).alias("_key"), F.coalesce(titled, F.lit(False)).alias("_titled"), F.coalesce(named, F.lit(False)).alias("_named"), head.alias("_head"), role.alias("_said"))
+    name, said = F.when(F.col("_named"), normalise_key("_head")), F.when(F.col("_named"), F.col("_said"))
+    x = x.select("text", "_key", "_titled", "_named", F.coalesce(name, none).alias("_name"), F.coalesce(said, none).alias("_role"), F.coalesce(_last_word(said), none).alias("_tail"))
 
     def flag(df, column, table, name):
         return df.join(table.select(F.col("k").alias(column), F.lit(True).alias(name)), column, "left").withColumn(name, F.coalesce(name, F.lit(False)))
@@ -99,7 +105,7 @@ def entry_openings(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     x = flag(x, "_name", roles, "_is_role")
     x = flag(x, "_role", roles, "_has_role")
     x = flag(x, "_tail", tails, "_like_role")
-    person = F.col("_titled") | F.col("_name").isNotNull() & ~F.col("_is_role") & (F.col("_known") | F.col("_has_role") | F.col("_like_role"))
+    person = F.col("_titled") | F.col("_named") & ~F.col("_is_role") & (F.col("_known") | F.col("_has_role") | F.col("_like_role"))
 
     parts = known.filter("kind = 'entry'").select("key", F.transform(F.split("text", r"\s*[,;]\s*"), normalise_key).alias("p"))
     clauses = parts.select(F.explode("p").alias("k")).filter("length(k) >= 4").distinct()
@@ -108,7 +114,8 @@ def entry_openings(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     begun = clauses.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), " "))).alias("b"), "k")
     begun = begun.filter("b <> k and length(b) >= 5").select(F.col("b").alias("k")).distinct()
     x = flag(flag(x, "_key", whole, "complete"), "_key", begun, "opens")
-    return x.select("line_id", person.alias("person"), "complete", "opens")
+    told = x.select("text", person.alias("person"), "complete", "opens")
+    return lines.select("line_id", "text").join(told, "text", "left").na.fill(False, ["person", "complete", "opens"]).select("line_id", "person", "complete", "opens")
 
 
 def note_windows(nodes: DataFrame, key: str = "document_id") -> DataFrame:

@@ -121,3 +121,26 @@ def test_entries_of_one_name_are_unfolded_once(spark):
     df = citations.resolve_citations(asked, keys)
     assert rows(df) == [(1, None, "several entries"), (2, 7, "prefix"), (3, 7, "initials")]
     assert most_rows(df) <= 3000
+
+
+def test_equal_lines_are_looked_up_once(spark):
+    texts = ["Ann Lee, Gardener", "dr. Ann", "Ring Centre", None]
+    lines = spark.range(2000).select(F.col("id").alias("line_id"), F.get(F.array(*map(F.lit, texts)), F.col("id").cast("int") % 4).alias("text"))
+    known = spark.createDataFrame([("name", "Ann Lee"), ("role", "Gardener"), ("entry", "Ring Centre, Bolt Hall")], "kind string, text string")
+    df = migration.entry_openings(lines, known)
+    assert rows(df) == [(i, i % 4 < 2, i % 4 == 2, False) for i in range(2000)]
+    # Only one join sees every line.
+    joins = []
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        n = plan.metrics().get("numOutputRows")
+        if "Join" in kind and n.isDefined():
+            joins.append(n.get().value())
+        kids = plan.children()
+        for x in ([plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []) + [kids.apply(i) for i in range(kids.size())]:
+            walk(x)
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    assert len([n for n in joins if n > 3]) == 1
