@@ -112,11 +112,15 @@ def lines_in_boxes(lines: DataFrame, boxes: DataFrame, tol: float = 1.0, inside:
 
 
 def coverage_audit(printed: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
-    """(by, word, matched, missing, extra): the two multisets of words, place by place."""
-    p = printed.groupBy(*by, "word").agg(F.count("*").alias("p"))
-    m = model.groupBy(*by, "word").agg(F.count("*").alias("m"))
-    both = p.join(m, [*by, "word"], "full_outer").na.fill(0, ["p", "m"])
-    return both.select(*by, "word", F.least("p", "m").alias("matched"), F.greatest(F.col("p") - F.col("m"), F.lit(0)).alias("missing"), F.greatest(F.col("m") - F.col("p"), F.lit(0)).alias("extra"))
+    """(by, word, matched, missing, extra): the two multisets of words, place by place.
+
+    Both are counted in one grouping, so that words which are dealt by their place already are not dealt again. A word or
+    place that is null equals none on the other side."""
+    keys = [*by, "word"]
+    unknown = F.exists(F.array(*(F.col(k).isNull() for k in keys)), lambda x: x)
+    side = lambda df, p: df.select(*keys, F.lit(p).alias("p"), F.lit(1 - p).alias("m"), F.when(unknown, F.lit(p)).alias("_apart"))
+    both = side(printed, 1).unionByName(side(model, 0)).groupBy(*keys, "_apart").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
+    return both.select(*keys, F.least("p", "m").alias("matched"), F.greatest(F.col("p") - F.col("m"), F.lit(0)).alias("missing"), F.greatest(F.col("m") - F.col("p"), F.lit(0)).alias("extra"))
 
 
 def neighbour_fill(missing: DataFrame, extra: DataFrame, key: str = "doc_id") -> DataFrame:

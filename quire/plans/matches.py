@@ -89,8 +89,9 @@ a AS (SELECT doc_id, word, least(coalesce(p, 0), coalesce(m, 0)) AS matched, gre
 
 
 def _audit(spark, d):
-    w = B.lines(spark, d).select("doc_id", "pos", F.explode(F.split(F.lower("line"), " ")).alias("word")).filter("word <> ''")
-    every = B.lines(spark, d).select("doc_id", "pos", F.explode(F.split(F.lower("line"), " ")).alias("word"))
+    # Lines are dealt by document before they are cut, so that no word is shuffled.
+    every = B.lines(spark, d).repartition("doc_id").select("doc_id", "pos", F.explode(F.split(F.lower("line"), " ")).alias("word"))
+    w = every.filter("word <> ''")
     model = w.filter("pos % 5 <> 1").unionByName(every.filter("pos % 9 = 2").withColumn("word", F.lit("added")))
     return O.coverage_audit(w, model, ["doc_id"])
 

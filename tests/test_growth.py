@@ -144,3 +144,12 @@ def test_equal_lines_are_looked_up_once(spark):
     df.collect()
     walk(df._jdf.queryExecution().executedPlan())
     assert len([n for n in joins if n > 3]) == 1
+
+
+def test_audited_words_are_not_dealt(spark, data):
+    df = QUERIES["coverage_audit"](spark, data)
+    dealt = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if "word" in x]
+    said = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "b")], "page long, word string")
+    got = matching.coverage_audit(said, said.limit(0).unionByName(said.filter("word is null or page is null")), ["page"]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a", 0, 2, 0), (1, None, 0, 1, 0), (1, None, 0, 0, 1), (None, "b", 0, 1, 0), (None, "b", 0, 0, 1)]))
