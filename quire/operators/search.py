@@ -95,7 +95,8 @@ def search_workspace(q: DataFrame, postings: DataFrame, shared: DataFrame, own:
     words = postings.select(F.col("term").alias("word")).distinct().select("word", F.explode(heads).alias("_b"))
     wide = terms.withColumn("_b", F.substring("term", 1, 3)).join(words, "_b").filter(F.col("word").startswith(F.col("term"))).select("query_id", "term", "word")
     hits = postings.withColumnRenamed("term", "word").join(wide, "word").groupBy("query_id", "section_id").agg(F.countDistinct("term").alias("m"), F.sum(F.col("title_tf") * 3 + F.col("body_tf")).alias("s"))
-    hits = hits.join(terms.groupBy("query_id").agg(F.count("*").alias("t")), "query_id").filter("m = t")
+    # Read twice: as they are and at the sections that share them.
+    hits = settle(hits.join(terms.groupBy("query_id").agg(F.count("*").alias("t")), "query_id").filter("m = t").select("query_id", "section_id", "s"))
     there = hits.join(shared, hits["section_id"] == shared["core_id"]).select("query_id", shared["section_id"], "s", F.lit(1).alias("kind"))
     rows = hits.select("query_id", "section_id", "s", F.lit(0).alias("kind")).unionByName(there).groupBy("query_id", "section_id").agg(F.min("kind").alias("kind"), F.max("s").alias("s"))
     order = ("kind", F.desc("s"), "section_id")
