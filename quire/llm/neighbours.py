@@ -25,6 +25,8 @@ from .common import settle
 
 #: Vectors that the projections are fitted on; the most runs of a curve (their borders go to every task).
 FIT_ROWS, MOST_RUNS = 4096, 16_384
+#: What single precision may add to or take from a product of two unit vectors.
+ROUNDED = 1e-5
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -104,9 +106,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
 
     `window` is how many vectors to either side of its place a query meets on each curve, by default width_for() of the
     number of vectors; `run` is the expected number of vectors that one task holds of a curve, twice the window at
-    least. In a run vectors are coded in one byte a component, and go with
-    the length of what the code leaves out, so that each window gives bounds of every cosine; whatever may belong to the
-    window's k + 1 best goes on, and whatever of these may belong to the k + 1 best of all windows is reranked exactly.
+    least. In a run vectors are coded in two bytes a component, and go with
+    the length of what the code leaves out, so that each window gives bounds of every cosine, the tighter the nearer the
+    vectors are; whatever may belong to the window's k + 1 best goes on, and whatever of these may belong to the k + 1 best
+    of all windows is reranked exactly.
     """
     vec = F.col(vector_col)
     whole = F.col(id_col).isNotNull() & vec.isNotNull() & (F.size(vec) > 0)
@@ -132,10 +135,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
         def keys(it):
             for pdf in it:
                 unit = _unit(_matrix(pdf["v"]))
-                scale = np.abs(unit).max(1) / 127
-                code = np.rint(unit / scale[:, None]).astype(np.int8)
+                scale = np.abs(unit).max(1) / 32767
+                code = np.rint(unit / scale[:, None]).astype(np.int16)
                 # With these lengths x and y left out of two unit vectors a cosine is off by at most x + y + x * y.
-                left = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(1)) + 1e-6
+                left = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(1)) + 1e-9
                 for c in range(curves):
                     # Vectors of one cell are told apart by a hash of their id, so that a crowded cell can be split.
                     tie = pdf["h"].to_numpy() & ((1 << tie_bits) - 1)
@@ -160,22 +163,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 24, window:
     # A window may reach over a border: a query visits the runs on both sides of its own.
     asked = asked.withColumn("run", F.explode(F.array(F.col("run") - 1, F.col("run"), F.col("run") + 1)))
 
+    def kth(low: np.ndarray) -> float:
+        """What the k + 1 best are known to reach."""
+        return np.partition(low, len(low) - keep)[len(low) - keep] if len(low) > keep else -np.inf
+
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             right = right.sort_values(["key", "id"], ignore_index=True)
-            decode = lambda x: np.stack([np.frombuffer(b, np.int8) for b in x["code"]]).astype(np.float32) * x["scale"].to_numpy(np.float32)[:, None]
+            decode = lambda x: np.stack([np.frombuffer(b, np.int16) for b in x["code"]]) * x["scale"].to_numpy()[:, None]
             data, ids, questions = decode(right), right["id"].to_numpy(), decode(left)
-            off = right["left"].to_numpy()
+            rough, off = data.astype(np.float32), right["left"].to_numpy()
             at = np.searchsorted(right["key"].to_numpy(), left["key"].to_numpy())
             for query, place, q, mine in zip(left["id"], at, questions, left["left"].to_numpy()):
                 lo, hi = max(0, place - window), min(len(ids), place + window)
                 if lo < hi:
-                    s, e = (data[lo:hi] @ q).astype(np.float64), mine + off[lo:hi] * (1 + mine)
-                    low = s - e
-                    least = np.partition(low, len(low) - keep)[len(low) - keep] if len(low) > keep else -np.inf
-                    best = np.flatnonzero(s + e >= least)
-                    out.append(pd.DataFrame({"query_id": query, "p": ids[lo:hi][best], "low": low[best], "high": (s + e)[best]}))
+                    s, e = (rough[lo:hi] @ q.astype(np.float32)).astype(np.float64), mine + off[lo:hi] * (1 + mine) + ROUNDED
+                    best = np.flatnonzero(s + e >= kth(s - e))
+                    # A distance is off by at most what both codes leave out, so a cosine by that times the distance.
+                    apart, e = np.sqrt(((data[lo:hi][best] - q) ** 2).sum(1)), mine + off[lo:hi][best]
+                    low, high = 1 - (apart + e) ** 2 / 2, 1 - np.maximum(apart - e, 0) ** 2 / 2
+                    last = high >= kth(low)
+                    out.append(pd.DataFrame({"query_id": query, "p": ids[lo:hi][best[last]], "low": low[last], "high": high[last]}))
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "p": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})
         return pd.concat(out) if out else empty
 

@@ -56,6 +56,17 @@ def test_more_near_copies_than_asked_for(spark):
     assert sorted(i for i, _ in got[150].values()) == [151, 152, 153, 154, 155]
 
 
+def test_near_copies_do_not_go_on_by_whole_windows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 64)).astype(np.float32)
+    v[:1000] = v[0] + rng.normal(size=(1000, 64)).astype(np.float32) * 0.07  # cosines of about 0.995
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    met = []
+    monkeypatch.setattr(neighbours, "settle", lambda df, own=neighbours.settle: (kept := own(df), met.append(kept.count() if "low" in df.columns else 0))[0])
+    got = neighbours.nearest(frame, F.col("vec_id") % 50 == 0, curves=6, window=400, run=800).collect()
+    assert len(got) == 30 * 5 and 0 < max(met) <= 30 * 6 * 3 * 8
+
+
 def test_window_of_a_small_share(spark):
     rng = np.random.default_rng(9)
     centre = rng.normal(size=(300, 16))
