@@ -10,6 +10,8 @@ from ..functions.text import fold_accents, fold_word, stem_title
 from .versions import diversify
 
 K1, B, TITLE, BODY = 1.2, 0.75, 3.0, 1.0
+#: Pairs of a query and a term's posting that a task scores.
+PORTION = 1_000_000
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -32,6 +34,22 @@ def build_index(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, sections.select("section_id").join(sums, "section_id", "left").na.fill({"length": 0})
 
 
+def asked_postings(sections: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """build_index() for the asked terms (query_id, at, term) alone: their postings, and all lengths, in one pass over the
+    texts. section_id is a key. Only words that are asked for are shuffled."""
+    wanted = settle(terms.select("term").distinct())
+    found = lambda text: F.coalesce(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), 0), F.array().cast("array<string>"))
+    cut = sections.select("section_id", found("title").alias("title"), found("body").alias("body"))
+    kinds = F.array(F.struct(F.lit(1).alias("t"), F.col("title").alias("w")), F.struct(F.lit(0).alias("t"), F.col("body").alias("w")))
+    length = F.size("title") + F.size("body")
+    # A section's length stands in a row of its own, without a term.
+    kinds = F.concat(kinds, F.array(F.struct(length.alias("t"), F.array(F.lit(None).cast("string")).alias("w"))))
+    words = cut.select("section_id", F.explode(kinds).alias("x")).select("section_id", "x.t", F.explode("x.w").alias("w")).select("section_id", "t", fold_word(F.col("w")).alias("w")).select("section_id", "t", stem_title(F.col("w")).alias("term"))
+    kept = words.join(wanted.withColumn("_asked", F.lit(True)), "term", "left").filter("_asked or term is null")
+    held = settle(kept.groupBy("section_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("body_tf")))
+    return held.filter("term is not null"), held.filter("term is null").select("section_id", F.col("title_tf").alias("length"))
+
+
 def reindex(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index with the rows of changed sections replaced by fresh ones."""
     return index.join(changed.select("section_id").distinct(), "section_id", "left_anti").unionByName(fresh)
@@ -49,22 +67,37 @@ def search_published(q: DataFrame, postings: DataFrame, lengths: DataFrame, owne
     owner: (section_id, document_id). Scores are rounded before ranking; ties go to the smaller section id.
     """
     terms = parse_terms(q)
-    stats = lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    # The postings of the asked terms only, read once for counts and for scores.
-    held = settle(postings.join(terms.select("query_id", "term"), "term"))
-    df = held.select("section_id", "term").distinct().groupBy("term").agg(F.count("*").alias("_df"))
-    x = held.join(df, "term").join(lengths, "section_id").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
+    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
+    count = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
+    size = terms.groupBy("query_id").agg(F.count("*").alias("_t"))
+    told = settle(terms.join(count, "term").join(size, "query_id").select("query_id", "term", "_df", "_t"))
+    at = lengths.join(owner, "section_id").select("section_id", "length", "document_id")
+    idf = F.greatest(F.log((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
     tf = TITLE * F.col("title_tf") + BODY * F.col("body_tf")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    hits = x.groupBy("query_id", "section_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("_m"))
-    hits = hits.join(terms.groupBy("query_id").agg(F.count("*").alias("_t")), "query_id")
-    best = F.max(F.col("_m") == F.col("_t")).over(Window.partitionBy("query_id"))
-    hits = hits.withColumn("_all", best).filter(~F.col("_all") | (F.col("_m") == F.col("_t")))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id"))).join(owner, "section_id")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    score = F.round(F.sum(part), 6).alias("score")
+    # Sections with all terms hold the rarest one, so they are looked for among its postings alone.
+    rare = told.groupBy("query_id").agg(F.min(F.struct("_df", "term"))["term"].alias("term"))
+    near = settle(postings.select("section_id", "term").join(rare, "term").select("query_id", "section_id"))
+    full = near.join(told, "query_id").join(postings, ["section_id", "term"]).join(at, "section_id").groupBy("query_id", "section_id", "document_id")
+    hits = settle(full.agg(score, F.count("*").alias("_m"), F.max("_t").alias("_t")).filter("_m = _t").drop("_m", "_t"))
+    told = settle(told.join(hits.select("query_id").distinct(), "query_id", "left_anti"))
+    pairs = told.agg(F.sum("_df")).first()[0]
+    if pairs:  # queries that no section answers whole
+        # A section's terms meet the queries in the task that holds the section, so that only the best of a task are moved.
+        parts = -(-pairs // PORTION)
+        x = postings.repartition(parts, "section_id").join(at.repartition(parts, "section_id"), "section_id").join(told, "term")
+        hits = hits.unionByName(_best_within(x.groupBy("query_id", "section_id", "document_id").agg(score), k))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id")))
     return diversify(ranked, "document_id", per_document).filter(F.col("place") <= k).select("query_id", "place", "section_id", "score")
 
 
+def _best_within(hits: DataFrame, k: int) -> DataFrame:
+    """The k best sections of each query and document: what comes after them has k sections before it in any case."""
+    w = Window.partitionBy("query_id", "document_id").orderBy(F.desc("score"), "section_id")
+    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+
+
 def snippet(hits: DataFrame, terms: DataFrame, sections: DataFrame, width: int = 24) -> DataFrame:
     """(query_id, section_id, snippet): the first window of `width` words with the most matches, matches in brackets."""
     stem = lambda w: stem_title(F.regexp_replace(fold_accents(w), r"[^\p{L}\p{N}]", ""))

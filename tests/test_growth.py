@@ -153,3 +153,28 @@ def test_audited_words_are_not_dealt(spark, data):
     said = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "b")], "page long, word string")
     got = matching.coverage_audit(said, said.limit(0).unionByName(said.filter("word is null or page is null")), ["page"]).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a", 0, 2, 0), (1, None, 0, 1, 0), (1, None, 0, 0, 1), (None, "b", 0, 1, 0), (None, "b", 0, 0, 1)]))
+
+
+def test_search_looks_for_all_terms_among_the_rarest(spark, monkeypatch):
+    from quire.operators import search
+
+    text = F.when(F.col("id") == 7, "red dog").when(F.col("id") == 8, "Red dogs red").otherwise("red")
+    sec = spark.range(2000).select(F.col("id").alias("section_id"), F.lit("t").alias("document_id"), F.lit("").alias("title"), text.alias("body"))
+    q = spark.range(100).select(F.col("id").alias("query_id"), F.when(F.col("id") == 0, "cat red").otherwise("red dog").alias("text"))
+    monkeypatch.setattr(search, "settle", lambda df: df)  # one plan
+    out = search.search_published(q, *search.build_index(sec), sec.select("section_id", "document_id")).select("query_id", "place", "section_id")
+    got = rows(out)
+    assert got[:20] == [(0, i + 1, i) for i in range(20)]  # equal scores
+    assert [r[2] for r in got[20:]] == [8, 7] * 99 or [r[2] for r in got[20:]] == [7, 8] * 99
+    assert most_rows(out) <= 10000
+
+
+def test_asked_postings_are_those_of_the_index(spark):
+    from quire.operators import search
+
+    sec = spark.createDataFrame([(1, "Éding cats", "Cats boxes ss"), (2, None, "straße wished cat"), (3, None, None), (4, "x", "")], "section_id long, title string, body string")
+    terms = search.parse_terms(spark.createDataFrame([(5, "Cat strasse boxed"), (6, "cat none")], "query_id long, text string"))
+    postings, lengths = search.build_index(sec)
+    asked = {r.term for r in terms.collect()}
+    got, sizes = search.asked_postings(sec, terms)
+    assert rows(got) == [r for r in rows(postings) if r[1] in asked] and rows(sizes) == rows(lengths)
