@@ -253,12 +253,12 @@ def reviewable_changes(draft: DataFrame, published: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         out = settle(out.unionByName(level))
-    both = draft.join(p, key, "left").join(parent, ["document_id", "parent_id"], "left")
-    shown = both.join(out, key, "left_anti")
-    text = shown.withColumn("change", F.when(F.col("_was").isNull(), "new").when(~F.col("_h").eqNullSafe(F.col("body_hash")), "changed")).filter("change is not null")
+    # One pass tells both: what is removed is left out, so no section is changed and removed.
+    both = draft.join(p, key, "left").join(out.distinct().withColumn("_out", F.lit(True)), key, "left").join(parent, ["document_id", "parent_id"], "left")
+    text = F.when(F.col("_was").isNull(), "new").when(~F.col("_h").eqNullSafe(F.col("body_hash")), "changed")
     top = F.col("hidden") & ~F.coalesce("_up", F.lit(False)) & ~F.col("apparatus") & ~F.coalesce("_hid", F.lit(False))
-    gone = both.filter(top).withColumn("change", F.lit("removed"))
-    return text.unionByName(gone).select("document_id", "section_id", "order_index", "change", "body_hash")
+    change = F.when(top, "removed").when(F.col("_out").isNull(), text)
+    return both.withColumn("change", change).filter("change is not null").select("document_id", "section_id", "order_index", "change", "body_hash")
 
 
 def changes_union(changes: DataFrame) -> DataFrame:

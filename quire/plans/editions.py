@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import versions as O
 from ..sources import bindings as B
+from ..sources.settled import settle
 from .registry import register
 
 _DRAFT = """draft AS (SELECT s.*, v.document_id FROM version_sections s JOIN versions v USING (version_id) WHERE v.status = 'draft'),
@@ -231,8 +232,8 @@ changes AS (
   WHERE (NOT d.hidden AND NOT d.beneath AND (p.section_id IS NULL OR p.body_hash <> d.body_hash)) OR (d.hidden AND NOT d.under AND NOT coalesce(p.hidden, false)))"""
 
 
-def changes(spark, d):
-    draft, published = sides(spark, d)
+def changes(spark, d, both=None):
+    draft, published = both or sides(spark, d)
     return O.reviewable_changes(draft.withColumn("parent_id", F.nullif(F.expr("section_id div 2"), F.lit(0))), published)
 
 
@@ -281,10 +282,11 @@ def _(spark, d):
 @register("needs_attention", _VP + "," + _CHANGES + """, c AS (SELECT c.*, i.decision FROM changes c LEFT JOIN dpins i USING (document_id, section_id)), r AS (SELECT document_id, CASE WHEN count(*) FILTER (decision = 'changes_requested') > 0 THEN 'changes_requested' WHEN count(decision) = count(*) THEN 'approved' END AS d FROM dpins GROUP BY 1)
   SELECT c.document_id, c.section_id FROM c LEFT JOIN r USING (document_id) WHERE r.document_id IS NULL OR (r.d IS NULL AND c.decision IS NULL) OR (r.d IS NOT NULL AND c.decision = 'changes_requested')""")
 def _(spark, d):
-    draft, _p = sides(spark, d)
+    draft, published = sides(spark, d)
+    draft = settle(draft)  # read for the changes and, three times, for the pins
     i = pins(draft).withColumn("review_id", F.col("document_id"))
     state = O.review_state(i.select("review_id").distinct(), i).withColumnRenamed("review_id", "document_id")
-    c = changes(spark, d).join(pins(draft).select("document_id", "section_id", "decision"), ["document_id", "section_id"], "left")
+    c = changes(spark, d, (draft, published)).join(pins(draft).select("document_id", "section_id", "decision"), ["document_id", "section_id"], "left")
     return O.needs_attention(c, state)
 
 

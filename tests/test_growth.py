@@ -178,3 +178,8 @@ def test_asked_postings_are_those_of_the_index(spark):
     asked = {r.term for r in terms.collect()}
     got, sizes = search.asked_postings(sec, terms)
     assert rows(got) == [r for r in rows(postings) if r[1] in asked] and rows(sizes) == rows(lengths)
+
+
+def test_what_needs_attention_sorts_the_lines_once(spark, data):
+    plan = QUERIES["needs_attention"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1  # the rest is read from the settled draft
