@@ -9,6 +9,7 @@ from ..operators import citations as C
 from ..operators import nodes as O
 from ..operators import render as R
 from ..sources import bindings as B
+from ..sources.settled import settle
 from .registry import register
 
 _LEAF = """leaf AS (SELECT l.doc_id AS document_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.pos) - 1 AS k, m.reference_id,
@@ -152,7 +153,7 @@ def _(spark, d):
 def _(spark, d):
     """Sources are documents whose sections are their texts. Each has a draft, whose headings cite what the text cites first,
     two frozen editions without headings, and a version that is still a draft."""
-    said = B.mentions(spark, d)
+    said = settle(B.mentions(spark, d))  # read for the headings, the bodies and the ids that are asked for
     head = said.groupBy(F.col("document_id").alias("doc_id")).agg(F.array(F.min_by("reference_id", "pos")).alias("head"))
     states = F.array(*(F.struct(F.lit(v).cast("long").alias("no"), F.lit(status).alias("status")) for v, status in ((None, "none"), (1, "archived"), (2, "published"), (3, "draft"))))
     docs = B.read(spark, d, "documents").select("doc_id", "source").join(head, "doc_id", "left")
@@ -160,8 +161,9 @@ def _(spark, d):
     version = F.when(F.col("v.no").isNotNull(), F.concat_ws("/", "source", "v.no"))
     sections = x.select("section_id", F.col("source").alias("document_id"), version.alias("version_id"), F.col("doc_id").alias("address"), F.when(F.col("v.no").isNull(), F.col("head")).alias("title_citations"))
     versions = x.filter("v.no is not null").select(version.alias("version_id"), F.col("v.no").alias("version_no"), F.col("v.status").alias("status")).distinct()
-    copies = nodes(spark, d).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("no"))
-    return C.citing_places(B.references(spark, d).filter("id >= '3'").select(F.col("id").alias("reference_id")), sections, copies.withColumn("section_id", F.concat_ws("/", "document_id", "no")), versions)
+    copies = O.explode_body(B.bodies(spark, d, said)).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("no"))
+    asked = said.filter("reference_id >= '3'").select("reference_id").distinct()  # every reference is a line that is cited
+    return C.citing_places(asked, sections, copies.withColumn("section_id", F.concat_ws("/", "document_id", "no")), versions)
 
 
 @register("reference_successors", """WITH RECURSIVE v AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),

@@ -183,3 +183,13 @@ def test_asked_postings_are_those_of_the_index(spark):
 def test_what_needs_attention_sorts_the_lines_once(spark, data):
     plan = QUERIES["needs_attention"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 1  # the rest is read from the settled draft
+
+
+def test_citing_places_looks_for_mentions_once(spark, data, monkeypatch):
+    from quire.sources import bindings
+
+    asked = []
+    for name in ("mentions", "references"):  # each deals every line by its text
+        monkeypatch.setattr(bindings, name, lambda *a, own=getattr(bindings, name): asked.append(1) or own(*a))
+    assert compare(spark, data, QUERIES["citing_places"], SQL["citing_places"]) == "ok"
+    assert len(asked) == 1
