@@ -41,3 +41,14 @@ def test_bodies_hold_every_line_whole(spark, corpus):
     assert text == {i: "\n".join(re.sub(r"[ \t]+", " ", t) for d, _, t, r in every if d == i and not r) for i in held}
     cited = sorted((r.document_id, r.path, r.reference_id) for r in QUERIES["repoint_citations"](spark, path).collect())
     assert cited == sorted((i, f"{k}.0", "new-" + r if r < "8" else r) for i, k, _, r in every if r)
+
+
+def test_instructions_hold_the_rows_of_every_level(spark, data):
+    table = lambda name: spark.read.parquet(f"{data}/{name}.parquet").collect()
+    region = {n.n_nationkey: n.n_regionkey for n in table("nation") if n.n_nationkey % 2 == 0}
+    home = {c.c_custkey: region[c.c_nationkey] for c in table("customer") if c.c_nationkey in region}
+    held = [(f"n{k}", r, 0) for k, r in region.items()] + [(f"c{k}", r, 1) for k, r in home.items()]
+    held += [(f"o{o.o_orderkey}", home[o.o_custkey], 2) for o in table("orders") if o.o_custkey in home]
+    want = sorted((s.s_suppkey, i, level) for s in table("supplier") for i, r, level in held if r == s.s_suppkey % 5)
+    got = registry.queries()["instructions_outline"](spark, data).select("document_id", "id", "level")
+    assert sorted(map(tuple, got.collect())) == want
