@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import step_of_address
-from ..sources.settled import release, settle
+from ..sources.settled import is_settled, release, settle
 from .render import SUBJECTS, has_mark, placeholder_label, subject_form
 
 #: Levels beyond which a body is taken to be broken.
@@ -26,7 +26,8 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
     marks are JSON text. Bodies that are no JSON have no nodes.
 
     Every level is a generator over the children of the one before, in the same task, so nodes are not moved, and each is
-    written once, without what is below it; brackets in the text bound the number of levels.
+    written once, without what is below it; brackets in the text bound the number of levels. Bodies are written once as
+    they came, not at all where df is settled.
     """
     strings = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*"', "")
     step = lambda a, c: F.when(c == "[", a["n"] + 1).otherwise(a["n"] - 1)
@@ -34,8 +35,9 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
         F.split(F.regexp_replace(strings, r"[^\[\]]+", ""), "(?<=.)(?=.)"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("most")),
         lambda a, c: F.struct(step(a, c).alias("n"), F.greatest(a["most"], step(a, c)).alias("most")),
     )["most"]
-    whole = settle(df.select(key, F.try_parse_json(body).alias("node"), nest.alias("nest")).filter("node is not null"))
-    bound = whole.agg(F.max("nest")).first()[0] or 0
+    held = df if is_settled(df) else settle(df.select(key, body))
+    bound = held.agg(F.max(nest)).first()[0] or 0
+    whole = held.select(key, F.explode(F.array_compact(F.array(F.try_parse_json(body)))).alias("node"))
 
     get = lambda node, p: F.try_variant_get(node, p, "string")
     json = lambda node, p: F.to_json(F.try_variant_get(node, p, "variant"))
@@ -54,7 +56,8 @@ def explode_body(df: DataFrame, body: str = "body_json", key: str = "document_id
     if bound >= DEEPEST and not at.filter(F.size("path") >= DEEPEST).isEmpty():
         raise ValueError(f"bodies nest deeper than {DEEPEST} levels")
     out = settle(at.select(key, "path", "type", "text", "attrs", "parent_type", "marks", "above"))
-    release(whole)
+    if held is not df:
+        release(held)
     return out
 
 

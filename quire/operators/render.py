@@ -61,60 +61,59 @@ def publish_body(nodes: DataFrame, documents: DataFrame, key: str = "document_id
 
     Guidance goes with all that is below it. Texts marked as instructions go; the blanks before them go too where the
     sentence ends there or goes on with a blank or punctuation. A bracketed subject gives way to the document's, the stop
-    after it stays. A holder that lost something and has only its band left goes too. Everything is told from rows, by
-    equal paths, so the work follows the number of nodes."""
-    known = nodes.join(documents.select(key, "subject", F.coalesce("template", F.lit(False)).alias("_t")), key, "left")
-    own = known.filter(F.coalesce("_t", F.lit(True))).select(*nodes.columns)
-    open_ = known.filter(~F.coalesce("_t", F.lit(True)))
-
-    instruction = (F.col("type") == "text") & has_mark("instruction")
-    beneath = F.array_contains("above", "guidance")
-    marked = open_.filter(~beneath).withColumn("_cut", (F.col("type") == "guidance") | instruction).withColumn("_ins", instruction)
-    marked = settle(marked.withColumn("_up", F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).withColumn("_at", F.element_at(F.concat(F.array(F.lit(-1)), "path"), -1)))
-
-    # The sentence around an instruction: the next sibling, and the next that stays.
-    siblings = Window.partitionBy(key, "_up").orderBy("_at")
-    later = siblings.rowsBetween(1, Window.unboundedFollowing)
-    follows = F.first(F.when(~F.col("_ins"), F.struct("type", F.coalesce("text", F.lit("")).alias("text"))), ignorenulls=True).over(later)
-    inline = marked.filter("type = 'text'").select(key, "_up").distinct()
-    near = marked.filter("size(path) > 0").join(inline, [key, "_up"], "left_semi")
-    near = near.withColumn("_next", F.coalesce(F.lead("_ins").over(siblings), F.lit(False))).withColumn("_then", follows)
-    closes = F.col("_then").isNull() | (F.col("_then.type") == "text") & F.col("_then.text").rlike(r"^[\s.,;:)]")
-    near = near.withColumn("_shut", F.col("_next") & ~F.col("_ins") & (F.col("type") == "text") & closes)
-    # Siblings of texts come from `near`, all other nodes from `marked`.
-    rest = marked.join(inline, [key, "_up"], "left_anti").withColumn("_shut", F.lit(False))
-    rest = rest.unionByName(marked.filter("size(path) = 0").join(inline, [key, "_up"], "left_semi").withColumn("_shut", F.lit(False)))
-    both = rest.unionByName(near.drop("_next", "_then"))
-
-    trimmed = F.when(F.col("_shut"), F.regexp_replace("text", r"\s+$", "")).otherwise(F.col("text"))
-    both = both.withColumn("text", trimmed).withColumn("_cut", F.col("_cut") | F.col("_shut") & (F.col("text") == ""))
+    after it stays. A holder that lost something and has only its band left goes too.
+
+    Nodes are dealt by bodies once; all else is told by sorts within the parts: among siblings, among the nodes that tell of
+    a holder, and in document order."""
+    known = nodes.repartition(F.col(key)).join(documents.select(key, "subject", (~F.coalesce("template", F.lit(False))).alias("_open")), key, "left")
+    known = known.withColumn("_open", F.coalesce("_open", F.lit(False)))
+    kind = lambda *names: F.coalesce(F.col("type").isin(*names), F.lit(False))
+    known = known.filter(~(F.col("_open") & F.array_contains("above", "guidance")))
+    known = known.withColumn("_ins", F.col("_open") & kind("text") & has_mark("instruction")).withColumn("_goes", F.col("_ins") | F.col("_open") & kind("guidance"))
+    above = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    known = known.withColumn("_up", F.when(F.size("path") > 0, above)).withColumn("_at", F.get("path", F.size("path") - 1))
+
+    # The sentence around an instruction: the next sibling, and whether the next that stays closes it.
+    later = Window.partitionBy(key, "_up").orderBy(F.desc("_at"))
+    close = kind("text") & F.coalesce("text", F.lit("")).rlike(r"^[\s.,;:)]")
+    then = F.last(F.when(~F.col("_ins"), close), ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1))
+    near = known.withColumns({"_next": F.lag("_ins", 1, False).over(later), "_then": F.coalesce(then, F.lit(True)), "_last": F.row_number().over(later) == 1})
+    shut = F.col("_next") & ~F.col("_ins") & kind("text") & F.col("_then")
+    near = near.withColumn("_shut", shut).withColumn("text", F.when(F.col("_shut"), F.regexp_replace("text", r"\s+$", "")).otherwise(F.col("text")))
+    near = near.withColumn("_cut", F.col("_goes") | F.col("_shut") & (F.coalesce("text", F.lit("")) == ""))
+
     label, text = placeholder_label(), F.coalesce("text", F.lit(""))
     stop, named = subject_form(text), subject_form(label)
-    subject = (F.col("type") == "text") & label.isNotNull() & (named.isNotNull() | stop.isNotNull())
+    subject = F.col("_open") & kind("text") & label.isNotNull() & (named.isNotNull() | stop.isNotNull())
     blank = lambda pattern: F.regexp_extract(text, pattern, 0)
     filled = F.when(stop.isNotNull(), F.concat(blank(r"^\s*"), "subject", stop, blank(r"\s*$"))).otherwise(F.col("subject"))
     # As a variant, marks keep whatever attributes they have.
     loose = F.filter(F.from_json("marks", "array<variant>"), lambda m: F.coalesce(F.try_variant_get(m, "$.type", "string") != "placeholder", F.lit(True)))
     left = F.when(subject, F.when(F.size(loose) > 0, F.to_json(loose))).otherwise(F.col("marks"))
     written = F.when(subject, filled).otherwise(F.col("text"))
-    shown = settle(both.withColumns({"text": written, "marks": left}).select(*nodes.columns, "_cut"))
 
-    # Holders: how many of the innermost types above a node are holders; so far up it keeps them or is missed.
+    # A holder's chain: the holders above a node, up to the first that is none. A holder at the lower end of its chains is
+    # whole where nothing was cut from it; one further up has a whole one below it where there are more holders in it than
+    # groups of siblings that hold a holder or lost a node.
+    holder = kind(*HOLDERS)
+    siblings = Window.partitionBy(key, "_up")
+    shown = near.withColumns({"text": written, "marks": left, "_holder": holder})
+    shown = shown.withColumn("_poor", F.col("_last") & F.max(F.col("_holder") | F.col("_cut")).over(siblings))
     run = F.aggregate(F.reverse("above"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, t: F.struct(F.when(a["go"] & t.isin(*HOLDERS), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["go"] & t.isin(*HOLDERS)).alias("go")))["n"]
-    chained = shown.withColumn("_run", run).filter("_run > 0 or type in ('" + "','".join(HOLDERS) + "')")
-    up = lambda rows: rows.filter("_run > 0").select(key, F.explode(_prefixes(F.size("path") - F.col("_run"))).alias("path")).distinct()
-    holder = F.col("type").isin(*HOLDERS)
-    lost = up(chained.filter("_cut"))
-    alive = up(chained.filter(~F.col("_cut") & ~holder & (F.col("type") != "banner")))
-    # A holder with nothing but a band that lost nothing stays, and keeps those around it.
-    still = chained.filter(holder).join(lost, [key, "path"], "left_anti")
-    alive = alive.unionByName(still.select(key, "path")).unionByName(up(still)).distinct()
-    gone = settle(chained.filter(holder).select(key, "path").join(lost, [key, "path"], "left_semi").join(alive, [key, "path"], "left_anti"))
-    # Bands and what they hold go with their holder.
-    inside = shown.filter(F.exists("above", lambda t: t.isin(*HOLDERS))).select(key, "path", F.explode(_prefixes(F.lit(0))).alias("_p"))
-    under = inside.join(gone.withColumnRenamed("path", "_p"), [key, "_p"], "left_semi").select(key, "path")
-    kept = shown.filter(~F.col("_cut")).join(gone.unionByName(under).distinct(), [key, "path"], "left_anti")
-    return own.unionByName(kept.select(*nodes.columns))
+    in_holder = F.col("_open") & F.coalesce(F.get("above", F.size("above") - 1).isin(*HOLDERS), F.lit(False))
+    chain = F.when(in_holder, _prefixes(F.size("path") - run)).otherwise(F.array().cast("array<array<int>>"))
+    told = shown.select("*", F.posexplode(F.concat(F.array("path"), chain)).alias("_n", "_of"))
+    itself = F.col("_n") == 0
+    told = told.withColumns({c: F.when(itself, F.col(c)) for c in ("text", "attrs", "marks", "parent_type", "above", "path")})
+
+    of = Window.partitionBy(key, "_of")
+    lost = F.max(~itself & F.col("_cut")).over(of)
+    full = F.max(~itself & ~F.col("_cut") & ~F.col("_holder") & ~kind("banner")).over(of)
+    whole = F.sum(F.col("_holder").cast("int") - (~itself & F.col("_poor")).cast("int")).over(of)
+    told = told.withColumn("_gone", F.col("_open") & F.col("_holder") & lost & ~full & (whole <= 0)).filter(itself)
+    # What stands before the end of a holder that went, in document order, goes with it.
+    end = F.max(F.when(F.col("_gone"), F.concat("path", F.array(F.lit(2**31 - 1))))).over(Window.partitionBy(key).orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return told.withColumn("_end", end).filter(~F.col("_cut") & ~F.coalesce(F.col("_end") >= F.col("path"), F.lit(False))).select(*nodes.columns)
 
 
 def publishable_text(nodes: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
@@ -204,18 +203,19 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, snapshots: DataFrame |
     Folded from the deepest level upwards: in each step the texts of a level are collected by their parents. Nodes are dealt
     by bodies once, so that the steps that follow move and write nothing."""
     spark = nodes.sparkSession
+    nodes = settle(nodes)
     number = numbers.select(key, "reference_id", "number")
     cited = nodes.filter("type = 'citation'").withColumn("reference_id", _attribute("referenceId")).join(number, [key, "reference_id"], "left").drop("reference_id")
     have = nodes.filter("type is null or type <> 'citation'").withColumn("number", F.lit(None).cast(numbers.schema["number"].dataType)).unionByName(cited)
     have = have.join(snapshots.select(key, "snapshot"), key, "left") if snapshots is not None else have.withColumn("snapshot", F.lit(None).cast("string"))
     told = ["type", "text", "attrs", "marks", "number", "snapshot"]
-    have = settle(have.select(key, "path", F.struct(*told).alias("own"), F.size("path").alias("depth")))
+    have = have.select(key, "path", F.struct(*told).alias("own"), F.size("path").alias("depth"))
     first, second = _texts()
     kid = F.struct(F.element_at("path", -1).alias("at"), "type", "inline", "block", "body", "cells")
     kind = "struct<at:int,type:string,inline:string,block:string,body:string,cells:array<string>>"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done = None
-    for depth in range(have.agg(F.max("depth")).first()[0] or 0, -1, -1):
+    for depth in range(nodes.agg(F.max(F.size("path"))).first()[0] or 0, -1, -1):
         level = have.filter(F.col("depth") == depth).select(key, "path", "own").repartition(parts, key)
         if done is None:
             level = level.withColumn("kids", F.array().cast(f"array<{kind}>"))

@@ -6,6 +6,7 @@ from oracle import TABLES, compare
 from pyspark.sql import functions as F
 from quire.operators import access, citations, matching, migration, nodes, render
 from quire.plans import registry
+from quire.sources import settled
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -193,3 +194,26 @@ def test_citing_places_looks_for_mentions_once(spark, data, monkeypatch):
         monkeypatch.setattr(bindings, name, lambda *a, own=getattr(bindings, name): asked.append(1) or own(*a))
     assert compare(spark, data, QUERIES["citing_places"], SQL["citing_places"]) == "ok"
     assert len(asked) == 1
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_published_nodes_are_dealt_once(spark, monkeypatch):
+    written = []
+    body = '{"content":[{"type":"box","content":[{"type":"banner"},{"type":"list","content":[{"type":"guidance"}]}]},{"type":"list"},{"content":[{"type":"text","text":"a"}]}]}'
+    made = nodes.explode_body(spark.createDataFrame([(1, body), (2, body)], "document_id long, body_json string"))
+    monkeypatch.setattr(render, "settle", lambda df: written.append(1) or df)
+    out = render.publish_body(made, spark.createDataFrame([(1, "s", None), (2, "s", True)], "document_id long, subject string, template boolean"))
+    assert not written and len([x for x in exchanges(out) if "REPARTITION" in x]) == 1 and len(exchanges(out)) <= 2
+    # Nodes without a type stay, the list that lost all goes with its box, the one that never had anything stays.
+    assert rows(out.filter("document_id = 1").select("path", "type")) == [([], None), ([1], "list"), ([2], None), ([2, 0], "text")]
+    assert out.filter("document_id = 2").count() == 8
+
+
+def test_published_texts_leave_their_nodes_in_place(spark, data, monkeypatch):
+    kept = []
+    monkeypatch.setattr(nodes, "settle", lambda df, own=nodes.settle: kept.append(1) or own(df))
+    df = QUERIES["publishable_text"](spark, data)
+    assert len(kept) == 2 and len(exchanges(df)) <= 2  # bodies and nodes are written, nodes and documents dealt
