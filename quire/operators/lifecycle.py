@@ -76,9 +76,14 @@ def freeze_bodies(sections: DataFrame, documents: DataFrame, before: DataFrame)
     last_changed_version_no). Bodies are published, hashed and rendered; citations are numbered through the document over
     its sections that are shown, others have no number there. A section whose hash and hidden flag stay keeps the version
     that last changed it. Sections without a body have an empty text and no hash."""
+    return carried_versions(written_sections(sections, documents), before)
+
+
+def written_sections(sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """The sections of documents with body_hash and markdown, as freeze_bodies() has them; other columns of documents than
+    (document_id, subject, template) stay with their sections."""
     at = settle(sections.join(documents, "document_id").withColumn("_key", F.struct("document_id", "order_index", "section_id")))
-    nodes = explode_body(at, "body_json", "_key")
-    published = settle(publish_body(nodes, at.select("_key", "subject", "template"), "_key"))
+    published = settle(publish_body(explode_body(at, "body_json", "_key"), at.select("_key", "subject", "template"), "_key"))
     shown = citations_in(published.join(at.filter("not hidden").select("_key"), "_key", "left_semi"), key="_key")
     placed = shown.select(F.col("_key.document_id").alias("document_id"), F.struct("_key", "place").alias("pos"), "reference_id")
     numbers = citation_numbers(placed)
@@ -86,11 +91,17 @@ def freeze_bodies(sections: DataFrame, documents: DataFrame, before: DataFrame)
     numbers = each.withColumn("document_id", F.col("_key.document_id")).join(numbers, ["document_id", "reference_id"]).select("_key", "reference_id", "number")
     written = render_markdown(published, numbers, key="_key")
     hashed = content_hash(published, "_key").withColumnRenamed("content_hash", "body_hash")
+    rows = at.drop("body_json", "subject", "template").join(hashed, "_key", "left").join(written, "_key", "left").drop("_key")
+    return rows.withColumn("markdown", F.coalesce("markdown", F.lit("")))
+
+
+def carried_versions(written: DataFrame, before: DataFrame) -> DataFrame:
+    """What freeze_bodies() returns, of written_sections() with version_no."""
     was = before.select("document_id", "section_id", F.col("body_hash").alias("_h"), F.col("hidden").alias("_hid"), F.col("last_changed_version_no").alias("_l"))
-    rows = at.join(hashed, "_key", "left").join(written, "_key", "left").join(was, ["document_id", "section_id"], "left")
+    rows = written.join(was, ["document_id", "section_id"], "left")
     same = F.col("_l").isNotNull() & F.col("_h").eqNullSafe(F.col("body_hash")) & F.col("_hid").eqNullSafe(F.col("hidden"))
     last = F.when(same, F.col("_l")).otherwise(F.col("version_no")).alias("last_changed_version_no")
-    return rows.select("document_id", "section_id", "order_index", "hidden", "body_hash", F.coalesce("markdown", F.lit("")).alias("markdown"), last)
+    return rows.select("document_id", "section_id", "order_index", "hidden", "body_hash", "markdown", last)
 
 
 def core_version_used(sec: DataFrame, core_versions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.settled import settle
+from ..sources.settled import parts_for, settle
 
 #: Subjects that stand in brackets until the publisher fills them in.
 SUBJECTS = ("cancer type", "population group")
@@ -63,9 +63,9 @@ def publish_body(nodes: DataFrame, documents: DataFrame, key: str = "document_id
     sentence ends there or goes on with a blank or punctuation. A bracketed subject gives way to the document's, the stop
     after it stays. A holder that lost something and has only its band left goes too.
 
-    Nodes are dealt by bodies once; all else is told by sorts within the parts: among siblings, among the nodes that tell of
+    Nodes are dealt by bodies once, into as many parts as their number asks for; all else is told by sorts within the parts: among siblings, among the nodes that tell of
     a holder, and in document order."""
-    known = nodes.repartition(F.col(key)).join(documents.select(key, "subject", (~F.coalesce("template", F.lit(False))).alias("_open")), key, "left")
+    known = nodes.repartition(parts_for(nodes), key).join(documents.select(key, "subject", (~F.coalesce("template", F.lit(False))).alias("_open")), key, "left")
     known = known.withColumn("_open", F.coalesce("_open", F.lit(False)))
     kind = lambda *names: F.coalesce(F.col("type").isin(*names), F.lit(False))
     known = known.filter(~(F.col("_open") & F.array_contains("above", "guidance")))
@@ -202,7 +202,6 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, snapshots: DataFrame |
 
     Folded from the deepest level upwards: in each step the texts of a level are collected by their parents. Nodes are dealt
     by bodies once, so that the steps that follow move and write nothing."""
-    spark = nodes.sparkSession
     nodes = settle(nodes)
     number = numbers.select(key, "reference_id", "number")
     cited = nodes.filter("type = 'citation'").withColumn("reference_id", _attribute("referenceId")).join(number, [key, "reference_id"], "left").drop("reference_id")
@@ -213,7 +212,7 @@ def render_markdown(nodes: DataFrame, numbers: DataFrame, snapshots: DataFrame |
     first, second = _texts()
     kid = F.struct(F.element_at("path", -1).alias("at"), "type", "inline", "block", "body", "cells")
     kind = "struct<at:int,type:string,inline:string,block:string,body:string,cells:array<string>>"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(nodes)
     done = None
     for depth in range(nodes.agg(F.max(F.size("path"))).first()[0] or 0, -1, -1):
         level = have.filter(F.col("depth") == depth).select(key, "path", "own").repartition(parts, key)

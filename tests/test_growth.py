@@ -217,3 +217,19 @@ def test_published_texts_leave_their_nodes_in_place(spark, data, monkeypatch):
     monkeypatch.setattr(nodes, "settle", lambda df, own=nodes.settle: kept.append(1) or own(df))
     df = QUERIES["publishable_text"](spark, data)
     assert len(kept) == 2 and len(exchanges(df)) <= 2  # bodies and nodes are written, nodes and documents dealt
+
+
+def test_frozen_sections_are_written_once_for_both_versions(spark, data, monkeypatch):
+    from quire.operators import lifecycle
+
+    asked = []
+    for name in ("explode_body", "render_markdown"):
+        monkeypatch.setattr(lifecycle, name, lambda *a, own=getattr(lifecycle, name), **k: asked.append(1) or own(*a, **k))
+    assert compare(spark, data, QUERIES["freeze_bodies"], SQL["freeze_bodies"]) == "ok"
+    assert len(asked) == 2
+    assert settled.is_settled(settled.settle(spark.range(3))) and not settled.is_settled(spark.range(3))
+
+
+def test_parts_follow_the_nodes(spark):
+    held = settled.settle(spark.range(0, 2500, 1, 2))
+    assert settled.parts_for(held, 100) == 25 and settled.parts_for(held, 10_000) == 4 and settled.parts_for(held.filter("id > 7"), 100) == 4
