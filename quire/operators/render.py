@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.settled import parts_for, settle
 
@@ -233,23 +234,33 @@ def timeframe_rows(nodes: DataFrame, sections: DataFrame, key: str = "section_id
     alternatives. statements holds an array of alternatives for each.
 
     nodes: of explode_body(), by `key`; sections: (key, document_id, position, step, title). A text is told where it belongs
-    by its own path and the types above it, so boxes are grouped and never walked."""
+    by its own path and the types above it, so boxes are grouped and never walked. Texts and sections are dealt once: by
+    documents where the key is a struct that holds document_id, else by the key; sections meet their boxes within the parts."""
+    kind, parts = nodes.schema[key].dataType, parts_for(nodes)
+    by_document = isinstance(kind, T.StructType) and "document_id" in kind.names
+    deal = lambda df: df.withColumn("_deal", F.col(key)["document_id"] if by_document else F.col(key)).repartition(parts, "_deal")
     box = F.array_position("above", "timeframe") - 1
-    said = nodes.filter((F.col("type") == "text") & F.array_contains("above", "timeframe") & ~F.array_contains("above", "guidance")).withColumn("_d", box.cast("int"))
-    child = F.get("above", F.col("_d") + 1)
+    said = nodes.filter((F.col("type") == "text") & F.array_contains("above", "timeframe") & ~F.array_contains("above", "guidance"))
+    said = deal(said.select(key, "path", "text", box.cast("int").alias("_d"), F.slice("above", box.cast("int") + 2, 1).alias("above")))
+    child = F.get("above", 0)
     x = said.select(
-        key, "path", F.coalesce("text", F.lit("")).alias("text"), F.slice("path", F.lit(1), F.col("_d")).alias("_box"), F.get("path", F.col("_d")).alias("_child"), child.alias("_kind"),
+        "_deal", key, "path", F.coalesce("text", F.lit("")).alias("text"), F.slice("path", F.lit(1), F.col("_d")).alias("_box"), F.get("path", F.col("_d")).alias("_child"), child.alias("_kind"),
         F.when(child == "variants", F.get("path", F.col("_d") + 1)).otherwise(-1).alias("_way"), F.slice("path", 1, F.size("path") - 1).alias("_block"),
     )
     joined = lambda at, piece, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, piece))), lambda v: v[piece]), by)
-    lines = x.groupBy(key, "_box", "_child", "_kind", "_way", "_block").agg(F.trim(F.regexp_replace(joined("path", "text", ""), r"\s+", " ")).alias("line"))
-    ways = lines.filter("line <> ''").groupBy(key, "_box", "_child", "_kind", "_way").agg(joined("_block", "line", " ").alias("way"))
-    blocks = ways.groupBy(key, "_box", "_child", "_kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("_way", "way"))), lambda v: v["way"]).alias("ways"))
+    at = ["_deal", key, "_box"]
+    lines = x.groupBy(*at, "_child", "_kind", "_way", "_block").agg(F.trim(F.regexp_replace(joined("path", "text", ""), r"\s+", " ")).alias("line"))
+    ways = lines.filter("line <> ''").groupBy(*at, "_child", "_kind", "_way").agg(joined("_block", "line", " ").alias("way"))
+    blocks = ways.groupBy(*at, "_child", "_kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("_way", "way"))), lambda v: v["way"]).alias("ways"))
     care = F.max(F.when(F.col("_kind") == "carePoint", F.col("ways")[0]))
     told = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("_kind") != "carePoint", F.lit(True)), F.struct("_child", "ways"))))
-    boxes = blocks.groupBy(key, "_box").agg(F.coalesce(care, F.lit("")).alias("care_point"), F.transform(told, lambda v: v["ways"]).alias("statements"))
+    boxes = blocks.groupBy(*at).agg(F.coalesce(care, F.lit("")).alias("care_point"), F.transform(told, lambda v: v["ways"]).alias("statements"))
+    held = deal(sections.select(key, F.struct("document_id", "position", "step", F.col("title").alias("section")).alias("_section")))
+    both = boxes.withColumn("_section", F.lit(None).cast(held.schema["_section"].dataType)).unionByName(held, allowMissingColumns=True)
+    placed = both.withColumn("_section", F.max("_section").over(Window.partitionBy("_deal", key))).filter("_box is not null and _section is not null")
+    document = F.col("_deal" if by_document else "_section.document_id").alias("document_id")
+    placed = placed.select(key, "_box", document, "_section.position", "_section.step", "_section.section", "care_point", "statements")
     order = Window.partitionBy("document_id").orderBy("position", key, "_box")
-    placed = boxes.join(sections.select(key, "document_id", "position", "step", F.col("title").alias("section")), key)
     return placed.withColumn("place", F.row_number().over(order).cast("long")).select("document_id", "position", "place", "step", "section", "care_point", "statements")
 
 

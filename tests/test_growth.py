@@ -233,3 +233,12 @@ def test_frozen_sections_are_written_once_for_both_versions(spark, data, monkeyp
 def test_parts_follow_the_nodes(spark):
     held = settled.settle(spark.range(0, 2500, 1, 2))
     assert settled.parts_for(held, 100) == 25 and settled.parts_for(held, 10_000) == 4 and settled.parts_for(held.filter("id > 7"), 100) == 4
+
+
+def test_timeframes_and_sections_are_dealt_once(spark, data):
+    assert [len(exchanges(QUERIES[name](spark, data))) for name in ("timeframe_rows", "snapshot_tables")] == [2, 2]
+    box = '{"type":"doc","content":[{"type":"timeframe","content":[{"type":"carePoint","content":[{"type":"text","text":"c"}]},{"type":"paragraph","content":[{"type":"text","text":" s  t "}]}]},{"type":"timeframe"}]}'
+    for key in ("cast(id as string)", "struct(id % 2 as document_id, id)"):
+        sections = spark.range(5).select(F.expr(key).alias("section_id"), F.expr("id % 2").alias("document_id"), (-F.col("id")).alias("position"), F.lit(None).cast("int").alias("step"), F.lit("x").alias("title"), F.lit(box).alias("body_json"))
+        got = render.timeframe_rows(nodes.explode_body(sections, key="section_id"), sections.filter("position <> 0"))
+        assert rows(got.select("document_id", "place", "position", "step", "section", "care_point", "statements")) == [(0, 1, -4, None, "x", "c", [["s t"]]), (0, 2, -2, None, "x", "c", [["s t"]]), (1, 1, -3, None, "x", "c", [["s t"]]), (1, 2, -1, None, "x", "c", [["s t"]])]
