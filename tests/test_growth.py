@@ -242,3 +242,24 @@ def test_timeframes_and_sections_are_dealt_once(spark, data):
         sections = spark.range(5).select(F.expr(key).alias("section_id"), F.expr("id % 2").alias("document_id"), (-F.col("id")).alias("position"), F.lit(None).cast("int").alias("step"), F.lit("x").alias("title"), F.lit(box).alias("body_json"))
         got = render.timeframe_rows(nodes.explode_body(sections, key="section_id"), sections.filter("position <> 0"))
         assert rows(got.select("document_id", "place", "position", "step", "section", "care_point", "statements")) == [(0, 1, -4, None, "x", "c", [["s t"]]), (0, 2, -2, None, "x", "c", [["s t"]]), (1, 1, -3, None, "x", "c", [["s t"]]), (1, 2, -1, None, "x", "c", [["s t"]])]
+
+
+def test_few_documents_are_scored_whole(monkeypatch):
+    import numpy as np
+    from quire.llm import search
+
+    rng, scored = np.random.default_rng(3), []
+    terms = [np.flatnonzero(rng.random(300) < 0.3) for _ in range(4000)]
+    index = search.Index(np.arange(4000), np.array([len(t) for t in terms]), [t.astype(np.int64).tobytes() for t in terms], [rng.integers(1, 4, len(t)).astype(np.int32).tobytes() for t in terms], 90.0, np.arange(300))
+    monkeypatch.setattr(search.Index, "whole", lambda self, docs, own=search.Index.whole: scored.append(len(docs)) or own(self, docs))
+    idf = rng.random(300) + 0.5
+    for query in (np.arange(0, 300, 2), np.arange(0, 300, 3)):
+        found, scores = index.best(query, idf[query], 10)
+        every = np.zeros(300)
+        every[query] = idf[query]
+        index.idf = every
+        want = search.Index.whole(index, np.arange(4000)).round(9)
+        scored.pop()
+        index.idf = np.zeros(300)
+        assert found.tolist() == np.lexsort((np.arange(4000), -want))[:10].tolist() and scores.tolist() == np.sort(want)[::-1][:10].tolist()
+    assert sum(scored) <= 200
